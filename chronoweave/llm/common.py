@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers started on this machine import the library from where the driver did.
+
+    On a cluster the library reaches executors with ``--py-files`` or is installed there; a
+    path that an executor lacks does no harm.
+    """
+    home = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
