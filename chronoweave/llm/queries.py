@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_path, table
+from .line_dedup import drop_repeated_blocks
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
+from .winnow import compared_with_edit_and_next
 
 
 def tokenizer_path() -> str:
@@ -15,6 +18,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on two-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the blocks that an earlier document has."""
+    return drop_repeated_blocks(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written from all documents and read back."""
     folder = fresh_path(spark, "tokens")
@@ -22,10 +35,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).drop("position")
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and likeness to these and to the next document."""
+    return compared_with_edit_and_next(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=2048)
 
 
-QUERIES = {"op6_token_files": op6_token_files, "op10_packing": op10_packing}
+QUERIES = {f.__name__: f for f in (op2_minhash, op4_line_dedup, op6_token_files, op9_winnowing, op10_packing)}
 ORACLE: dict[str, str] = {}
