@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cotrain
 from .common import fresh_path, table
 from .line_dedup import drop_repeated_blocks
+from .lm_score import cross_entropy_difference
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .site_tree import extract
 from .token_files import read_token_files, write_token_files
 from .winnow import compared_with_edit_and_next
 
@@ -28,6 +31,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_blocks(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by both views and jointly."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select("doc_id", "p_text", "p_meta", "score", "good")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written from all documents and read back."""
     folder = fresh_path(spark, "tokens")
@@ -35,6 +45,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).drop("position")
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op8_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their loss under a model of good, harmless labelled documents against one of the rest."""
+    labels = table(spark, sf_dir, "labels")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), labels.filter("quality = 1 and toxic = 0").select("doc_id"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and likeness to these and to the next document."""
     return compared_with_edit_and_next(table(spark, sf_dir, "documents"))
@@ -45,5 +66,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op4_line_dedup, op6_token_files, op9_winnowing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op4_line_dedup, op5_quality_cotraining, op6_token_files, op7_site_style_tree, op8_lm_difference, op9_winnowing, op10_packing)}
 ORACLE: dict[str, str] = {}
