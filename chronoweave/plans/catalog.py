@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .registry import ORACLE, QUERIES
+
+from . import evidence, governed, networks, transactions  # noqa: E402, F401  registers the queries
+
+__all__ = ["ORACLE", "QUERIES"]
