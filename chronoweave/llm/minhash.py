@@ -15,6 +15,12 @@ from .components import components
 
 #: 40 bands of 6: a pair at similarity 0.8 shares no band with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
+#: At most so many rounds of comparing bucket members with one of them, before all that are left are compared.
+STAR_ROUNDS = 4
+#: Members up to which a bucket's pairs are rows; larger buckets are compared in blocks of BLOCK members.
+PAIRED, BLOCK = 6, 128
+#: Distinct shingles counted at a time when two blocks are compared.
+COLUMNS = 8192
 #: Distinct words whose hash a task keeps (memory only).
 KEPT_WORDS = 500_000
 
@@ -146,14 +152,50 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _block_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` across the components of each bucket, one for each two components that a pair of blocks joins.
+
+    ``held``: bucket ``key``, ``id``, ``component`` and the bucket's size ``c``. Members are dealt into blocks by
+    hash; a row is two blocks with their sets, and counts of common shingles come from
+    products of their incidence matrices, so no pair is ever a row.
+    """
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).cast("int")
+    dealt = held.select("key", block.alias("block"), "id", "component").join(sets.select("id", "shingles"), "id")
+    blocks = staged(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("x")), "blocks")
+    two = blocks.join(blocks.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").filter("block <= other")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (a, ca, sa), (b, cb, sb) = (([r["id"] for r in z], np.array([r["component"] for r in z]), [np.frombuffer(r["shingles"], np.uint64) for r in z]) for z in (x, y))
+                na, nb = (np.array([len(s) for s in z]) for z in (sa, sb))
+                names, at = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
+                row = np.repeat(np.arange(len(sa) + len(sb)), np.concatenate([na, nb]))
+                order = np.argsort(at, kind="stable")
+                at, row = at[order], row[order]
+                both = np.zeros((len(sa), len(sb)), np.float32)
+                for lo in range(0, len(names), COLUMNS):
+                    i, j = np.searchsorted(at, (lo, lo + COLUMNS))
+                    has = np.zeros((len(sa) + len(sb), COLUMNS), np.float32)
+                    has[row[i:j], at[i:j] - lo] = 1
+                    both += has[: len(sa)] @ has[len(sa) :].T
+                link = (100 * both.astype(np.int64) >= percent * (na[:, None] + nb[None, :] - both.astype(np.int64))) & (ca[:, None] != cb[None, :])
+                found = {(min(ca[i], cb[j]), max(ca[i], cb[j])): (a[i], b[j]) for i, j in zip(*np.nonzero(link), strict=True)}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found.values()], pa.int64()), pa.array([q for _, q in found.values()], pa.int64())], ["a", "b"])
+
+    return two.select("x", "y").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Rows with equal shingle sets form a class, which one representative stands for in all
-    later steps. Representatives that share a band key are candidates: each is first compared
-    with the least one in the bucket; then, in buckets that still hold several components, all
-    pairs across components are compared, and only those. So a bucket of thousands of near copies
-    costs one comparison each, and no candidate pair is left undecided. Links are confirmed on
+    later steps. Representatives that share a band key are candidates. In each round one member of a
+    bucket, drawn by a hash, is compared with all members that are in other components, and
+    components are joined; a bucket of one component needs no more. What rounds no longer join
+    is compared across components, small buckets by pairs, large ones by blocks of members, so
+    no candidate pair is left undecided and no pair of a large group becomes a row. Links are confirmed on
     whole sets; ``component_id`` is the least id reachable by links.
 
     Null and empty texts have no shingle and link with nothing. A null id has a null
@@ -165,28 +207,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     reps = staged(classes.agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "reps")
 
     members = reps.select("id", "n", F.explode("bands").alias("key"))
-    buckets = staged(members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).filter("size > 1"), "buckets")
-    shared = staged(members.join(buckets, "key"), "shared")
-    stars = staged(shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    buckets = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    held = staged(members.join(buckets, "key"), "shared")
 
-    ids = staged(shared.select("id").distinct(), "ids")
+    ids = staged(held.select("id").distinct(), "ids")
     wanted = maybe_broadcast(ids.join(reps.select("id", "digest"), "id"))
     some = docs.join(maybe_broadcast(ids), docs[id_col].cast("long") == F.col("id"), "left_semi")
     sets = staged(_sets(some, size, id_col, text_col).join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id"]), "sets")
-    links = staged(verified(stars, sets, percent), "links")
-    joined = components(links)
-
-    named = shared.filter("size > 2").join(joined, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = staged(named.filter("id <> least").join(split, "key", "left_semi").select("key", "id", "n", "component"), "open")
-    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    across = (
-        open_.join(other, "key")
-        .filter(f"component < other and 100 * least(n, m) >= {percent} * greatest(n, m)")
-        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        .distinct()
-    )
-    more = staged(verified(across, sets, percent), "links")
+
+    alike = f"component <> other and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    links, joined, before = None, None, float("inf")
+    held = held.withColumn("component", F.col("id"))
+    for turn in range(STAR_ROUNDS):
+        # One member of each bucket, the same one in all buckets where it can be, stands against those of other components.
+        lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("l"))
+        lead = lead.select("key", F.col("l.id").alias("b"), F.col("l.n").alias("m"), F.col("l.component").alias("other"))
+        stars = held.join(lead, "key").filter(alike).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        found = verified(stars, sets, percent)
+        links = staged(found if links is None else links.unionByName(found), "links")
+        joined = components(links)
+        held = held.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+        per = held.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("parts"))
+        per = per.filter("parts > 1").select("key", "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"))
+        held = staged(held.join(per, "key"), "open")
+        now = held.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()["pairs"]
+        if not now or now > 0.5 * before:
+            break
+        before, held = now, held.drop("c", "pairs")
+
+    few = held.filter(F.col("c") <= PAIRED)
+    other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    across = few.join(other, "key").filter("id < b and " + alike).select(F.col("id").alias("a"), "b").distinct()
+    more = verified(across, sets, percent).unionByName(_block_links(held.filter(F.col("c") > PAIRED), sets, percent))
+    more = staged(more, "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
