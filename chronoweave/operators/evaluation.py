@@ -150,6 +150,6 @@ def study_rates(sessions: DataFrame, least: int = 10) -> DataFrame:
     return sums.select("total", *[F.round(v, 6).alias(k) for k, v in r.items()], text_of(why).alias("failures"))
 
 
-def percentile(rows: DataFrame, column: str, *ps: float) -> list[Column]:
+def percentile(column: str, *ps: float) -> list[Column]:
     """Exact percentiles by linear interpolation, as aggregate columns."""
     return [F.percentile(column, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps]

@@ -158,7 +158,7 @@ def evaluation_rows(assessments: DataFrame, outcomes: DataFrame) -> DataFrame:
     again = outcomes.groupBy("item_id").count().filter("count > 1")
     if not again.isEmpty():
         raise ValueError("repeated outcome")
-    rows = assessments.filter("status = 'ordered'").join(outcomes, "item_id")
+    rows = assessments.filter("status = 'ordered'").drop("label").join(outcomes, "item_id")
     if not rows.filter("observed_at <= as_of").isEmpty():
         raise ValueError("outcome known at the time of assessment")
     return rows

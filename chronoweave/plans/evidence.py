@@ -1 +1,446 @@
+"""Queries over evidence, evaluation, audits, text scans and releases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import audit as u
+from ..operators import evaluation as q
+from ..operators import priority as e
+from ..operators import release as d
+from ..operators import textscan as x
+from ..sources import ingest
 from .registry import query
+from .views import view
+
+_EV = """, known as (select *, record_id || '@v' || cast(version as varchar) as dependency_id, observed_at > as_of or recorded_at > as_of as future from evidence),
+    sel as (select *, not future and row_number() over (partition by item_id, record_id, future order by version desc) = 1 as selected from known),
+    parts as (select *, power(2, -((epoch(as_of) - epoch(observed_at)) / 86400.0) / 90) as recency from sel),
+    pts as (select *, cast(quality is null as integer) * 1.2 + cast(corroboration is null as integer) * 0.8 + cast(coverage is null as integer) * 0.6 as penalty,
+        5 - cast(quality is null as integer) - cast(corroboration is null as integer) - cast(coverage is null as integer) as observed,
+        coalesce(round(quality * 30, 6), 0) + round(recency * 20, 6) + coalesce(round(corroboration * 20, 6), 0) + round(change * 15, 6) + coalesce(round(coverage * 15, 6), 0) as raw from parts),
+    rec as (select *, round(least(100, greatest(0, raw - penalty)), 6) as points from pts),
+    sums as (select item_id, count(*) as n, sum(points) as p, sum(penalty) as pen, sum(observed) as obs from rec where selected group by 1),
+    items as (select i.item_id, coalesce(n, 0) as n, case when coalesce(n, 0) < 2 or obs / (n * 5.0) < 0.6 then 'abstained' else 'ordered' end as status, p / n as idx, coalesce(pen, 0) / greatest(coalesce(n, 0), 1) as pen from (select distinct item_id from evidence) i left join sums using (item_id)) """
+
+
+@query(_EV + "select item_id, dependency_id, future, selected from sel", "evidence")
+def e1_known_versions(spark: SparkSession, sf: str) -> DataFrame:
+    return e.known_evidence(view(spark, sf, "evidence")).select("item_id", "dependency_id", "future", "selected")
+
+
+@query(_EV + "select item_id, dependency_id, round(points, 3) as points, round(penalty, 6) as penalty, observed from rec where selected", "evidence")
+def e3_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """Recency decay and points of each selected record."""
+    rows = e.contributions(e.known_evidence(view(spark, sf, "evidence")).filter("selected"))
+    return rows.select("item_id", "dependency_id", F.round("points", 3).alias("points"), F.round("penalty", 6).alias("penalty"), F.col("observed").cast("int").alias("observed"))
+
+
+@query(_EV + "select factor, count(*) as n, count(value) as observed from (select 'quality' as factor, quality as value from rec where selected union all select 'recency', recency from rec where selected union all select 'corroboration', corroboration from rec where selected union all select 'change', change from rec where selected union all select 'coverage', coverage from rec where selected) y group by 1", "evidence")
+def e3_factor_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = e.factor_rows(e.known_evidence(view(spark, sf, "evidence")).filter("selected"))
+    return rows.groupBy("factor").agg(F.count("*").alias("n"), F.count("value").alias("observed"))
+
+
+@query(_EV + "select item_id, n as records, status, case when status = 'ordered' then round(round(idx, 6), 3) end as index, round(pen, 5) as penalty from items", "evidence")
+def e6_assessments(spark: SparkSession, sf: str) -> DataFrame:
+    """Index, abstention and missingness per item."""
+    a = e.assess(view(spark, sf, "evidence"))
+    return a.select("item_id", "records", "status", F.round("index", 3).alias("index"), F.round("penalty", 5).alias("penalty"))
+
+
+@query(
+    _EV + ", keep as (select item_id, dependency_id, record_id, version, points, observed, lead(points) over w as np, lead(observed) over w as nobs, selected from rec where not future window w as (partition by item_id, record_id order by version desc)), "
+    "tot as (select *, sum(points) over (partition by item_id) as p, count(*) over (partition by item_id) as n, sum(observed) over (partition by item_id) as o from keep where selected), "
+    "res as (select *, p - points + coalesce(np, 0) as p2, case when np is null then n - 1 else n end as n2, o - observed + coalesce(nobs, 0) as o2 from tot) "
+    "select item_id, dependency_id as removed, case when n2 < 2 or o2 / (n2 * 5.0) < 0.6 then 'abstained' else 'ordered' end as resulting_status, case when not (n2 < 2 or o2 / (n2 * 5.0) < 0.6) then round(round(p2 / n2, 6), 3) end as resulting_index from res",
+    "evidence",
+)
+def e7_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
+    return e.leave_one_out(view(spark, sf, "evidence")).select("item_id", "removed", "resulting_status", F.round("resulting_index", 3).alias("resulting_index"))
+
+
+@query(_EV + "select item_id, case when status = 'ordered' then rank() over (partition by status order by idx desc) end as rank from (select item_id, status, round(round(idx, 6), 1) as idx from items) y", "evidence")
+def e8_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return e.ranked(e.assess(view(spark, sf, "evidence")).withColumn("index", F.round("index", 1))).select("item_id", "rank")
+
+
+@query("select object, count(*) as n, count(*) * count(*) as pairs from edges group by 1", "edges")
+def e9_shared_endpoint_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    edges = view(spark, sf, "edges")
+    s = e.shared_endpoint_evidence(edges).join(edges.select("edge_id", "object"), "edge_id")
+    return s.groupBy("object").agg(F.countDistinct("edge_id").alias("n"), F.count("*").alias("pairs"))
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    c = view(spark, sf, "customer")
+    return c.select(F.expr("'i-' || c_custkey").alias("item_id"), (F.col("c_acctbal") > 5000).cast("double").alias("label"), F.lit("2000-06-01").cast("timestamp_ntz").alias("observed_at"), F.lit("v1").alias("label_definition_version"))
+
+
+@query(
+    _EV + ", rows as (select item_id, round(idx, 6) as idx, cast(c_acctbal > 5000 as integer) as label from items join customer on item_id = 'i-' || cast(c_custkey as varchar) where status = 'ordered') select cast(least(9, floor(idx / 10)) as integer) as bin, count(*) as n, round(avg(idx), 2) as mean_index, round(avg(label), 6) as rate from rows group by 1",
+    "evidence",
+)
+def e11_empirical_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Later outcomes by bins of the index."""
+    a = e.assess(view(spark, sf, "evidence")).withColumn("as_of", F.lit("2000-01-01").cast("timestamp_ntz"))
+    return e.empirical_bins(e.evaluation_rows(a, _outcomes(spark, sf))).withColumn("mean_index", F.round("mean_index", 2))
+
+
+# Evaluation.
+@query(
+    "select 'o-' || cast(o_orderkey as varchar) as id, f as field, r as reason from (select o_orderkey, unnest(['event_time', 'known_at', 'label_known_at']) as f, unnest([strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), case when o_orderkey % 7 = 0 then 'later' else strftime(o_orderdate + to_days(20), '%Y-%m-%dT%H:%M:%SZ') end, case when o_orderkey % 2 = 0 then strftime(o_orderdate + to_days(90), '%Y-%m-%dT%H:%M:%SZ') end]) as v, "
+    "unnest(['future event dependency', 'future known-at dependency', 'future label dependency']) as m from orders) y, lateral (select case when v is null then null when v = 'later' then 'invalid ' || f || ' timestamp' when v > '1998-06-01T00:00:00Z' then m end as r) z where r is not null"
+)
+def q1_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    o = view(spark, sf, "orders")
+    deps = o.select(
+        F.expr("'o-' || o_orderkey").alias("id"),
+        F.expr(iso.format("o_orderdate")).alias("event_time"),
+        F.expr(f"case when o_orderkey % 7 = 0 then 'later' else {iso.format('o_orderdate + make_dt_interval(20)')} end").alias("known_at"),
+        F.expr(f"case when o_orderkey % 2 = 0 then {iso.format('o_orderdate + make_dt_interval(90)')} end").alias("label_known_at"),
+    )
+    return q.leakage(deps, "1998-06-01T00:00:00Z").select("id", "field", "reason")
+
+
+_DAY = 86400
+
+
+@query(
+    f"with e as (select cast(epoch(o_orderdate) as bigint) as s from orders), b as (select min(s) as lo, max(s) as hi from e), c as (select unnest(range(lo + {200 * _DAY}, hi, {90 * _DAY})) as train_until from b) "
+    f"select row_number() over (order by train_until) as fold, train_until, train_until + {30 * _DAY} as validate_until, (select count(*) from e where s <= train_until) as population from c"
+)
+def q2_temporal_folds(spark: SparkSession, sf: str) -> DataFrame:
+    ev = view(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("s"))
+    return q.temporal_folds(ev, 30 * _DAY, 90 * _DAY, 200 * _DAY)
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    o = view(spark, sf, "orders")
+    return o.groupBy(F.expr("'m-' || o_custkey").alias("candidate"), F.expr("case o_orderkey % 3 when 0 then 'smurfing' when 1 then 'missing-data' else 'circular-flows' end").alias("scenario")).agg(F.max(F.col("o_totalprice") / 500000).alias("observed"))
+
+
+_RED = """with sc as (select 'm-' || cast(o_custkey as varchar) as candidate, case o_orderkey % 3 when 0 then 'smurfing' when 1 then 'missing-data' else 'circular-flows' end as scenario, max(o_totalprice / 500000) as observed from orders group by 1, 2),
+    red(scenario, allowed) as (values ('legitimate-high-degree', 0.55), ('delayed-reports', 0.6), ('duplicated-entities', 0.58), ('missing-data', 0.62), ('smurfing', 0.65), ('circular-flows', 0.6), ('shared-infrastructure', 0.55)),
+    every as (select candidate, scenario, coalesce(observed, 0) <= allowed as passed from (select distinct candidate from sc) c cross join red left join sc using (candidate, scenario)) """
+
+
+def _red(spark: SparkSession, sf: str) -> DataFrame:
+    return q.red_team(_scores(spark, sf), spark.createDataFrame(list(q.RED_TEAM), "scenario string, allowed double"))
+
+
+@query(_RED + "select * from every")
+def q3_red_team(spark: SparkSession, sf: str) -> DataFrame:
+    return _red(spark, sf).select("candidate", "scenario", "passed")
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    c = view(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.expr("'m-' || c_custkey").alias("candidate"),
+        F.when(k % 10 == 0, "deterministic baseline").otherwise("model").alias("family"),
+        ((k % 89) / 100).alias("precision"),
+        ((k % 97) / 100).alias("random_precision"),
+        ((k % 31) / 100).alias("hard_negative_rate"),
+        ((k % 17) / 100).alias("calibration_error"),
+        (k % 200).alias("latency_ms"),
+        (0.5 + (k % 50) / 100).alias("explanation_coverage"),
+        (0.3 + (k % 70) / 100).alias("robustness"),
+        F.when(k % 4 != 0, "passed").alias("overreliance"),
+    )
+
+
+@query("select 'm-' || cast(c_custkey as varchar) as candidate, cast(round(((c_custkey % 97) - (c_custkey % 89)) / 100.0, 3) as double) as gap, c_custkey % 31 <= 20 as passed from customer")
+def q4_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return q.hard_negative_table(_candidates(spark, sf))
+
+
+@query("select 'm-' || cast(c_custkey as varchar) as candidate, cast(round(((c_custkey % 89) - (select max(c_custkey % 89) from customer where c_custkey % 10 = 0)) / 100.0, 3) as double) as lift from customer")
+def q5_baseline_lift(spark: SparkSession, sf: str) -> DataFrame:
+    return q.baseline_lift(_candidates(spark, sf)).select("candidate", "lift")
+
+
+@query(
+    _RED + """, failed as (select candidate, not bool_and(passed) as red_failed from every group by 1), c as (select *, 'm-' || cast(c_custkey as varchar) as candidate from customer)
+    select candidate, case when count_f = 0 then 'eligible' else 'blocked' end as status from (select candidate, cast(coalesce(red_failed, false) as integer) + cast(c_custkey % 10 <> 0 and c_custkey % 89 < (select max(c_custkey % 89) from customer where c_custkey % 10 = 0) + 5 as integer)
+        + cast(c_custkey % 17 > 12 as integer) + cast(c_custkey % 31 > 20 as integer) + cast(c_custkey % 200 > 150 as integer) + cast(c_custkey % 50 < 35 as integer) + cast(c_custkey % 70 < 35 as integer) + cast(c_custkey % 4 = 0 as integer) as count_f
+        from c left join failed using (candidate)) y"""
+)
+def q6_gate_panel(spark: SparkSession, sf: str) -> DataFrame:
+    none = spark.createDataFrame([], "id string")
+    return q.gate_panel(_candidates(spark, sf), none, _red(spark, sf)).select("candidate", "status")
+
+
+@query(
+    "select cast(least(9, floor(score * 10)) as integer) as bin, count(*) as n, round(avg(score), 4) as mean_score, round(avg(label), 4) as rate, round(abs(round(avg(score), 4) - round(avg(label), 4)), 4) as gap from predictions group by 1", "predictions"
+)
+def q7_calibration_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return q.calibration_curve(view(spark, sf, "predictions")).drop("squares")
+
+
+@query(
+    ", b as (select count(*) as n, abs(round(avg(score), 4) - round(avg(label), 4)) as gap, sum((score - label) * (score - label)) as s from predictions group by least(9, floor(score * 10))) select cast(sum(n) as bigint) as total, round(sum(n * round(gap, 4)) / sum(n), 3) as calibration_error, round(sum(s) / sum(n), 4) as brier from b", "predictions"
+)
+def q7_calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = q.calibration_summary(q.calibration_curve(view(spark, sf, "predictions")))
+    return s.select("total", F.round("calibration_error", 3).alias("calibration_error"), "brier")
+
+
+@query("select 'm-' || cast(c_custkey as varchar) as candidate, case when c_custkey % 2 = 0 and c_custkey % 3 <> 0 and c_custkey % 5 <> 0 then 'eligible-for-supervised-pilot-only' else 'blocked-production-display' end as decision from customer")
+def q8_promotion(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    m = view(spark, sf, "customer").select(
+        F.expr("'m-' || c_custkey").alias("candidate"), F.sha2("c_name", 256).alias("artifact_hash"), F.lit("h").alias("training_data_hash"), (k % 2 == 0).alias("leakage_safe"),
+        F.lit(True).alias("calibrated"), F.lit(True).alias("red_team_passed"), F.when(k % 3 != 0, "passed").alias("study"), F.when(k % 5 == 0, "person-level guilt").otherwise("review order").alias("target"),
+    )
+    return q.promotion(m).select("candidate", "decision")
+
+
+@query("select doc_id as run_id, not (regexp_matches(text, '(?i)state of the art|sota') or regexp_matches(text, '(?i)pretrained') or regexp_matches(text, '(?i)production prediction|production model') or regexp_matches(text, '(?i)calibrated') or regexp_matches(text, '(?i)profitability')) and doc_id % 3 <> 0 as passed from documents")
+def q9_claim_gate(spark: SparkSession, sf: str) -> DataFrame:
+    runs = view(spark, sf, "documents").select(F.col("doc_id").alias("run_id"), "text", F.lit(False).alias("benchmark_derived"), F.lit("").alias("source_note"), (F.col("doc_id") % 3 == 0).alias("calibrated"), F.lit(False).alias("production_enabled"))
+    return q.claim_gate(runs).select("run_id", "passed")
+
+
+@query("select count(*) as total, round(count(*) filter (where c_custkey % 20 <> 0) / cast(count(*) as double), 6) as safe_comprehension, round(count(*) filter (where c_custkey % 4 <> 0) / cast(count(*) as double), 6) as provenance_first, 'provenance inspection below threshold,unsupported conclusion observed' as failures from customer")
+def q10_study_rates(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    s = view(spark, sf, "customer").select((k % 20 != 0).alias("safe_comprehension"), (k % 4 != 0).alias("provenance_first"), F.lit(True).alias("abstention_safe"), (k % 7 == 0).alias("unsupported_conclusion"), F.lit(False).alias("automation_bias"))
+    return q.study_rates(s).select("total", "safe_comprehension", "provenance_first", "failures")
+
+
+@query("select o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) as p50, round(quantile_cont(o_totalprice, 0.95), 4) as p95 from orders group by 1")
+def q_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "orders").groupBy("o_orderpriority").agg(*q.percentile("o_totalprice", 0.5, 0.95))
+    return rows.select("o_orderpriority", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
+
+
+# Audits.
+AUDITED = ("event_id", "user_id", "event_type", "value")
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a chain in which each record was hashed with the event before it; every 1000th was altered later."""
+    from pyspark.sql import Window
+
+    ev = view(spark, sf, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("chain_name"), F.col("event_id").alias("event_id"), "user_id", "event_type", "value")
+    order = Window.partitionBy("chain_name").orderBy("event_id")
+    ev = ev.withColumn("sequence", F.row_number().over(order)).withColumn("own", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in AUDITED]), 256))
+    ev = ev.withColumn("previous_hash", F.coalesce(F.lag("own").over(order), F.lit(u.GENESIS)))
+    changed = F.when(F.col("event_id") % 1000 == 999, F.lit("altered")).otherwise(F.col("own"))
+    return ev.withColumn("event_hash", changed).withColumn("verified", F.col("own"))
+
+
+@query("select 'user-' || cast(user_id as varchar) as chain_name, count(*) as altered from events where event_id % 1000 = 999 group by 1")
+def u1_audit_chain(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _chain(spark, sf).drop("own").withColumnRenamed("verified", "own")
+    found = u.chain_faults(rows.withColumn("event_hash", F.when(F.col("event_hash") == "altered", F.lit("altered")).otherwise(u.chain_hash(AUDITED))), AUDITED)
+    return found.filter("faults like '%hash_mismatch%'").groupBy("chain_name").agg(F.count("*").alias("altered"))
+
+
+@query("select 'u-' || cast(user_id as varchar) as stream, count(*) as links from (select user_id, row_number() over (partition by user_id order by event_id) as n from events) y where n % 5 = 0 group by 1")
+def u2_receipt_chain(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("stream").orderBy("receipt_no")
+    r = view(spark, sf, "events").select(F.expr("'u-' || user_id").alias("stream"), F.col("event_id").alias("receipt_no"), F.sha2(F.col("event_id").cast("string"), 256).alias("receipt_hash"))
+    r = r.withColumns({"sequence": F.row_number().over(order), "previous_receipt": F.lag("receipt_hash").over(order)})
+    broken = r.withColumn("previous_receipt", F.when(F.col("sequence") % 5 == 0, "lost").otherwise(F.col("previous_receipt")))
+    return u.receipt_faults(broken).groupBy("stream").agg(F.count("*").alias("links"))
+
+
+def _objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = view(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("object_id"), F.col("text").alias("content"))
+    m = docs.select("object_id", F.expr("case when object_id % 100 = 1 then 'wrong' else sha2(content, 256) end").alias("digest"), F.expr("octet_length(content) + case when object_id % 100 = 2 then 1 else 0 end").alias("size"))
+    return docs.filter("object_id % 100 <> 3"), m
+
+
+@query("select cast(doc_id as varchar) as object_id, case doc_id % 100 when 1 then 'digest_mismatch' when 2 then 'size_mismatch' else 'missing' end as faults from documents where doc_id % 100 in (1, 2, 3)")
+def u3_object_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return u.object_faults(*_objects(spark, sf))
+
+
+@query("select cast(doc_id as varchar) as object_id from documents where doc_id % 100 = 7")
+def u4_manifest_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ("object_id", "lang", "source")
+    m = view(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("object_id"), "lang", "source")
+    m = m.withColumn("manifest_hash", F.when(F.col("object_id") % 100 == 7, "wrong").otherwise(u.manifest_hash(fields)))
+    return u.manifest_faults(m, fields)
+
+
+@query("select source as report_id, count(*) as lost from documents where doc_id % 100 in (1, 3) group by 1")
+def u5_report_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    objects, m = _objects(spark, sf)
+    have = objects.join(m, "object_id").select("object_id", "digest")
+    docs = view(spark, sf, "documents").select(F.col("source").alias("report_id"), F.col("doc_id").cast("string").alias("object_id"), F.sha2("text", 256).alias("digest"))
+    return u.unrebuildable_reports(docs, have)
+
+
+@query("select doc_id % 50 as digest, max(o) as retain_until from (select doc_id, timestamp '2000-01-01 00:00:00' + to_days(cast(doc_id % 700 as integer)) as o from documents) y where o > timestamp '2001-01-01 00:00:00' group by 1")
+def u6_retention(spark: SparkSession, sf: str) -> DataFrame:
+    m = view(spark, sf, "documents").select((F.col("doc_id") % 50).alias("digest"), F.col("doc_id").alias("marker_id"), F.expr("timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(cast(doc_id % 700 as int))").alias("retain_until"))
+    return u.live_retention(m, F.lit("2001-01-01").cast("timestamp_ntz")).groupBy("digest").agg(F.max("retain_until").alias("retain_until"))
+
+
+@query("select source as report_id, lang as name, 'duplicate_name' as fault from documents group by 1, 2 having count(*) > 1")
+def u8_report_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    dep = view(spark, sf, "documents").select(F.col("source").alias("report_id"), F.col("lang").alias("name"), F.col("doc_id").alias("object_id"), F.col("n_chars").alias("size"), F.lit("text").alias("media_type"))
+    return u.report_dependency_faults(dep, dep.select("object_id", "size", "media_type"))
+
+
+# Text.
+_TOLD, _CARE = "ening|tion", "was|with"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(
+    f"select id, score from (select doc_id as id, cast(contains(lower(text), 'that') as integer) + cast(contains(lower(text), 'onation') as integer) + cast(contains(lower(text), 'pour') as integer) + case when regexp_matches(lower(text), '{_TOLD}') then 2 else 0 end + case when regexp_matches(lower(text), '{_CARE}') then 1 else 0 end as score from documents order by score desc, id limit 5) y"
+)
+def x1_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    return x.retrieve(_texts(spark, sf), "That onation, pour", 5, _TOLD, _CARE)
+
+
+@query(f"select id, importance from (select doc_id as id, case when regexp_matches(lower(text), '{_TOLD}') then 2 else 0 end + case when regexp_matches(lower(text), '{_CARE}') then 1 else 0 end as importance from documents order by 2 desc, 1 limit 4) y")
+def x2_important(spark: SparkSession, sf: str) -> DataFrame:
+    return x.important(_texts(spark, sf), 4, _TOLD, _CARE)
+
+
+@query("select doc_id as id, case when regexp_matches(text, '(?i)\\bthreat\\b|\\bhanded\\b') then 'first' when regexp_matches(text, '(?i)\\bthe\\b') then 'second' end as reason from documents")
+def x3_classify(spark: SparkSession, sf: str) -> DataFrame:
+    rules = ((r"(?i)\bthreat\b|\bhanded\b", "first"), (r"(?i)\bthe\b", "second"))
+    return _texts(spark, sf).select("id", x.classify("text", rules).alias("reason"))
+
+
+@query("select doc_id as id, array_to_string(list_filter([case when regexp_matches(text, '(?i)licensed under') then '1' end, case when regexp_matches(text, '%%%|###') then '2' end], lambda v: v is not null), ',') as flags, case when regexp_matches(text, '(?i)licensed under|%%%|###') then 'quarantine-source' else 'allow-source' end as action from documents")
+def x4_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    return x.quarantine(_texts(spark, sf), ("(?i)licensed under", "%%%|###")).select("id", "flags", "action")
+
+
+@query("select conv_id, turn, regexp_matches(text, '(?i)\\b(arrest|detain|raid|freeze assets|surveil)\\b') as flagged from conversations")
+def x5_privacy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "conversations").withColumn("f", x.flags(x.PRIVACY[2:]))
+    return rows.select("conv_id", "turn", (F.size("f") > 0).alias("flagged"))
+
+
+@query(
+    "select id, cast(n as integer) as n from (select doc_id as id, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as n from (select doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)) as s from documents) z) y where trim(sentence, ' ' || chr(10)) <> '' and regexp_matches(sentence, '\\b(The|the)\\b')"
+)
+def x6_citations(spark: SparkSession, sf: str) -> DataFrame:
+    none = spark.createDataFrame([], "id long, citation string")
+    return x.uncited(_texts(spark, sf), none, r"\b(The|the)\b").select("id", "n")
+
+
+@query("select doc_id as id, case when regexp_matches(text, '\\bthat\\b') then 'sure|' else '' end || 'No citations attached to the generated text.' || case when not contains(text, 'with') then '|Does not foreground uncertainty or review-only status.' else '' end as flags from documents")
+def x7_risky_language(spark: SparkSession, sf: str) -> DataFrame:
+    none = spark.createDataFrame([], "id long, citation string")
+    return x.risky_language(_texts(spark, sf), none, ((r"\bthat\b", "sure"),), "with", "^\u0000$")
+
+
+_WORDS = "select type, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(label), ' '), lambda w: w <> ''))), ' ') as words, count(*) as members, min(node_id) as first from parts group by 1, 2"
+
+
+@query(_WORDS, "parts")
+def x8_identity_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by type and label tokens; with the class pairs, all candidates for identity."""
+    return x.identity_classes(view(spark, sf, "parts"))
+
+
+@query(
+    f", c as ({_WORDS}), t as (select type, words, unnest(string_split(words, ' ')) as token from c) select l.type, l.words as a, r.words as b, array_to_string(list_sort(list(distinct l.token)), ',') as shared from t l join t r on l.type = r.type and l.token = r.token and l.words < r.words group by 1, 2, 3", "parts"
+)
+def x8_class_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return x.class_candidates(x.identity_classes(view(spark, sf, "parts")))
+
+
+@query(
+    "select case_id, 'high: relationships without source,medium: uncertain or moderate relationships' as gaps, 'needs-review' as status from (select distinct case_id from edges) y", "edges"
+)
+def x9_evidence_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return x.evidence_gaps(view(spark, sf, "edges"))
+
+
+@query(
+    "select case_id, case when case_id = 'case-1' then 'complete-open-task' else 'review-uncertain-evidence' end as action, case when case_id = 'case-1' then (select min('task-' || cast(o_orderkey as varchar)) from orders where o_custkey % 4 = 1 and o_orderstatus = 'O') else min(edge_id) filter (where confidence < 0.5) end as target from edges group by 1", "edges"
+)
+def x10_next_action(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = view(spark, sf, "orders").filter("o_custkey % 4 = 1").select(F.lit("case-1").alias("case_id"), F.expr("'task-' || o_orderkey").alias("task_id"), F.expr("case when o_orderstatus = 'O' then 'open' else 'done' end").alias("status"))
+    return x.next_action(tasks, view(spark, sf, "edges"))
+
+
+# Releases.
+def _gone(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "nodes").filter("type = 'place'").select(F.col("node_id").alias("id"))
+
+
+@query("select node_id as id, case when type = 'place' then '[redacted]' else label end as label, coalesce(n, 0) as notes from nodes left join (select subject, count(*) as n from edges group by 1) y on subject = node_id", "nodes", "edges")
+def d1_chart_rows(spark: SparkSession, sf: str) -> DataFrame:
+    items = view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label")
+    notes = view(spark, sf, "edges").select(F.col("subject").alias("item_id"))
+    return d.chart_rows(items, notes, _gone(spark, sf), items)
+
+
+@query("select node_id as id, case when type = 'place' then '[redacted]' else label end as label, type from nodes", "nodes", "edges")
+def d2_redacted_items(spark: SparkSession, sf: str) -> DataFrame:
+    return d.redacted_items(view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label", "type"), _gone(spark, sf))
+
+
+@query("select node_id as id from nodes where type <> 'place'", "nodes", "edges")
+def d2_redacted_path(spark: SparkSession, sf: str) -> DataFrame:
+    return d.redacted_path(view(spark, sf, "nodes").select(F.col("node_id").alias("id")), _gone(spark, sf))
+
+
+@query("select case_id as chart_id, count(*) filter (where status = 'P') as unsupported, count(*) filter (where status = 'P') = 0 as factual_use from edges group by 1", "edges")
+def d3_unsupported_claims(spark: SparkSession, sf: str) -> DataFrame:
+    items = view(spark, sf, "edges").select(F.col("case_id").alias("chart_id"), F.expr("case when status = 'P' then 'analyst' else 'evidence' end").alias("origin"))
+    return d.unsupported_claims(items)
+
+
+@query("select case_id, case when case_id = 'case-2' then 'ready' else 'draft' end as status, count(*) filter (where status = 'P' and case_id <> 'case-2') as open_tasks from edges group by 1", "edges")
+def d4_packet_status(spark: SparkSession, sf: str) -> DataFrame:
+    edges = view(spark, sf, "edges")
+    charts = edges.select("case_id", F.lit(True).alias("ready")).distinct()
+    tasks = edges.select("case_id", F.expr("case when status = 'P' and case_id <> 'case-2' then 'open' else 'done' end").alias("status"))
+    return d.packet_status(charts, tasks)
+
+
+# Sources.
+@query("select 'o-' || cast(o_orderkey as varchar) as key, cast(o_orderkey as varchar) as id_text from orders")
+def a10_idempotent_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the rows stored, all appended twice: each is there once."""
+    rows = view(spark, sf, "orders").select(F.expr("'o-' || o_orderkey").alias("key"), F.col("o_orderkey").cast("string").alias("id_text"))
+    stored = rows.filter("length(key) % 2 = 0")
+    stored = stored.unionByName(ingest.unseen(rows, stored, ["key"]))
+    return stored.unionByName(ingest.unseen(rows, stored, ["key"]))
+
+
+@query("select o_custkey, arg_min(o_orderstatus, o_orderkey) as first_status from orders group by 1")
+def a11_first_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "orders").withColumnRenamed("o_orderkey", "row_no")
+    return ingest.first_per_key(rows, ["o_custkey"]).select("o_custkey", F.col("o_orderstatus").alias("first_status"))
+
+
+@query()
+def a12_uuid5(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic ids; tested against Python's uuid5."""
+    return view(spark, sf, "revisions").select("revision_id", ingest.uuid5("revision", "case_id", "revision_id").alias("id"))
+
+
+@query(
+    "select revision_id, case when assertion_class = 'observed_event' then 'point' else 'range' end as validity_kind, case when assertion_class = 'hypothesis' then 'unknown' else 'asserted' end as status from revisions", "revisions"
+)
+def a13_stored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    r = view(spark, sf, "revisions").withColumn("status", F.when(F.col("assertion_class") == "hypothesis", "uncertain").otherwise("observed"))
+    return ingest.stored_revisions(r).select("revision_id", "validity_kind", "status")
+
+
+@query("select o_orderkey as k, '{\"o_custkey\":' || cast(o_custkey as varchar) || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}' as body from orders")
+def a14_stable_json(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), ingest.stable_json("o_orderstatus", "o_custkey").alias("body"))
+
+

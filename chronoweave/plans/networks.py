@@ -1 +1,260 @@
+"""Queries over graphs, communities and dependency ledgers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import graph as g
+from ..operators import ledger as k
+from ..operators import lineage as ln
 from .registry import query
+from .views import view
+
+
+@query(
+    "select * from (select 0 as o, 'node' as kind, node_id as id from nodes where contains(lower(label || ' ' || type || ' ' || node_id), 'order 12') union all select 1, 'edge', edge_id from edges where contains(lower(edge_id || ' ' || relation || ' ' || status), 'order 12') order by o, id limit 8) x",
+    "nodes",
+    "edges",
+)
+def g3_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = g.search(view(spark, sf, "nodes"), view(spark, sf, "edges"), "order 12")
+    return found.withColumn("o", F.when(F.col("kind") == "node", 0).otherwise(1))
+
+
+@query("select object as node_id, subject as neighbour, edge_id from edges where object in (select object from edges where confidence > 0.95)", "edges")
+def g4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "edges")
+    return g.neighbours(e, e.filter("confidence > 0.95").select(F.col("object").alias("node_id")))
+
+
+@query("select n.node_id, label, edge_id from edges join nodes n on n.node_id = subject where object = (select min(object) from edges) and n.type = 'account'", "nodes", "edges")
+def g5_connected_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "edges")
+    return g.connected_by_type(e, view(spark, sf, "nodes"), e.agg(F.min("object")).first()[0], "account")
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    d = view(spark, sf, "dependencies").filter("kind = 'publication'")
+    return d.select(F.concat(F.lit("x"), "publication_id").alias("edge_id"), F.col("publication_id").alias("subject"), F.col("target_id").alias("object")).filter("subject <> object")
+
+
+_TREE = ", tree as (select publication_id, target_id from dependencies where kind = 'publication' and publication_id <> target_id) "
+
+
+@query(
+    _TREE + ", reach as (select 'p-0' as node_id, 0 as distance, 'p-0' as path union all select publication_id, distance + 1, path || '>' || publication_id from reach join tree on target_id = node_id) select * from reach", "dependencies"
+)
+def g6_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return g.shortest_paths(_tree(spark, sf), "p-0", hops=40)
+
+
+@query(
+    _TREE + ", reach as (select 'p-0' as node_id, 0 as distance union all select publication_id, distance + 1 from reach join tree on target_id = node_id) select node_id, distance as steps, distance as shown from reach where distance > 0", "dependencies"
+)
+def g7_path_explanation(spark: SparkSession, sf: str) -> DataFrame:
+    tree = _tree(spark, sf)
+    steps = g.path_edges(g.shortest_paths(tree, "p-0", hops=40), tree, tree)
+    return steps.groupBy("node_id").agg(F.count("*").cast("int").alias("steps"), F.count_if("shown").cast("int").alias("shown"))
+
+
+@query("select node_id, count(distinct b) as neighbours, count(distinct edge_id) as edges from (select subject as node_id, object as b, edge_id from edges where relation <> 'infrastructure' union all select object, subject, edge_id from edges where relation <> 'infrastructure') x group by 1", "edges")
+def g8_expansion_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "edges")
+    return g.expansion_summary(e, e.filter("relation <> 'infrastructure'"))
+
+
+@query("select edge_id from edges where contains(lower(object || ' ' || relation), '-03-1')", "edges")
+def g9_community_text(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "edges").withColumns({"community_before": F.col("object"), "community_after": F.col("relation")})
+    return g.by_community(e, "-03-1").select("edge_id")
+
+
+@query("select subject as node_id, object as component from edges union select object, object from edges", "edges")
+def g10_connected_components(spark: SparkSession, sf: str) -> DataFrame:
+    return g.connected_components(view(spark, sf, "nodes"), view(spark, sf, "edges"))
+
+
+@query("select subject as node_id, split_part(object, '-', 5) as community from edges union select object, split_part(object, '-', 5) from edges", "edges")
+def g11_label_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    n = view(spark, sf, "nodes")
+    anchors = n.filter("type = 'place'").select("node_id", F.split_part("node_id", F.lit("-"), F.lit(5)).alias("community"))
+    return g.propagate_labels(n, view(spark, sf, "edges"), anchors)
+
+
+@query("select count(*) as evaluated, count(*) filter (where relation = 'transfers') as correct, round(count(*) filter (where relation = 'transfers') / cast(count(*) as double), 3) as agreement from edges", "edges")
+def g13_split_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "edges")
+    return g.split_agreement(e.select(F.col("edge_id").alias("node_id"), F.col("relation").alias("community")), e.select(F.col("edge_id").alias("node_id"), F.lit("transfers").alias("expected")), [])
+
+
+# Communities.
+_OBS = """, sets as (select snapshot_index, label, array_to_string(list_sort(list(distinct member)), chr(1)) as members, count(distinct member) as size, min(confidence) as confidence from memberships group by 1, 2),
+    obs as (select printf('s%04d:c%04d', snapshot_index, row_number() over (partition by snapshot_index order by members, label)) as obs, snapshot_index, label, size, confidence < 0.7 as uncertain from sets) """
+_LINKS = _OBS + """, mem as (select distinct o.obs, o.snapshot_index, o.size, o.uncertain, m.member from memberships m join obs o using (snapshot_index, label)),
+    pair as (select p.obs as parent, c.obs as child, c.snapshot_index - p.snapshot_index - 1 as gap, any_value(p.size) as a, any_value(c.size) as b, count(*) as i, bool_or(p.uncertain or c.uncertain) as unsure
+        from mem p join mem c on p.member = c.member and c.snapshot_index between p.snapshot_index + 1 and p.snapshot_index + 4 group by 1, 2, 3),
+    link as (select *, i / cast(a + b - i as double) as jaccard, i / cast(least(a, b) as double) as overlap from pair where gap = 0),
+    ok as (select *, (jaccard + overlap) / 2 as score, count(*) over (partition by parent) as c, count(*) over (partition by child) as p from link where jaccard >= 0.3 or overlap >= 0.6) """
+
+
+@query(_OBS + "select obs, snapshot_index, label, size, uncertain from obs", "memberships")
+def l1_observations(spark: SparkSession, sf: str) -> DataFrame:
+    return ln.observations(view(spark, sf, "memberships")).select("obs", "snapshot_index", "label", "size", "uncertain")
+
+
+@query(_LINKS + "select parent, child, round(jaccard, 6) as jaccard, round(overlap, 6) as overlap, round((jaccard + overlap) / 2, 6) as score, jaccard >= 0.3 or overlap >= 0.6 as accepted from link", "memberships")
+def l4_candidate_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Jaccard, overlap, score and acceptance of neighbours' communities that share a member."""
+    m = view(spark, sf, "memberships")
+    rows = ln.adjacent_links(m, ln.observations(m))
+    return rows.select("parent", "child", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"), "accepted")
+
+
+@query(
+    _LINKS
+    + """select * from (select 'CONTINUATION' as event, parent as parents, child as children from ok where c = 1 and p = 1
+    union all select 'SPLIT', parent, array_to_string(list_sort(list(child)), ',') from ok where c > 1 group by parent
+    union all select 'MERGE', array_to_string(list_sort(list(parent)), ','), child from ok where p > 1 group by child
+    union all select 'DEATH', obs, '' from obs where snapshot_index < (select max(snapshot_index) from obs) and obs not in (select parent from ok)
+    union all select 'BIRTH', '', obs from obs where obs not in (select child from ok)) x""",
+    "memberships",
+)
+def l6_link_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Births, deaths, continuations, splits and merges."""
+    m = view(spark, sf, "memberships")
+    obs = ln.observations(m)
+    return ln.link_events(obs, ln.adjacent_links(m, obs)).select("event", "parents", "children")
+
+
+@query()
+def l11_lineage_events(spark: SparkSession, sf: str) -> DataFrame:
+    """L6-L14 with greedy resurgence; tested against a brute-force model."""
+    return ln.events(view(spark, sf, "memberships"))
+
+
+@query()
+def l12_identities(spark: SparkSession, sf: str) -> DataFrame:
+    return ln.identities(view(spark, sf, "memberships"))
+
+
+@query("select distinct member from memberships where member not in (select 'c-' || cast(o_custkey as varchar) from orders where o_orderstatus = 'F')", "memberships")
+def l15_membership_guard(spark: SparkSession, sf: str) -> DataFrame:
+    ends = view(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.expr("'c-' || o_custkey").alias("subject"), F.lit("n").alias("object"))
+    return ln.unauthorized_members(view(spark, sf, "memberships"), ends)
+
+
+@query("select snapshot_index, label, count(*) as n from memberships where member in (select 'c-' || cast(o_custkey as varchar) from orders where o_orderstatus = 'F') group by 1, 2", "memberships")
+def l16_restrict(spark: SparkSession, sf: str) -> DataFrame:
+    seen = view(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.expr("'c-' || o_custkey").alias("member"))
+    return ln.restrict(view(spark, sf, "memberships"), seen).groupBy("snapshot_index", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    _LINKS
+    + """, ev as (select 'SPLIT' as event, parent as parents, list_sort(list(child)) as kids from ok where c > 1 group by parent)
+    select event, 'parent' as role, parents as obs from ev union all select event, 'child', unnest(kids) from ev""",
+    "memberships",
+)
+def l17_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    m = view(spark, sf, "memberships")
+    obs = ln.observations(m)
+    return ln.endpoints(ln.link_events(obs, ln.adjacent_links(m, obs)).filter("event = 'SPLIT'")).select("event", "role", "obs")
+
+
+# Ledger.
+_IMPACT = ", seen as (select 'p-0' as publication_id, 0 as depth union all select d.publication_id, depth + 1 from seen join dependencies d on d.kind = 'publication' and d.target_id = seen.publication_id) "
+
+
+def _corrections(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("fix-1", "revision", "r-0", 1)], "correction_id string, kind string, target_id string, target_version int")
+
+
+def _impacts(spark: SparkSession, sf: str) -> DataFrame:
+    return k.correction_impacts(view(spark, sf, "dependencies"), _corrections(spark))
+
+
+@query(_IMPACT + "select 'fix-1' as correction_id, publication_id, min(depth) as depth from seen group by 2", "dependencies")
+def k1_correction_impact(spark: SparkSession, sf: str) -> DataFrame:
+    return _impacts(spark, sf)
+
+
+@query(_IMPACT + "select 'fix-1' as correction_id, publication_id, min(depth) as depth from seen where publication_id not in (select publication_id from publications where k % 2 = 0) group by 2", "dependencies", "publications")
+def k3_new_impacts(spark: SparkSession, sf: str) -> DataFrame:
+    """K2-K3: least depth, and only what is not stored yet."""
+    stored = view(spark, sf, "publications").filter("k % 2 = 0").select(F.lit("fix-1").alias("correction_id"), "publication_id")
+    return k.new_impacts(_impacts(spark, sf), stored)
+
+
+@query(
+    _IMPACT + "select publication_id, case when k % 3 = 0 then 'older' when s.publication_id is not null then 'source corrected' end as stale_reason from publications left join (select distinct publication_id from seen) s using (publication_id)",
+    "dependencies",
+    "publications",
+)
+def k4_stale_marks(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "publications").withColumns({"stale_at": F.expr("case when k % 3 = 0 then published_at end"), "stale_reason": F.expr("case when k % 3 = 0 then 'older' end")})
+    why = spark.createDataFrame([("fix-1", "source corrected")], "correction_id string, reason string").withColumn("at", F.lit("2001-01-01").cast("timestamp_ntz"))
+    return k.mark_stale(p, _impacts(spark, sf), why).select("publication_id", "stale_reason")
+
+
+@query("select publication_id, row_number() over (partition by case_id, result_key order by published_at, publication_id) as generation from publications", "publications")
+def k5_generations(spark: SparkSession, sf: str) -> DataFrame:
+    return k.generations(view(spark, sf, "publications")).select("publication_id", "generation")
+
+
+@query("select case_id, result_key, arg_max(publication_id, g) as publication_id, max(g) as generation from (select *, row_number() over (partition by case_id, result_key order by published_at, publication_id) as g from publications) x group by 1, 2", "publications")
+def k6_heads(spark: SparkSession, sf: str) -> DataFrame:
+    return k.heads(k.generations(view(spark, sf, "publications")))
+
+
+@query("select 'p-' || cast(l_orderkey as varchar) as publication_id, n, row_number() over (partition by l_orderkey order by l_returnflag, n) as ordinal from (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) as n from lineitem) x")
+def k7_output_ordinals(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    rows = view(spark, sf, "lineitem").withColumn("n", F.row_number().over(order)).select(F.expr("'p-' || l_orderkey").alias("publication_id"), F.col("l_returnflag").alias("name"), F.col("n").alias("output_id"), "n")
+    return k.output_ordinals(rows).select("publication_id", "n", "ordinal")
+
+
+@query("select distinct 'p-' || cast(l_orderkey as varchar) as publication_id, 's-' || cast(l_suppkey as varchar) as target_id from lineitem")
+def k8_dependency_set(spark: SparkSession, sf: str) -> DataFrame:
+    return k.dependency_set(view(spark, sf, "lineitem").select(F.expr("'p-' || l_orderkey").alias("publication_id"), F.expr("'s-' || l_suppkey").alias("target_id")))
+
+
+@query("select kind, target_id, publication_id from dependencies where kind = 'publication' and target_id in (select publication_id from publications where case_id = 'case-1')", "dependencies", "publications")
+def k9_dependents(spark: SparkSession, sf: str) -> DataFrame:
+    targets = view(spark, sf, "publications").filter("case_id = 'case-1'").select(F.lit("publication").alias("kind"), F.col("publication_id").alias("target_id"))
+    return k.dependents(view(spark, sf, "dependencies"), targets)
+
+
+@query("select distinct 'rep-' || case_id as report_id, 'r-' || cast(k as varchar) as target_id from publications union select 'rep-' || case_id, publication_id from publications", "publications")
+def k10_report_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "publications")
+    part = lambda target: p.select(F.expr("'rep-' || case_id").alias("report_id"), F.col("case_id").alias("context"), target.alias("target_id"))
+    return k.report_dependencies(part(F.expr("'r-' || k")), part(F.col("publication_id")))
+
+
+@query("select case_id, count(*) as n from publications where k % 4 <> 0 group by 1", "publications")
+def k11_undispatched(spark: SparkSession, sf: str) -> DataFrame:
+    box = view(spark, sf, "publications").select("case_id", F.col("publication_id").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("dispatched_at"), "k", "published_at")
+    done = k.dispatched(box, box.filter("k % 4 = 0").select("event_id", F.col("published_at").alias("at")))
+    return k.undispatched(done).groupBy("case_id").agg(F.count("*").alias("n"))
+
+
+@query("select case_id, event_id, min(request_id) as request_id from (select case_id, result_key as event_id, publication_id as request_id, published_at, min(published_at) over (partition by case_id, result_key) as m from publications) x where published_at = m group by 1, 2", "publications")
+def k11_first_requests(spark: SparkSession, sf: str) -> DataFrame:
+    r = view(spark, sf, "publications").select("case_id", F.col("result_key").alias("event_id"), F.col("publication_id").alias("request_id"), F.col("published_at").alias("at"))
+    return k.first_requests(r).select("case_id", "event_id", "request_id")
+
+
+@query("select publication_id as report_id, k % 2 = 0 and k % 3 <> 0 as passed, array_to_string(list_filter([case when k % 2 <> 0 then 'sources' end, case when k % 3 = 0 then 'limits' end], lambda x: x is not null), ',') as failed from publications", "publications")
+def k12_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    m = view(spark, sf, "publications").select(F.col("publication_id").alias("report_id"), (F.col("k") % 2 == 0).alias("sources"), (F.col("k") % 3 != 0).alias("limits"))
+    return k.completeness(m, ["sources", "limits"])
+
+
+@query("select distinct 'c-' || cast(o_custkey as varchar) as member from orders where o_orderdate >= timestamp '1995-01-01 00:00:00'")
+def l3_members(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "memberships").select("member").distinct()
+
+
