@@ -108,7 +108,7 @@ def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = B
     change alike. Existing ``n_lines``/``n_removed`` columns are replaced.
     """
     keyed = docs.withColumn("__th", F.xxhash64(text_col)).withColumn("__doc", F.col(id_col).cast("long"))
-    trimmed = F.transform(F.split(F.col(text_col), "\n", -1), F.trim)
+    trimmed = F.transform(F.split(F.col(text_col), "\n", -1), lambda line: F.trim(line))
     lines = staged(
         keyed.filter(F.col("__doc").isNotNull() & (F.length(text_col) >= block_chars))
         .select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), trimmed.alias("l"))
@@ -133,13 +133,13 @@ def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = B
     both = pairs.join(first, "a").join(later, "b").select("b.doc", "b.th", "ahs", "hs", "ls")
     gone = staged(aligned(both, block_chars).groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
 
-    gone = maybe_broadcast(gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "gone"), 100_000)
+    gone = maybe_broadcast(gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), 100_000)
     split = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(split, lambda line, at: ~F.array_contains(F.col("gone"), at)), "\n")
+    left = F.array_join(F.filter(split, lambda line, at: ~F.array_contains(F.col("__gone"), at)), "\n")
     return (
         keyed.join(gone, ["__doc", "__th"], "left")
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))
-        .withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
-        .withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left))
+        .withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
+        .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
         .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
     )
