@@ -43,11 +43,11 @@ def e3_factor_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("factor").agg(F.count("*").alias("n"), F.count("value").alias("observed"))
 
 
-@query(_EV + "select item_id, n as records, status, case when status = 'ordered' then round(round(idx, 6), 3) end as index, round(pen, 5) as penalty from items", "evidence")
+@query(_EV + "select item_id, n as records, status, case when status = 'ordered' then round(round(idx, 6), 3) end as index, round(pen, 6) as penalty from items", "evidence")
 def e6_assessments(spark: SparkSession, sf: str) -> DataFrame:
     """Index, abstention and missingness per item."""
     a = e.assess(view(spark, sf, "evidence"))
-    return a.select("item_id", "records", "status", F.round("index", 3).alias("index"), F.round("penalty", 5).alias("penalty"))
+    return a.select("item_id", "records", "status", F.round("index", 3).alias("index"), "penalty")
 
 
 @query(
