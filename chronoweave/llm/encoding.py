@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond it the store starts anew (memory only, never results).
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Letters that every Unicode version has, so that the file's own splitting pattern and this one agree.
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Letters that every Unicode version has, ASCII digits, marks but the apostrophe (which opens contractions), and single
+#: line ends: between these, and before their spaces, the file's own splitting pattern always cuts.
+_RUNS = r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[!-&(-/:-@\[-`{-~]+| ?[0-9]+|\n(?=[^\s])"
+#: How byte-level vocabularies write a line end; no run holds one.
+BREAK = "Ċ"
+_RUN, _ONLY_RUNS = re.compile(_RUNS), re.compile(rf"(?:{_RUNS})+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -30,10 +34,10 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """``encode(texts)`` gives for each text what the library's own ``encode`` gives, as a numpy array.
 
-    Where the file is byte-level BPE without normalizer, a text is the concatenation of its
-    pieces before each space that follows a non-space, whatever stands around; so a piece is
-    encoded once and its ids are kept. Other files, and texts with an added token's string,
-    go through the library whole.
+    Where the file is byte-level BPE without normalizer, a text that is all runs of letters, digits, marks and single line
+    ends is the concatenation of these; any other text is that of its pieces before each space that follows a non-space.
+    So a run or piece is encoded once and its ids are kept. Other files, and texts with an
+    added token's string, go through the library whole.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -41,6 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 0xFFFF else "<u4")
         spec = json.loads(self.tokenizer.to_str())
         split = spec.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -52,61 +57,102 @@ class Encoder:
             and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         )
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
-        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 0xFFFF else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.kept, self.known = kept, {}
+        if self.by_piece:
+            from tokenizers import pre_tokenizers
+
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Split(BREAK, "isolated")
+            self.break_id = self.tokenizer.token_to_id(BREAK)
+            self.line_end = self._whole(["\n"])[0].tobytes()
+            self.by_piece = self.break_id is not None
+        self.kept, self.known, self.old = kept // 2, {}, {}
         self.letters = byte_letters()
-        self.stops = {c: self._whole([c])[0].tobytes() for c in ".,"} if self.by_piece else {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _runs(self, runs: list[str]) -> None:
+        """Ids of runs, many in one call: they are spelled as the vocabulary has them, with a line end between."""
+        letters, known = self.letters, self.known
+        for at in range(0, len(runs), 2000):
+            part = runs[at : at + 2000]
+            spelled = ["Ġ" + r[1:] if r[0] == " " and r.isascii() else r.encode().decode("latin-1").translate(letters) for r in part]
+            ids = np.array(self.words.encode_batch_fast([BREAK.join(spelled)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            flat, size = ids.tobytes(), self.dtype.itemsize
+            ends = (np.flatnonzero(ids == self.break_id) * size).tolist()
+            ends.append(len(flat))
+            start = 0
+            for run, end in zip(part, ends, strict=True):
+                known[run] = flat[start:end]
+                start = end + size
+
     def _learn(self, pieces: Iterable[str]) -> None:
-        known, letters, model, code, rest = self.known, self.letters, self.tokenizer.model, self.code, []
+        known, old, made, rest, need = self.known, self.old, [], [], set()
+        known["\n"] = self.line_end
         for piece in pieces:
-            m = _WORD.match(piece)
-            stop = b"" if m and m.end() == len(piece) else self.stops.get(piece[m.end() :]) if m else None
-            if stop is None:
+            first = piece[0]
+            if piece.isascii() and piece[1:].isalpha() and (first == " " or first.isalpha()):
+                need.add(piece)
+            elif _ONLY_RUNS.fullmatch(piece):
+                runs = _RUN.findall(piece)
+                if len(runs) > 1:
+                    made.append((piece, runs))
+                for run in runs:
+                    if run not in known:
+                        ids = old.get(run)
+                        if ids is None:
+                            need.add(run)
+                        else:
+                            known[run] = ids
+            else:
                 rest.append(piece)
-                continue
-            word = m[0]
-            ids = known.get(word)
-            if ids is None:
-                spelled = "Ġ" + word[1:] if word[0] == " " else word
-                if not word.isascii():
-                    spelled = word.encode().decode("latin-1").translate(letters)
-                ids = known[word] = array(code, [t.id for t in model.tokenize(spelled)]).tobytes()
-            known[piece] = ids + stop
+        self._runs([r for r in need if r not in known])
+        for piece, runs in made:
+            known[piece] = b"".join([known[run] for run in runs])
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             known.update(zip(part, (x.tobytes() for x in self._whole(part)), strict=True))
 
+    def _chunks(self, text: str) -> list[str] | None:
+        if any(x in text for x in self.added):
+            return None
+        runs = _RUN.findall(text)
+        if sum(map(len, runs)) == len(text):
+            return runs
+        if _SPACED.search(text):
+            return _CUT.split(text)
+        first, *words = text.split(" ")
+        return [first, *[" " + w for w in words]]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return self._whole(texts)
-        split: list[list[str] | None] = []
-        for text in texts:
-            if any(x in text for x in self.added):
-                split.append(None)
-            elif _SPACED.search(text):
-                split.append(_CUT.split(text))
-            else:
-                words = text.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                split.append(words)
-        seen = set().union(*(w for w in split if w is not None))
-        seen.discard("")
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = seen
-        self._learn(new)
-        self.known[""] = b""
-        get = self.known.__getitem__
-        return [
-            self._whole([text])[0] if words is None else np.frombuffer(b"".join(map(get, words)), dtype=self.dtype)
-            for text, words in zip(texts, split, strict=True)
-        ]
+        # The lists of a batch are many and hold no cycles; collecting among them is time lost.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            split = [self._chunks(text) for text in texts]
+            seen = set().union(*(w for w in split if w is not None))
+            new = seen.difference(self.known)
+            # Two generations: what a full store held is kept until the next one is full, and used again from there.
+            if len(self.known) + len(new) > self.kept:
+                self.old, self.known = self.known, {}
+                new = seen
+            known, old = self.known, self.old
+            if old:
+                met = old.keys() & new
+                known.update((w, old[w]) for w in met)
+                new = new.difference(met)
+            self._learn(new)
+            known[""] = b""
+            get = known.__getitem__
+            return [
+                self._whole([text])[0] if words is None else np.frombuffer(b"".join(map(get, words)), dtype=self.dtype)
+                for text, words in zip(texts, split, strict=True)
+            ]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @functools.cache

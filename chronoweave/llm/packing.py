@@ -15,7 +15,7 @@ from .common import list_array, maybe_broadcast, slices, staged
 from .encoding import encoder
 
 #: Rows of one length (or of one group of long documents) ranked together in a task.
-RANKED_TOGETHER = 4096
+RANKED_TOGETHER = 512
 
 
 def shortest_pack_first(counts: Mapping[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
