@@ -24,7 +24,8 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Matched positions of two sequences, increasing in both.
 
     In each range: the common head and tail match; items that are unique in both ranges match
-    along their longest increasing run of positions; the gaps between are ranges again.
+    along their longest increasing run of positions (first occurrences, where none is unique); the
+    gaps between are ranges again.
     """
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -41,7 +42,12 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         once = Counter(a[i:j])
         there = Counter(b[k:m])
         at = {x: p for p, x in enumerate(b[k:m], k) if there[x] == 1 and once.get(x) == 1}
-        pairs = [(p, at[x]) for p, x in enumerate(a[i:j], i) if x in at]
+        if not at:  # then the first occurrences of common items
+            at = {x: p for p, x in reversed(list(enumerate(b[k:m], k))) if x in once}
+            ahead = {x: p for p, x in reversed(list(enumerate(a[i:j], i))) if x in at}
+            pairs = sorted((p, at[x]) for x, p in ahead.items())
+        else:
+            pairs = [(p, at[x]) for p, x in enumerate(a[i:j], i) if x in at]
         if not pairs:
             continue
         tails: list[int] = []
@@ -68,16 +74,25 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], least: int) -> list[tuple[int, int]]:
-    """Ranges ``[from, to)`` of ``b`` aligned with consecutive items of ``a`` and at least ``least`` in size."""
-    blocks: list[list[int]] = []
-    before = (-2, -2)
-    for p, q in patience(a, b):
-        if (p - 1, q - 1) == before:
-            blocks[-1][1] = q + 1
-        else:
-            blocks.append([q, q + 1])
-        before = (p, q)
-    return [(s, e) for s, e in blocks if sum(sizes[s:e]) >= least]
+    """Ranges ``[from, to)`` of ``b`` aligned with consecutive items of ``a`` and at least ``least`` in size.
+
+    Items of ``b`` that an alignment matched are set aside and the rest is aligned again, so a block
+    that moved or stands twice is found too; it ends when less than a block of ``b`` is left in common.
+    """
+    there, out = set(a), []
+    rest = list(b)
+    while sum(size for x, size in zip(rest, sizes, strict=True) if x in there) >= least:
+        blocks: list[list[int]] = []
+        before = (-2, -2)
+        for p, q in patience(a, rest):
+            if (p - 1, q - 1) == before:
+                blocks[-1][1] = q + 1
+            else:
+                blocks.append([q, q + 1])
+            before = (p, q)
+            rest[q] = (q,)  # equals nothing in a
+        out += [(s, e) for s, e in blocks if sum(sizes[s:e]) >= least]
+    return sorted(out)
 
 
 def aligned(pairs: DataFrame, least: int) -> DataFrame:
