@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 #: Rows (of a few dozen bytes each) up to which a counted table may be broadcast.
 BROADCAST_ROWS = 400_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers started on this machine import the library from where the driver did.
 
     On a cluster the library reaches executors with ``--py-files`` or is installed there; a
-    path that an executor lacks does no harm.
+    path that an executor lacks does no harm. Rows here are whole texts, so Arrow's default of 10,000 of them
+    in a batch is lowered; a number the user has set stays.
     """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "500")
     home = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]

@@ -198,9 +198,10 @@ def score(docs: DataFrame, model: Views | None, threshold: float = 0.5, id_col:
     docs = docs.drop(*added)
     if model is None:
         return docs.select("*", *[F.lit(None).cast("double").alias(c) for c in added[:3]], F.lit(True).alias("good"))
-    seen = _columns(docs, id_col, text_col).columns[1:]
-    view = docs.select("*", *[(F.col(text_col) if c == "text" else F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(f"__{c}") for c, k in zip(seen, ("string", "string", "string", "long"), strict=True)])
-    width = len(docs.columns)
+    # Texts go to Python once: a view's columns are taken from the row where it has them, else added as nulls.
+    wanted = {text_col: "string", "lang": "string", "source": "string", "n_chars": "long"}
+    view = docs.select("*", *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(f"__{c}") for c, k in wanted.items() if c != text_col])
+    width, at = len(docs.columns), [docs.columns.index(text_col), *range(len(docs.columns), len(docs.columns) + 3)]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added[:3]], T.StructField("good", T.BooleanType())])
     names = schema.names
 
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Views | None, threshold: float = 0.5, id_col:
         for batch in slices(batches):
             if not batch.num_rows:
                 continue
-            text, lang, source, size = (c.to_pylist() for c in batch.columns[width:])
+            text, lang, source, size = (batch.column(k).to_pylist() for k in at)
             p = model.score(np.array([text_view(t) for t in text]), np.array([meta_view(*r) for r in zip(text, lang, source, size, strict=True)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(x, pa.float64()) for x in p), pa.array(p[2] >= threshold)], names)
 
