@@ -226,14 +226,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         found = verified(stars, sets, percent)
         links = staged(found if links is None else links.unionByName(found), "links")
         joined = components(links)
-        held = held.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+        held = held.drop("component", "c", "pairs").join(joined, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
         per = held.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("parts"))
         per = per.filter("parts > 1").select("key", "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"))
         held = staged(held.join(per, "key"), "open")
         now = held.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()["pairs"]
         if not now or now > 0.5 * before:
             break
-        before, held = now, held.drop("c", "pairs")
+        before = now
 
     few = held.filter(F.col("c") <= PAIRED)
     other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))

@@ -175,6 +175,16 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, paired):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("paired", [0, 6])
+def test_near_duplicates_when_star_rounds_are_used_up(spark, monkeypatch, paired):
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)  # the first round never breaks off while pairs are open
+    texts = variants(3, 4, 40)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, size=2).collect()}
+    assert got == near_brute(texts, 2)[1]
+
+
 def test_signature_estimates_similarity():
     c, rng = minhash.Circulant(2000), np.random.default_rng(0)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
