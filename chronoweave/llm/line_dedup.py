@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from .common import maybe_broadcast, slices, staged
 RARE = 6
 #: Characters in lines that a pair must share, and that an aligned block must have to go.
 BLOCK_CHARS = 120
+# Runs of lines are named by a polynomial of their lines' hashes.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 #: Shorter lines are no reason to compare two documents (they still align).
 ANCHOR_CHARS = 20
 
@@ -73,11 +76,37 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def least_runs(hashes: Sequence[int], sizes: Sequence[int], least: int) -> list[tuple[int, int, int]]:
+    """``from, to, key`` of every shortest run of consecutive items that reaches ``least`` in size, from each start and to each end.
+
+    Each item of a stretch of at least that size lies in such a run that the stretch contains, so two sequences have a
+    stretch in common where, and only where, they have runs of equal keys.
+    """
+    n = len(hashes)
+    sums, power, through = [0], [1], [0]
+    for h, size in zip(hashes, sizes, strict=True):
+        through.append(through[-1] + size)
+        sums.append((sums[-1] * _BASE + h % _PRIME + 1) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    runs, e, s = set(), 0, 0
+    for k in range(n):
+        while e < n and through[e] - through[k] < least:
+            e += 1
+        if through[e] - through[k] >= least:
+            runs.add((k, e))
+        while through[k + 1] - through[s + 1] >= least:
+            s += 1
+        if through[k + 1] - through[s] >= least:
+            runs.add((s, k + 1))
+    return [(s, e, (sums[e] - sums[s] * power[e - s]) % _PRIME) for s, e in sorted(runs)]
+
+
 def common_blocks(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], least: int) -> list[tuple[int, int]]:
     """Ranges ``[from, to)`` of ``b`` aligned with consecutive items of ``a`` and at least ``least`` in size.
 
     Items of ``b`` that an alignment matched are set aside and the rest is aligned again, so a block
-    that moved or stands twice is found too; it ends when less than a block of ``b`` is left in common.
+    that moved or stands twice is found too; it ends when less than a block of ``b`` is left in common. Blocks whose
+    items one alignment matched at different places of ``a`` are found by their runs.
     """
     there, out = set(a), []
     rest = list(b)
@@ -92,6 +121,11 @@ def common_blocks(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], leas
             before = (p, q)
             rest[q] = (q,)  # equals nothing in a
         out += [(s, e) for s, e in blocks if sum(sizes[s:e]) >= least]
+    shared = [0, *accumulate(x in there for x in b)]
+    if shared[-1] and (left := [(s, e, k) for s, e, k in least_runs(b, sizes, least) if shared[e] - shared[s] == e - s and not any(x <= s and e <= y for x, y in out)]):
+        size_of = dict(zip(b, sizes, strict=True))
+        known = {k for _, _, k in least_runs(a, [size_of.get(x, least) for x in a], least)}
+        out += [(s, e) for s, e, k in left if k in known]
     return sorted(out)
 
 
@@ -108,14 +142,29 @@ def aligned(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.mapInArrow(align, "doc long, th long, gone array<int>").filter("size(gone) > 0")
 
 
-def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _runs(lines: DataFrame, least: int) -> DataFrame:
+    """``who, h``: the distinct keys of each document's least runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [list({k for _, _, k in least_runs(hs, ls, least)}) for hs, ls in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc", "th", "keys"])
+
+    each = lines.select("doc", "th", "hs", "ls").mapInArrow(run, "doc long, th long, keys array<long>")
+    return each.select(F.struct("doc", "th").alias("who"), F.explode("keys").alias("h"))
+
+
+def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """``docs`` with repeated blocks cut from ``text_col``, plus ``n_lines`` and ``n_removed`` (ints).
 
     Documents are ordered by (id, hash of the text). Lines are compared trimmed. Two documents
     are aligned if they share at least ``block_chars`` characters in lines by which they met: a line held by
     at most ``rare`` documents makes all its holders meet, and any line makes each holder meet the first one, so
     the pairs of a line that a third of all documents hold are as many as these, and a passage
-    copied everywhere still goes from all but its first document. Aligned blocks of
+    copied everywhere still goes from all but its first document. With ``runs``, each holder of a run of
+    consecutive lines also meets that run's first holder, for all runs that just reach ``block_chars``, short lines
+    included; every line of a block that any earlier document holds is then in a run whose first holder is
+    met, for at most two pairs a line. Without it passages of several lines, each of which many hold, stay. Aligned blocks of
     at least ``block_chars`` characters go from the later document, judged on original texts.
 
     Null texts stay null with 0 lines; an empty text has one line and loses none. Null ids
@@ -141,7 +190,12 @@ def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = B
     stars = held.select(F.col("first").alias("a"), F.col("who").alias("b"), "chars")
     few = held.filter(f"df between 3 and {rare}").select("h", "who", "chars")
     met = few.join(few.select("h", F.col("who").alias("b")), "h").filter("who < b").select(F.col("who").alias("a"), "b", "chars")
-    pairs = staged(stars.unionByName(met).groupBy("a", "b").agg(F.sum("chars").alias("chars")).filter(F.col("chars") >= block_chars).select("a", "b"), "pairs")
+    pairs = staged(stars.unionByName(met).groupBy("a", "b").agg(F.sum("chars").alias("chars")).filter(F.col("chars") >= block_chars).select("a", "b"), "met")
+
+    if runs:
+        each = _runs(lines, block_chars)
+        begun = each.groupBy("h").agg(F.min("who").alias("a"), F.count("*").alias("df")).filter("df > 1").select("h", "a")
+        pairs = staged(pairs.unionByName(each.join(begun, "h").filter("who <> a").select("a", F.col("who").alias("b"))).distinct(), "pairs")
 
     first = lines.select(F.struct("doc", "th").alias("a"), F.col("hs").alias("ahs"))
     later = lines.select(F.struct("doc", "th").alias("b"), "hs", "ls")

@@ -86,7 +86,7 @@ select doc_id, domain, lang, source, epoch, n_tokens from run where epoch < full
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the blocks that an earlier document has."""
-    return drop_repeated_blocks(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return drop_repeated_blocks(table(spark, sf_dir, "documents"), runs=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without blocks that an earlier document has, their sizes counted anew; those left without a word go."""
     ship(spark)
-    out = drop_repeated_blocks(docs).filter("n_removed = 0 or length(trim(text)) > 0")
+    out = drop_repeated_blocks(docs, runs=True).filter("n_removed = 0 or length(trim(text)) > 0")
     if "n_chars" in docs.columns:
         size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))

@@ -286,6 +286,36 @@ def test_line_dedup_equals_brute_force(spark):
     assert all(r["n_lines"] == len(texts[i].split("\n")) for i, r in got.items())
 
 
+def every_block(texts, least_chars):
+    """Lines of each text that lie in a stretch of consecutive lines, long enough, which any earlier text has."""
+    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    for b in texts:
+        for a in (x for x in texts if x < b):
+            for j in range(len(lines[b])):
+                for i in range(len(lines[a])):
+                    n = 0
+                    while i + n < len(lines[a]) and j + n < len(lines[b]) and lines[a][i + n] == lines[b][j + n]:
+                        n += 1
+                    if sum(map(len, lines[b][j : j + n])) >= least_chars:
+                        gone[b] |= set(range(j, j + n))
+    return gone
+
+
+def test_line_dedup_compares_passages_of_short_common_lines(spark):
+    one, two = ("x" * 52).join("ab"), "y" * 70
+    texts = {k: f"{one}\nown {k}" for k in range(8)} | {k: f"own {k}\n{two}" for k in range(8, 16)}
+    texts |= {k: f"start {k}\n{one}\n{two}\nend {k}" for k in range(16, 20)}
+    rng = random.Random(11)
+    pool = ["", "", *("".join(rng.choice("abcdef ") for _ in range(rng.choice([3, 15, 40, 60]))).strip() + "." for _ in range(7))]
+    texts |= {k: "\n".join([f"first {k}", *(rng.choice(pool) for _ in range(rng.randint(1, 12)))]) for k in range(20, 90)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_blocks(df, runs=True).collect()}
+    gone = every_block(texts, line_dedup.BLOCK_CHARS)
+    assert got[16] == texts[16] and got[17] == "start 17\nend 17"
+    assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+
+
 def test_line_dedup_hostile(spark, hostile, none):
     got = line_dedup.drop_repeated_blocks(hostile.withColumn("gone", F.lit(1)))
     assert got.columns[-3:] == ["gone", "n_lines", "n_removed"] and got.count() == len(HOSTILE)
