@@ -46,7 +46,7 @@ _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: its style path, whether it or a parent is beside the article or the article, and its text."""
 
-    __slots__ = ("aside", "main", "name", "parent", "path", "styles", "tag", "words")
+    __slots__ = ("aside", "beside", "chars", "held", "main", "name", "parent", "path", "styles", "tag", "top", "words")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs or "hidden" in attrs else {}
@@ -59,9 +59,18 @@ class Node:
         self.main = (parent is not None and parent.main) or tag in ("article", "main") or role in MAIN_ROLES
         beside = tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         beside |= tag == "header" and not self.main
-        if not beside and ("class" in found or "id" in found) and tag not in ("html", "body", "article", "main"):
-            beside = any(ASIDE_WORDS.match(w.lower()) for w in _PARTS.split(f"{found.get('class', '')} {found.get('id', '')}") if w)
+        self.top = self.main and not (parent is not None and parent.main)
         self.aside = beside or (parent is not None and parent.aside)
+        # Marked by a word only; ``blocks`` decides when it has read the page.
+        self.beside = False
+        if not self.aside and ("class" in found or "id" in found) and tag not in ("html", "body", "article", "main"):
+            named = f"{found.get('class', '')} {found.get('id', '')}"
+            if self.main:  # a whole name inside the article, where a header is the article's own
+                self.beside = any(ASIDE_WORDS.match(w) and w != "header" for w in named.lower().split())
+            else:
+                self.beside = any(ASIDE_WORDS.match(w.lower()) for w in _PARTS.split(named) if w)
+        self.chars = 0  # of the branch's text, without what HTML itself marks as beside the article
+        self.held = False  # whether it holds a part of the page that no word may take
         self.styles: list[str] = []  # children, in order
         self.words = xxhash.xxh3_64()  # the branch's text
 
@@ -92,6 +101,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
                 out.append((text, owner))
                 for n in owner.branches():
                     n.words.update(text.encode("utf-8", "surrogatepass"))
+                    n.chars += 0 if owner.aside else len(text)
             held = []
 
     at = 0
@@ -139,9 +149,33 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
             owner = stack[-1]
         held.append(page[at:])
     flush()
+    if any(n.beside for n in nodes):
+        _judge_words(root, nodes, out)
     return out, nodes
 
 
+def _judge_words(root: Node, nodes: list[Node], found: list[tuple[str, Node]]) -> None:
+    """Marks what goes by a word in its class or id.
+
+    No word takes a branch that holds over half of the page's text, a main element, or an article at
+    least half as long as the page's longest (comments and teasers are often short articles of their own). If words
+    took all text, none counts.
+    """
+    longest = max((n.chars for n in nodes if n.top and not n.aside), default=0)
+    for n in nodes:
+        if n.top and not n.aside and n.chars and (n.tag != "article" or 2 * n.chars >= longest):
+            for b in n.branches():
+                if b.held:
+                    break
+                b.held = True
+    hard = [n.aside for n in nodes]
+    for n in nodes:  # parents stand before children
+        n.aside = n.aside or (n.parent is not None and n.parent.aside) or (n.beside and not n.held and 2 * n.chars <= root.chars)
+    if root.chars and all(n.aside for _, n in found):
+        for n, aside in zip(nodes, hard, strict=True):
+            n.aside = aside
+
+
 def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -153,7 +187,8 @@ def key(text: str) -> int:
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """Blocks of the article joined by an empty line.
 
-    Branches that stand beside an article go, whatever their importance; branches of low importance
+    Branches that stand beside an article by element or role, or by a word in class or id (see ``_judge_words``), go,
+    whatever their importance; branches of low importance
     (``low``, hashed paths) go unless they lie in or around the article element. With an article
     or main element its blocks are the text, else all that is left.
     """

@@ -386,6 +386,17 @@ def test_page_parts():
     assert site_tree.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_words_in_classes_take_no_article():
+    text = site_tree.main_text
+    assert text("<div class='page has-sidebar'><article>Body</article><div class='sidebar'>x</div></div>") == "Body"
+    assert text("<article><div class='entry-header'><h1>Head</h1></div><div class='header'>by A</div><p>Body</p><div class='ad'>x</div></article>") == "Head\n\nby A\n\nBody"
+    for name in ("social-sciences", "search-results", "legal-news", "share-price", "left-side"):
+        assert text(f"<div class='{name}'><p>Long words of the page itself</p></div><div class='ad'>x</div>") == "Long words of the page itself"
+        assert text(f"<article><p>Body of the article</p><div id='{name}'>part</div></article>") == "Body of the article\n\npart"
+    assert text("<article>A long body of an article</article><div id='comments'><article>Nice</article></div>") == "A long body of an article"
+    assert text("<div class='promo'>one</div><div class='share'>two</div>") == "one\n\ntwo"
+
+
 def test_low_importance_branches_go_where_no_article_is(spark):
     rows = [(i, "http://h.example/x", f"<div class='top'>Same words</div><div class='c'><p>Own words {i}</p></div>") for i in range(20)]
     rows += [(90, "http://one.example/", "<div class='top'>Same words</div>"), (91, None, None), (92, "no url", ""), (93, "http://h.example/", "<<<>>&#xzz;<b")]
