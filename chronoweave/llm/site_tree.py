@@ -184,18 +184,22 @@ def key(text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset[int] = frozenset(), same: frozenset[int] = frozenset()) -> str:
     """Blocks of the article joined by an empty line.
 
     Branches that stand beside an article by element or role, or by a word in class or id (see ``_judge_words``), go,
-    whatever their importance; branches of low importance
-    (``low``, hashed paths) go unless they lie in or around the article element. With an article
-    or main element its blocks are the text, else all that is left.
+    whatever their importance. With an article or main element its blocks are the text, without the block elements
+    inside it that are of low importance and whose own text is, too (``same``, hashed paths), unless these are over half
+    of it. Else the text is all that is left without branches of low importance (``low``).
     """
     found, _ = blocks(page)
     left = [(t, n) for t, n in found if not n.aside]
     if any(n.main for _, n in left):
         left = [(t, n) for t, n in left if n.main]
+        if same:
+            own = [(t, n) for t, n in left if not any(b.main and not b.top and b.tag in BLOCK and signed(b.path) in same for b in n.branches())]
+            if 2 * sum(len(t) for t, _ in own) >= sum(len(t) for t, _ in left):
+                left = own
     elif low:
         left = [(t, n) for t, n in left if not any(signed(b.path) in low for b in n.branches())]
     return "\n\n".join(t for t, _ in left)
@@ -207,7 +211,7 @@ def host_of(url: str):
 
 
 def style_tree(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``host, node, pages, importance`` of every style node of every site.
+    """``host, node, pages, importance, content`` of every style node of every site, inside articles and out.
 
     A node is a path of element names with classes. Over the pages of a host that have it, its
     presentation importance is the entropy (to the base of the number of pages) of its children's
@@ -223,7 +227,7 @@ def style_tree(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 _, nodes = blocks(page)
                 seen: dict[int, list[str]] = {}
                 for n in nodes:
-                    if not n.aside and not n.main:
+                    if not n.aside:
                         part = seen.setdefault(signed(n.path), ["", ""])
                         part[0] += "|" + ",".join(n.styles)
                         part[1] += n.words.hexdigest()
@@ -240,26 +244,26 @@ def style_tree(pages: DataFrame, html_col: str = "html") -> DataFrame:
     pick = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     tree = by_kind.groupBy("host", "node").agg(F.max("n").alias("pages"), pick("ways", 0).alias("ways"), pick("h", 0).alias("presentation"), pick("h", 1).alias("content"))
     fade = F.pow(F.lit(ATTENUATION), F.col("ways"))
-    return tree.select("host", "node", "pages", ((1 - fade) * F.col("presentation") + fade * F.col("content")).alias("importance"))
+    return tree.select("host", "node", "pages", ((1 - fade) * F.col("presentation") + fade * F.col("content")).alias("importance"), "content")
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` (code points) for every row of ``pages``.
 
     The pages of a host form its style tree; nodes of low importance that at least ``LEAST_PAGES``
-    pages have are removed from each page, with what HTML itself marks as beside the article. Null and empty
+    pages have are removed from each page, inside its article too, with what HTML itself marks as beside the article. Null and empty
     pages have an empty text. Pages without host have no tree. Repeated rows stay. Other columns
     are not read.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.nullif(host_of(url_col), F.lit("")).alias("host"))
     tree = style_tree(rows.filter("host is not null"), "html")
-    low = staged(tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < least)).groupBy("host").agg(F.collect_set("node").alias("low")), "low")
+    low = staged(tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < least)).groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set(F.when(F.col("content") < least, F.col("node"))).alias("same")), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [main_text(page, frozenset(low or ())) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(page, frozenset(low or ()), frozenset(same or ())) for page, low, same in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(maybe_broadcast(low, 50_000), "host", "left").select("page_id", "url", "html", "low")
+    joined = rows.join(maybe_broadcast(low, 50_000), "host", "left").select("page_id", "url", "html", "low", "same")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

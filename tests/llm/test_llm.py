@@ -406,6 +406,15 @@ def test_low_importance_branches_go_where_no_article_is(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_low_importance_branches_go_inside_articles(spark):
+    rows = [(i, "http://h.example/x", f"<main><h1>Head {i}</h1><div class='c'><p>Own words {i} <b>same</b> and on</p></div><div class='box'><p>About the author</p></div></main>") for i in range(20)]
+    rows += [(k, "http://copies.example/", "<article><h1>Head</h1><p>Body</p></article>") for k in range(30, 40)]
+    rows += [(k, "http://few.example/", f"<main><p>Own {k}</p><div class='box'>Same</div></main>") for k in range(50, 50 + site_tree.LEAST_PAGES - 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(df).collect()}
+    assert got[3] == "Head 3\n\nOwn words 3 same and on" and got[30] == "Head\n\nBody" and got[50] == "Own 50\n\nSame"
+
+
 # Language models.
 def test_losses_equal_direct_counts(spark):
     texts = {i: t for i, t in enumerate(["a b a b c", "a b", "c c d", "", None, "d a", "A  b\nz"])}
