@@ -57,12 +57,12 @@ def token_lengths(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4")
         for batch in slices(batches):
-            sizes, crcs = [], []
-            for ids in enc.encode([t or "" for t in batch.column(1).to_pylist()]):
-                whole = np.concatenate([ids.astype("<u4"), end])
-                sizes.append(len(whole))
+            ids, sizes = enc.flat(batch.column(1))
+            ends = np.cumsum(sizes)
+            ids, sizes = np.insert(ids.astype("<u4"), ends, end_id), sizes + 1
+            crcs = []
+            for whole in np.split(ids, np.cumsum(sizes)[:-1]):
                 crcs.append(np.array([zlib.crc32(whole[k : k + capacity].tobytes()) for k in range(0, len(whole), capacity)], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), list_array(crcs, pa.int64())], ["doc_id", "doc_tokens", "crcs"])
 
@@ -121,7 +121,11 @@ def pack(lengths: DataFrame, capacity: int = 2048) -> DataFrame:
     long = rows.filter("full > 0")
     groups = max(1, long.count() // RANKED_TOGETHER)
     long = long.withColumn("salt", F.pmod("h", F.lit(groups)).cast("int"))
-    sums = _running(long.groupBy("salt").agg(F.sum("full").alias("n")), Window.partitionBy(F.lit(0)).orderBy("salt"))
+    # Running sums over groups, in two levels: groups of groups first, so that no task sees them all.
+    sums = long.groupBy("salt").agg(F.sum("full").alias("n")).withColumn("thousand", F.expr("salt div 1000"))
+    tops = _running(sums.groupBy("thousand").agg(F.sum("n").alias("n")), Window.partitionBy(F.lit(0)).orderBy("thousand"))
+    sums = _running(sums, Window.partitionBy("thousand").orderBy("salt")).join(tops.withColumnRenamed("before", "above"), "thousand")
+    sums = sums.select("salt", (F.col("before") + F.col("above")).alias("before"))
     within = Window.partitionBy("salt").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = (
         long.withColumn("k", F.sum("full").over(within) - F.col("full"))

@@ -49,14 +49,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         store.create_dir(root, recursive=True)
         names = {k: f"{root}/{part:06d}.{k}" for k in ("ids", "off", "doc")}
         mine = {k: f"{v}.attempt{task.taskAttemptId()}" for k, v in names.items()}
-        end = np.array([end_id], dtype=enc.dtype)
         docs_n, ids_n = 0, 0
         with store.open_output_stream(mine["ids"]) as ids, store.open_output_stream(mine["off"]) as off, store.open_output_stream(mine["doc"]) as doc:
             off.write(np.zeros(1, "<i8").tobytes())
             for batch in slices(batches):
-                encoded = enc.encode(batch.column(1).to_pylist())
-                ids.write(b"".join(x.tobytes() + end.tobytes() for x in encoded))
-                at = ids_n + np.cumsum([len(x) + 1 for x in encoded], dtype="<i8")
+                encoded, sizes = enc.flat(batch.column(1))
+                ids.write(np.insert(encoded, np.cumsum(sizes), end_id).tobytes())
+                at = ids_n + np.cumsum(sizes + 1, dtype="<i8")
                 off.write(at.tobytes())
                 doc.write(np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], "<i8").tobytes())
                 docs_n, ids_n = docs_n + batch.num_rows, int(at[-1])

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,21 @@ def test_encoder_is_the_library(encoder, texts):
     assert [list(x) for x in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.fixture(scope="module")
+def small_encoder():
+    return Encoder(tokenizer_path(), kept=3, at_once=7)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abz Àɏɐé'.,*$\n\t\x1c \xa0\u2003\u3000ß中😀5½\u0301б")), max_size=60), max_size=8))
+def test_encoder_cuts_long_texts_and_empties_its_store(small_encoder, texts):
+    enc = small_encoder
+    texts = [*texts, "a b " * 30, "x" * 200, None, "word " + "y" * 90 + " z"]
+    ids, sizes = enc.flat(pa.array(texts, pa.string()))
+    want = [e.ids for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_token_files_round_trip(spark, hostile, none, encoder):
     folder = fresh_path(spark, "t")
     token_files.write_token_files(hostile, folder, tokenizer_path(), 2, partitions=3)
