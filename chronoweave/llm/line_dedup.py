@@ -11,16 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices, staged
+from .common import slices, staged
 
-#: A line held by at most so many documents pairs all of them; any other pairs each holder with the first one.
-RARE = 6
-#: Characters in lines that a pair must share, and that an aligned block must have to go.
+#: Characters that an aligned block must have to go.
 BLOCK_CHARS = 120
+#: Changed documents and lines of theirs up to which what goes is broadcast.
+BROADCAST_DOCS, BROADCAST_LINES = 100_000, 2_000_000
 # Runs of lines are named by a polynomial of their lines' hashes.
 _PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
-#: Shorter lines are no reason to compare two documents (they still align).
-ANCHOR_CHARS = 20
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -154,18 +152,33 @@ def _runs(lines: DataFrame, least: int) -> DataFrame:
     return each.select(F.struct("doc", "th").alias("who"), F.explode("keys").alias("h"))
 
 
-def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+def _hot(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n`` of the keys that more than a thousandth of ``rows`` (and over 4,000 rows) have: at most 1,000 rows."""
+    least = max(4000, rows.count() // 1000)
+    return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > least)
+
+
+def _paired(each: DataFrame) -> DataFrame:
+    """``a, b``: each holder of a run beside the run's first holder."""
+    known = staged(each.groupBy("h").agg(F.min("who").alias("a"), F.count("*").alias("df")).filter("df > 1"), "firsts")
+    # Runs that a large share of all rows hold don't move by their key: they are few and broadcast.
+    rows = each.count()
+    often = F.broadcast(known.filter(F.col("df") > max(4000, rows // 1000)).select("h", "a"))
+    seldom = known.filter(F.col("df") <= max(4000, rows // 1000)).select("h", "a")
+    met = each.join(often, "h").unionByName(each.join(often.select("h"), "h", "left_anti").join(seldom, "h"))
+    return met.filter("who <> a").select("a", F.col("who").alias("b")).distinct()
+
+
+def drop_repeated_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated blocks cut from ``text_col``, plus ``n_lines`` and ``n_removed`` (ints).
 
-    Documents are ordered by (id, hash of the text). Lines are compared trimmed. Two documents
-    are aligned if they share at least ``block_chars`` characters in lines by which they met: a line held by
-    at most ``rare`` documents makes all its holders meet, and any line makes each holder meet the first one, so
-    the pairs of a line that a third of all documents hold are as many as these, and a passage
-    copied everywhere still goes from all but its first document. With ``runs``, each holder of a run of
-    consecutive lines also meets that run's first holder, for all runs that just reach ``block_chars``, short lines
-    included; every line of a block that any earlier document holds is then in a run whose first holder is
-    met, for at most two pairs a line. Without it passages of several lines, each of which many hold, stay. Aligned blocks of
-    at least ``block_chars`` characters go from the later document, judged on original texts.
+    Documents are ordered by (id, hash of the text). Lines are compared trimmed. A single line may be common; what is rare
+    is a run of consecutive lines that just reaches ``block_chars`` characters, short lines included, which is
+    named by a hash of its lines' hashes. Each holder of such a run is aligned with the run's first holder, so that every
+    line of a block which any earlier document holds is in a run whose first holder is met, for at most two pairs
+    a line; a passage copied everywhere makes as many pairs as it has copies. Aligned blocks of
+    at least ``block_chars`` characters go from the later document, judged on original texts; so a block of that size
+    stays in the first document that has it alone.
 
     Null texts stay null with 0 lines; an empty text has one line and loses none. Null ids
     are neither compared nor changed. Equal rows (same id and text) count as one document and
@@ -180,29 +193,22 @@ def drop_repeated_blocks(docs: DataFrame, rare: int = RARE, block_chars: int = B
         .dropDuplicates(["doc", "th"]),
         "lines",
     )
-    each = (
-        lines.select(F.struct("doc", "th").alias("who"), F.explode(F.array_distinct(F.arrays_zip("hs", "ls"))).alias("x"))
-        .select("who", F.col("x.hs").alias("h"), F.col("x.ls").alias("chars"))
-        .filter(F.col("chars") >= ANCHOR_CHARS)
-    )
-    known = each.groupBy("h").agg(F.min("who").alias("first"), F.count("*").alias("df")).filter("df > 1")
-    held = staged(each.join(known, "h").filter("who <> first"), "held")
-    stars = held.select(F.col("first").alias("a"), F.col("who").alias("b"), "chars")
-    few = held.filter(f"df between 3 and {rare}").select("h", "who", "chars")
-    met = few.join(few.select("h", F.col("who").alias("b")), "h").filter("who < b").select(F.col("who").alias("a"), "b", "chars")
-    pairs = staged(stars.unionByName(met).groupBy("a", "b").agg(F.sum("chars").alias("chars")).filter(F.col("chars") >= block_chars).select("a", "b"), "met")
-
-    if runs:
-        each = _runs(lines, block_chars)
-        begun = each.groupBy("h").agg(F.min("who").alias("a"), F.count("*").alias("df")).filter("df > 1").select("h", "a")
-        pairs = staged(pairs.unionByName(each.join(begun, "h").filter("who <> a").select("a", F.col("who").alias("b"))).distinct(), "pairs")
-
-    first = lines.select(F.struct("doc", "th").alias("a"), F.col("hs").alias("ahs"))
-    later = lines.select(F.struct("doc", "th").alias("b"), "hs", "ls")
-    both = pairs.join(first, "a").join(later, "b").select("b.doc", "b.th", "ahs", "hs", "ls")
-    gone = staged(aligned(both, block_chars).groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
+    pairs = staged(_paired(staged(_runs(lines, block_chars), "runs")), "pairs")
 
-    gone = maybe_broadcast(gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), 100_000)
+    # The lines of a document that very many meet are dealt to several tasks.
+    hot = F.broadcast(_hot(pairs, "a").select("a", F.ceil(F.col("n") / 1000).cast("int").alias("parts")))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    first = lines.select(F.struct("doc", "th").alias("a"), F.col("hs").alias("ahs")).join(hot, "a", "left")
+    first = first.select("a", "ahs", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    later = lines.select(F.struct("doc", "th").alias("b"), "hs", "ls")
+    both = dealt.join(first, ["a", "part"]).join(later, "b").select("b.doc", "b.th", "ahs", "hs", "ls")
+    found = aligned(both, block_chars).select("doc", "th", F.explode("gone").alias("at"))
+    gone = staged(found.groupBy("doc", "th").agg(F.collect_set("at").alias("gone")), "gone")
+
+    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     split = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(split, lambda line, at: ~F.array_contains(F.col("__gone"), at)), "\n")
     return (

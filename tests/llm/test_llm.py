@@ -259,26 +259,24 @@ def test_identical_sequences_align_whole():
     assert line_dedup.patience([1, 1, 2, 1], [1, 1, 2, 1]) == [(k, k) for k in range(4)]
 
 
-def line_brute(texts, least_chars, rare):
-    """All pairs in order, aligned; a pair counts if it meets by the documented rule."""
-    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items() if t and len(t) >= least_chars}
-    holders = defaultdict(list)
-    for i in sorted(lines):
-        for x in set(lines[i]):
-            if len(x) >= line_dedup.ANCHOR_CHARS:
-                holders[x].append(i)
-    met = defaultdict(int)
-    for x, who in holders.items():
-        for b in who[1:]:
-            for a in who[: who.index(b)] if len(who) <= rare else who[:1]:
-                met[a, b] += len(x)
-    gone = defaultdict(set)
-    for (a, b), chars in met.items():
-        if chars >= least_chars:
-            names = {x: n for n, x in enumerate(dict.fromkeys(lines[a] + lines[b]))}
-            for s, e in line_dedup.common_blocks([names[x] for x in lines[a]], [names[x] for x in lines[b]], [len(x) for x in lines[b]], least_chars):
-                gone[b] |= set(range(s, e))
-    return {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+def every_block(texts, least_chars):
+    """Lines of each text that lie in a stretch of consecutive lines, long enough, which any earlier text has."""
+    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    for b in texts:
+        for a in (x for x in texts if x < b):
+            for j in range(len(lines[b])):
+                for i in range(len(lines[a])):
+                    n = 0
+                    while i + n < len(lines[a]) and j + n < len(lines[b]) and lines[a][i + n] == lines[b][j + n]:
+                        n += 1
+                    if sum(map(len, lines[b][j : j + n])) >= least_chars:
+                        gone[b] |= set(range(j, j + n))
+    return gone
+
+
+def without(texts, gone):
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -295,29 +293,13 @@ def test_line_dedup_equals_brute_force(spark):
         texts[i] = "\n".join(body)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_blocks(df).collect()}
-    want = line_brute(texts, line_dedup.BLOCK_CHARS, line_dedup.RARE)
+    want = without(texts, every_block(texts, line_dedup.BLOCK_CHARS))
     assert {i: r["text"] for i, r in got.items()} == want
     holders = [i for i in texts if passage in want[i]]
     assert holders == [min(i for i in texts if passage in texts[i])]
     assert all(r["n_lines"] == len(texts[i].split("\n")) for i, r in got.items())
 
 
-def every_block(texts, least_chars):
-    """Lines of each text that lie in a stretch of consecutive lines, long enough, which any earlier text has."""
-    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items()}
-    gone = {i: set() for i in texts}
-    for b in texts:
-        for a in (x for x in texts if x < b):
-            for j in range(len(lines[b])):
-                for i in range(len(lines[a])):
-                    n = 0
-                    while i + n < len(lines[a]) and j + n < len(lines[b]) and lines[a][i + n] == lines[b][j + n]:
-                        n += 1
-                    if sum(map(len, lines[b][j : j + n])) >= least_chars:
-                        gone[b] |= set(range(j, j + n))
-    return gone
-
-
 def test_line_dedup_compares_passages_of_short_common_lines(spark):
     one, two = ("x" * 52).join("ab"), "y" * 70
     texts = {k: f"{one}\nown {k}" for k in range(8)} | {k: f"own {k}\n{two}" for k in range(8, 16)}
@@ -326,10 +308,20 @@ def test_line_dedup_compares_passages_of_short_common_lines(spark):
     pool = ["", "", *("".join(rng.choice("abcdef ") for _ in range(rng.choice([3, 15, 40, 60]))).strip() + "." for _ in range(7))]
     texts |= {k: "\n".join([f"first {k}", *(rng.choice(pool) for _ in range(rng.randint(1, 12)))]) for k in range(20, 90)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_blocks(df, runs=True).collect()}
-    gone = every_block(texts, line_dedup.BLOCK_CHARS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_blocks(df).collect()}
     assert got[16] == texts[16] and got[17] == "start 17\nend 17"
-    assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+    assert got == without(texts, every_block(texts, line_dedup.BLOCK_CHARS))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup_of_lines_with_other_first_holders(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(line_dedup, "BROADCAST_DOCS", 0)
+    three = [c * 52 for c in "abc"]
+    texts = {k: f"{x}\nown {k}" for k, x in enumerate(three)} | {k: "\n".join([f"own {k}", *three]) for k in range(10, 18)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_blocks(df).collect()}
+    assert got == {k: t if k <= 10 else f"own {k}" for k, t in texts.items()}
 
 
 def test_line_dedup_hostile(spark, hostile, none):
