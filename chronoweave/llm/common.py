@@ -39,11 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
@@ -68,6 +70,22 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hot_least(rows: int) -> int:
+    """Rows beyond which a key is hot: at most a thousand keys can have more."""
+    return max(4000, rows // 1000)
+
+
+def join_counted(rows: DataFrame, sides: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined to ``sides`` (one row for each ``key``, ``n`` of its rows) with hot keys broadcast.
+
+    ``total`` is the number of ``rows``; rows of a hot key stay where they are, all others move by their key. Both tables
+    should be staged, as they are read twice.
+    """
+    often = F.broadcast(sides.filter(F.col(n) > hot_least(total)))
+    seldom = sides.filter(F.col(n) <= hot_least(total))
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut small, so that a task holds few texts as Python objects at once."""
     for batch in batches:

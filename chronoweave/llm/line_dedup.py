@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import hot_least, join_counted, slices, staged
 
 #: Characters that an aligned block must have to go.
 BLOCK_CHARS = 120
@@ -152,20 +152,10 @@ def _runs(lines: DataFrame, least: int) -> DataFrame:
     return each.select(F.struct("doc", "th").alias("who"), F.explode("keys").alias("h"))
 
 
-def _hot(rows: DataFrame, key: str) -> DataFrame:
-    """``key, n`` of the keys that more than a thousandth of ``rows`` (and over 4,000 rows) have: at most 1,000 rows."""
-    least = max(4000, rows.count() // 1000)
-    return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > least)
-
-
 def _paired(each: DataFrame) -> DataFrame:
     """``a, b``: each holder of a run beside the run's first holder."""
     known = staged(each.groupBy("h").agg(F.min("who").alias("a"), F.count("*").alias("df")).filter("df > 1"), "firsts")
-    # Runs that a large share of all rows hold don't move by their key: they are few and broadcast.
-    rows = each.count()
-    often = F.broadcast(known.filter(F.col("df") > max(4000, rows // 1000)).select("h", "a"))
-    seldom = known.filter(F.col("df") <= max(4000, rows // 1000)).select("h", "a")
-    met = each.join(often, "h").unionByName(each.join(often.select("h"), "h", "left_anti").join(seldom, "h"))
+    met = join_counted(each, known, "h", "df", each.count())
     return met.filter("who <> a").select("a", F.col("who").alias("b")).distinct()
 
 
@@ -196,7 +186,8 @@ def drop_repeated_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col
     pairs = staged(_paired(staged(_runs(lines, block_chars), "runs")), "pairs")
 
     # The lines of a document that very many meet are dealt to several tasks.
-    hot = F.broadcast(_hot(pairs, "a").select("a", F.ceil(F.col("n") / 1000).cast("int").alias("parts")))
+    often = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > hot_least(pairs.count()))
+    hot = F.broadcast(often.select("a", F.ceil(F.col("n") / 1000).cast("int").alias("parts")))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     first = lines.select(F.struct("doc", "th").alias("a"), F.col("hs").alias("ahs")).join(hot, "a", "left")
     first = first.select("a", "ahs", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))

@@ -95,7 +95,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, bands``: the set's size, 128-bit digest and band keys (none for an empty set)."""
+    """``doc_id, th, n_shingles, digest, bands``: a hash of the text, the set's size, 128-bit digest and band keys (none for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, circulant = _WordHash(), Circulant(bands * rows)
@@ -106,29 +106,30 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS,
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     list_array(keys, pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                ["doc_id", "th", "n_shingles", "digest", "bands"],
             )
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return rows_in.mapInArrow(sign, "doc_id long, th long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, digest, shingles``: whole shingle sets as sorted 64-bit hashes."""
+    """``least, digest, shingles``: whole shingle sets as sorted 64-bit hashes."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHash()
         for batch in slices(batches):
             sets = [shingle_hashes(t, size, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "shingles"]
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["least", "digest", "shingles"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(shingle, "id long, digest binary, shingles binary")
+    return docs.select(F.col(id_col).cast("long").alias("least"), text_col).mapInArrow(shingle, "least long, digest binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +191,8 @@ def _block_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    Rows with equal shingle sets form a class, which one representative stands for in all
-    later steps. Representatives that share a band key are candidates. In each round one member of a
+    Rows with equal shingle sets form a class, which has a number of its own in all
+    later steps, whatever ids its rows have. Classes that share a band key are candidates. In each round one member of a
     bucket, drawn by a hash, is compared with all members that are in other components, and
     components are joined; a bucket of one component needs no more. What rounds no longer join
     is compared across components, small buckets by pairs, large ones by blocks of members, so
@@ -202,18 +203,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ``component_id`` and is not kept unless its text has no shingle. Repeated ids: each row by its own text. An
     empty table gives no rows. Other columns are not read.
     """
+    found = _members(docs, size, percent, bands, rows, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` but those of a component's other documents: the document of least id (of several texts with it, one) stays.
+
+    A document is an id with a text: rows equal in both stay or go together, and an id that has several texts loses only
+    those that have another document in their component. Texts without words and rows without id stay.
+    """
+    found = _members(docs, size, percent, BANDS, ROWS, id_col, text_col)
+    gone = staged(found.filter("doc_id is not null and n_shingles > 0 and not (doc_id = component_id and leads)").select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct(), "copies")
+    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
+    return keyed.join(maybe_broadcast(gone), ["__doc", "__th"], "left_anti").select(*docs.columns)
+
+
+def _members(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, th, n_shingles, component_id, leads`` of every row; ``leads`` marks rows of the class that holds the component's least id."""
     signed = staged(signatures(docs, size, bands, rows, id_col, text_col), "minhash")
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
-    reps = staged(classes.agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "reps")
+    reps = classes.agg(F.min("doc_id").alias("least"), F.first(F.struct("n_shingles", "bands")).alias("r")).select("digest", "least", F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"))
+    # The number is fixed by being written: a class is never known by an id that another class may have too.
+    reps = staged(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
 
     members = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     held = staged(members.join(buckets, "key"), "shared")
 
     ids = staged(held.select("id").distinct(), "ids")
-    wanted = maybe_broadcast(ids.join(reps.select("id", "digest"), "id"))
-    some = docs.join(maybe_broadcast(ids), docs[id_col].cast("long") == F.col("id"), "left_semi")
-    sets = staged(_sets(some, size, id_col, text_col).join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id"]), "sets")
+    wanted = staged(ids.join(reps.select("id", "least", "digest"), "id"), "wanted")
+    some = docs.join(maybe_broadcast(wanted.select("least")), docs[id_col].cast("long") == F.col("least"), "left_semi")
+    sets = _sets(some, size, id_col, text_col).join(maybe_broadcast(wanted), ["least", "digest"])
+    sets = staged(sets.select("id", "shingles").dropDuplicates(["id"]), "sets")
 
     alike = f"component <> other and 100 * least(n, m) >= {percent} * greatest(n, m)"
     links, joined, before = None, None, float("inf")
@@ -243,10 +265,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
-    found = reps.select("digest", "id").join(joined, "id", "left").select("digest", F.coalesce("component_id", "id").alias("of_class"))
-    return (
-        signed.select("doc_id", "n_shingles", "digest")
-        .join(found, "digest", "left")
-        .select("doc_id", "n_shingles", F.expr("case when doc_id is null then null when n_shingles = 0 then doc_id else of_class end").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0))
-    )
+    # From class numbers to the least document id of each component.
+    found = reps.select("digest", "id", "least").join(joined, "id", "left").withColumn("of", F.coalesce("component_id", "id")).drop("component_id")
+    found = staged(found, "found")
+    heads = found.join(joined.select(F.col("component_id").alias("of")).distinct(), "of", "left_semi").groupBy("of").agg(F.min(F.struct("least", "id")).alias("head"))
+    found = found.join(heads, "of", "left").select("digest", F.coalesce("head.least", "least").alias("of_class"), (F.coalesce("head.id", "id") == F.col("id")).alias("leads"))
+    component = F.expr("case when doc_id is null then null when n_shingles = 0 then doc_id else of_class end")
+    return signed.join(found, "digest", "left").select("doc_id", "th", "n_shingles", component.alias("component_id"), "leads")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import cotrain
-from chronoweave.llm.common import maybe_broadcast, ship, staged, table
+from chronoweave.llm.common import ship, staged, table
 from chronoweave.llm.line_dedup import drop_repeated_blocks
-from chronoweave.llm.minhash import near_duplicates
+from chronoweave.llm.minhash import without_near_duplicates
 from chronoweave.llm.mixing import mixed
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.queries import DOMAIN, MIX_LEVELS, MIX_SEED, MIX_WEIGHTS, tokenizer_path
@@ -40,11 +40,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each group of documents linked at similarity 0.8 on five-word shingles; wordless texts stay."""
+    """The document of least id of each group linked at similarity 0.8 on five-word shingles.
+
+    Wordless and null texts and null ids stay; of an id with several texts each is judged by itself; repeated rows stay or go together.
+    """
     ship(spark)
-    found = near_duplicates(docs, size=5, percent=80)
-    gone = staged(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "copies")
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    return without_near_duplicates(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,6 +201,20 @@ def test_near_duplicates_when_star_rounds_are_used_up(spark, monkeypatch, paired
     assert got == near_brute(texts, 2)[1]
 
 
+def test_near_duplicates_with_ids_of_several_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{n}{rng.randint(0, 999)}" for _ in range(40)) for n in "abc")
+    rows = [(1, a), (1, b), (2, b + " word"), (3, c), (3, a), (7, c + " more"), (7, c + " more"), (9, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit("clash")).withColumn("id", F.lit(0))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, size=2).collect())
+    n = len(shingles(c + " more", 2))
+    assert got == sorted([(i, len(shingles(t, 2)), 1 if t[0] != "c" else 3) for i, t in rows]) and (7, n, 3) in got
+    left = sorted((r["doc_id"], r["text"]) for r in minhash.without_near_duplicates(docs, size=2).collect())
+    assert left == sorted([(1, a), (1, b), (3, c)])
+    few = spark.createDataFrame([(1, a), (5, a), (5, b), (6, a), (None, a), (8, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in minhash.without_near_duplicates(few).collect() if r["text"]) == [(0, a), (1, a), (5, b)]
+
+
 def test_signature_estimates_similarity():
     c, rng = minhash.Circulant(2000), np.random.default_rng(0)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
