@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, maybe_broadcast, ship, slices, staged
+from .common import join_counted, list_array, ship, slices, staged
 from .components import components
 
 #: Rows on which rotations are learned, and numbers they may hold together.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
 TABLES = 8
+#: Bits of a key at most; beyond 24 each further bit adds a table.
+MOST_KEY_BITS = 30
 #: Members of a ball compared as one block.
 BLOCK = 256
 #: Rounds of taking a bucket's least vector as centre of those close to it.
@@ -112,27 +114,40 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     So a group of near copies costs work by its size, not by its pairs, and every pair found
     is counted exactly.
 
-    Null, empty, zero and non-finite vectors, vectors with null components, vectors of another length
-    than the most common one, and rows without id link with nothing (``n_links`` 0, own
-    component; a null id has none and isn't kept). Of a repeated id only one vector links, with its equal rows.
+    Only vectors of one length are compared; each length has tables of its own (one pass over steps 2 to 4 a length).
+    Null, empty, zero and non-finite vectors, vectors with null components, and rows without id link with nothing
+    (``n_links`` 0, own component; a null id has none and isn't kept). Vectors, not ids, are compared: rows of one id
+    with several vectors each have their own links and may have different components.
     An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    link, half = math.acos(cosine), math.acos(cosine) / 2 - 1e-9
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.expr("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("digest", F.struct(F.xxhash64("v"), F.hash("v")))
     members = staged(rows.select("vec_id", "fine", "digest"), "members")
-    sizes = rows.filter("fine").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dim = sizes["dim"]
-    reps = rows.filter(F.col("fine") & (F.size("v") == dim)).groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v"))
-    reps = staged(reps.groupBy("id").agg(F.min(F.struct("digest", "w", "v")).alias("r")).select("id", "r.*"), "vectors")
-
-    n = reps.count()
-    s = key_bits or min(24, max(8, math.ceil(math.log2(n + 1))))
+    reps = rows.filter("fine").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"), F.first("v").alias("v"))
+    # A vector's number is fixed by being written; several vectors may share an id.
+    reps = staged(reps.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
+
+    found = reps.select("id", (F.col("w") - 1).alias("n_links"), F.col("id").alias("of")).limit(0)
+    for dim, n in sorted(tuple(r) for r in reps.groupBy("dim").count().filter("count > 1").collect()):
+        found = found.unionByName(_linked(reps.filter(F.col("dim") == dim).select("id", "w", "v"), n, dim, cosine, tables, key_bits))
+    linked = reps.select("id", "digest", "least", "w").join(staged(found, "found"), "id", "left")
+    linked = linked.select("digest", "least", F.coalesce("n_links", F.col("w") - 1).alias("n_links"), F.coalesce("of", "id").alias("of"))
+    heads = linked.groupBy("of").agg(F.min("least").alias("component_id"))
+    by_digest = linked.join(heads, "of").drop("of", "least")
+    out = members.withColumn("digest", F.when(F.col("fine"), F.col("digest"))).join(by_digest, "digest", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(reps: DataFrame, n: int, dim: int, cosine: float, tables: int, key_bits: int | None) -> DataFrame:
+    """``id, n_links, of`` (least number reachable) of the ``n`` distinct vectors ``id, w, v`` of length ``dim``."""
+    spark = reps.sparkSession
+    link, half = math.acos(cosine), math.acos(cosine) / 2 - 1e-9
+    s = key_bits or min(MOST_KEY_BITS, max(8, math.ceil(math.log2(n + 1))))
+    tables += max(0, s - 24)
     some = reps.select("id").orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim)))
     sample = reps.join(F.broadcast(some), "id").select("id", "v").collect()
     codes = learn(unit([r["v"] for r in sorted(sample)]), tables, s)
@@ -192,7 +207,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     placed = staged(placed, "placed")
     # The radius is rounded up, so that rounding never takes a pair for decided that is not.
     stats = staged(placed.groupBy("of").agg(F.sum("w").alias("weight"), (F.max("off") + F.when(F.count("*") > 1, 1e-9).otherwise(0)).alias("r"), F.count("*").alias("n")), "stats")
-    named = placed.join(stats, "of").join(coded.select(F.col("id").alias("of"), F.col("c1").alias("o1"), F.col("c2").alias("o2")), "of")
+    # A ball may hold a third of all vectors: its members stay where they are.
+    balls = staged(stats.join(coded.select(F.col("id").alias("of"), F.col("c1").alias("o1"), F.col("c2").alias("o2")), "of"), "stats")
+    named = join_counted(placed, balls, "of", "n", n)
 
     # Balls that meet in a table.
     def entries(keys: str, per: int) -> DataFrame:
@@ -235,10 +252,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     own_adds = some.groupBy("id").agg(F.sum("add").alias("own_add"))
     joined = components(whole.select("a", "b").unionByName(some.select("a", "b").distinct())).withColumnRenamed("id", "of")
 
-    found = placed.select("id", "of").join(stats.select("of", "weight"), "of").join(ball_adds, "of", "left").join(own_adds, "id", "left").join(joined, "of", "left")
     zero = F.lit(0).cast("long")
-    found = found.select("id", (F.col("weight") - 1 + F.coalesce("ball_add", zero) + F.coalesce("own_add", zero)).alias("n_links"), F.coalesce("component_id", "of").alias("component_id"))
-    by_digest = reps.select("digest", "id").join(found, "id").drop("id")
-    out = members.withColumn("digest", F.when(F.col("fine"), F.col("digest"))).join(by_digest, "digest", "left")
-    out = out.select("vec_id", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    sides = balls.select("of", "n", "weight").join(ball_adds, "of", "left").join(joined, "of", "left")
+    found = join_counted(placed.select("id", "of"), staged(sides, "sides"), "of", "n", n).join(own_adds, "id", "left")
+    return found.select("id", (F.col("weight") - 1 + F.coalesce("ball_add", zero) + F.coalesce("own_add", zero)).alias("n_links"), F.coalesce("component_id", "of").alias("of"))

@@ -230,7 +230,16 @@ def test_near_duplicates_hostile(spark, hostile, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_near_vectors_equal_brute_force(spark):
+def test_near_vectors_with_ids_of_several_vectors_and_lengths(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x), (1, y), (2, y), (4, [0.0, 1.0, 0.1]), (10, [1.0, 0.0]), (11, [1.0, 0.01]), (12, [0.0, 1.0]), (13, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("of", F.lit(1))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in itq.near_vectors(df).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (4, 2, 1), (10, 1, 10), (11, 1, 10), (12, 0, 12), (13, 0, 13)]
+
+
+@pytest.mark.parametrize("bits", [None, 24])
+def test_near_vectors_equal_brute_force(spark, bits):
     rng = np.random.default_rng(5)
 
     def near(v, c):
@@ -245,7 +254,7 @@ def test_near_vectors_equal_brute_force(spark):
     data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.permutation(np.array(rows)))]
     odd = [(9000, None), (9001, [0.0] * 32), (9002, [float("nan")] * 32), (9003, []), (9004, [None, *[1.0] * 31]), (9005, [1.0, 2.0]), (9006, [float("inf"), *[1.0] * 31])]
     df = spark.createDataFrame([*data, *odd, (None, data[0][1])], "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("w", F.lit("x"))
-    got = {r["vec_id"]: r for r in itq.near_vectors(df).collect()}
+    got = {r["vec_id"]: r for r in itq.near_vectors(df, key_bits=bits).collect()}
     x = np.array([v for _, v in data])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hit = x @ x.T >= 0.9
