@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 import xxhash
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, maybe_broadcast, mix64, ship, slices
+from .common import maybe_broadcast, ship, slices, staged
 
-#: Words hash into 2**WORD_BITS ids, the vocabulary of both models; pairs of ids into 2**PAIR_BITS counters.
-WORD_BITS, PAIR_BITS = 20, 22
+#: A word is in the vocabulary if it is at least one in so many words (and occurs twice); so are at most so many words.
+VOCABULARY = 1 << 18
+#: A pair that is at least one in so many is looked up where the text is; so are at most so many pairs.
+HOT_PAIRS = 200_000
 #: Pseudo-count with which a word's own share backs up its share after the word before.
 BACKED = 8.0
 #: Words counted at a time in a task.
@@ -24,148 +24,251 @@ AT_ONCE = 500_000
 KEPT_WORDS = 200_000
 
 
-class _WordId(dict):
-    def __init__(self, bits: int):
-        super().__init__()
-        self.mask = (1 << bits) - 1
+class _WordHash(dict):
+    """A word's 64-bit hash."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        self[word] = i = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & self.mask
+        self[word] = i = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
         return i
 
 
-def word_ids(text: str | None, ids: _WordId) -> np.ndarray:
-    """Ids of a text's words: lower-cased, between white space."""
-    words = (text or "").lower().split()
-    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased, between white space."""
+    return (text or "").lower().split()
 
 
-def pair_ids(words: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(before.astype(np.uint64) << np.uint64(32) | words.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+@dataclass(frozen=True)
+class Vocabulary:
+    """Hashes in order, and both models' counts, by word number; number 0 is every other word."""
 
+    names: np.ndarray
+    counts: np.ndarray  # two rows: target, background
 
-def counts(docs: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
-    """``kind, id, target, background``: how often words (kind 0) and pairs (kind 1) occur, over all rows of ``docs`` (``text, is_target``).
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
+        return np.where(self.names[at] == hashes, at + 1, 0)
 
-    A document's first word follows word id ``2**word_bits``. Each task counts into arrays of
-    fixed size and hands on its nonzero counters; the sums are a shuffle on the counter.
-    """
+    def pair(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return before * (len(self.names) + 1) + words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, start = _WordId(word_bits), 1 << word_bits
-        sizes = start, 1 << pair_bits
-        total = [[np.zeros(n, np.int32) for n in sizes] for _ in range(2)]
-        kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        held = [0, 0]
-
-        def flush(side: int) -> None:
-            if kept[side]:
-                for kind in range(2):
-                    k, n = np.unique(np.concatenate([x[kind] for x in kept[side]]), return_counts=True)
-                    total[side][kind][k] += n.astype(np.int32)
-                kept[side].clear()
-                held[side] = 0
+    @property
+    def totals(self) -> np.ndarray:
+        return self.counts.sum(axis=1)
+
+    @property
+    def scale(self) -> np.ndarray:
+        """Matched: the background's counts are scaled to the target's size, so that both back off alike."""
+        target, background = self.totals
+        return np.array([1.0, target / background if target and background else 1.0])
+
+    def loss(self, side: int, words: np.ndarray, before: np.ndarray, joint: np.ndarray, own: np.ndarray, own_word: np.ndarray, own_before: np.ndarray) -> np.ndarray:
+        """Negative natural log of the words' probabilities after the words before (-1: none).
+
+        ``joint`` is how often the pairs occur; ``own``, ``own_word`` and ``own_before`` are the counts of all words, of the word
+        and of the word before in the text itself, left out of what the model knows (as they are of ``joint``).
+        """
+        scale, count = self.scale[side], self.counts[side]
+        share = (np.maximum(count[words] - own_word, 0) * scale + 1 / (len(self.names) + 1)) / (np.maximum(self.totals[side] - own, 0) * scale + 1)
+        seen = np.where(before < 0, 0, np.maximum(count[np.maximum(before, 0)] - own_before, 0)) * scale
+        joint = joint * scale
+        return -np.log((joint + BACKED * share) / (np.maximum(seen, joint) + BACKED))
+
+
+def _counted(keys: list[np.ndarray], sides: list[bool]) -> pa.RecordBatch:
+    """``key, target, background`` of the distinct keys of texts that are of the target or not."""
+    both = [np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, s in zip(keys, sides, strict=True) if s == side)]), return_counts=True) for side in (True, False)]
+    names = np.concatenate([k for k, _ in both])
+    none = [np.zeros(len(n), np.int64) for _, n in both]
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([both[0][1], none[1]])), pa.array(np.concatenate([none[0], both[1][1]]))], ["key", "target", "background"])
+
+
+def _counts(docs: DataFrame, keys_of) -> DataFrame:
+    """``key, target, background``: how often each key of ``keys_of()(text)`` occurs over all rows of ``docs`` (``text, is_target``)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, keys, sides, held = keys_of(), [], [], 0
         for batch in slices(batches):
             for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = word_ids(text, ids)
-                if len(w):
-                    side = 0 if target else 1
-                    kept[side].append((w.astype(np.int32), pair_ids(w, np.concatenate([[start], w[:-1]]), pair_bits).astype(np.int32)))
-                    held[side] += len(w)
-                    if held[side] >= AT_ONCE:
-                        flush(side)
-        flush(0)
-        flush(1)
-        for kind in range(2):
-            some = np.flatnonzero((total[0][kind] > 0) | (total[1][kind] > 0))
-            for at in range(0, len(some), 65536):
-                k = some[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int32)), pa.array(total[0][kind][k].astype(np.int64)), pa.array(total[1][kind][k].astype(np.int64))], ["kind", "id", "target", "background"])
-
-    each = docs.select("text", "is_target").mapInArrow(run, "kind int, id int, target long, background long")
-    return each.groupBy("kind", "id").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Models:
-    """Both models' counters as dense arrays of a fixed size."""
-
-    def __init__(self, path: str, word_bits: int, pair_bits: int):
-        store, root = pafs.FileSystem.from_uri(path)
-        self.start = 1 << word_bits
-        self.words = [np.zeros(self.start, np.float32) for _ in range(2)]
-        self.pairs = [np.zeros(1 << pair_bits, np.float32) for _ in range(2)]
-        for batch in pads.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False):
-            kind, k, *sides = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for side in range(2):
-                for n, into in ((0, self.words), (1, self.pairs)):
-                    into[side][k[kind == n]] = sides[side][kind == n]
-        pa.default_memory_pool().release_unused()
-        self.total = [float(x.sum(dtype=np.float64)) for x in self.words]
-        # Matched: the background's counts are scaled to the target's size, so that both back off alike.
-        self.scale = [1.0, self.total[0] / self.total[1] if min(self.total) else 1.0]
+                keys.append(of(text))
+                sides.append(bool(target))
+                held += len(keys[-1])
+                if held >= AT_ONCE:
+                    yield _counted(keys, sides)
+                    keys, sides, held = [], [], 0
+        if held:
+            yield _counted(keys, sides)
+
+    each = docs.select("text", "is_target").mapInArrow(run, "key long, target long, background long")
+    return each.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
+    """The words of ``docs`` (``text, is_target``) that are at least one in ``most`` and occur twice, with exact counts."""
+
+    def hashes():
+        known = _WordHash()
+        return lambda text: np.array([known[w] for w in words_of(text)], np.int64)
+
+    counted = staged(_counts(docs, hashes), "words")
+    total = np.array([int(x or 0) for x in counted.agg(F.sum("target"), F.sum("background")).first()], float)
+    least = max(2, -(-int(total.sum()) // most))
+    kept = counted.filter(F.col("target") + F.col("background") >= least).toArrow().sort_by("key")  # at most ``most`` rows
+    names, *sides = (kept.column(k).to_numpy() for k in range(3))
+    known = np.stack([s.astype(float) for s in sides])
+    return Vocabulary(names, np.hstack([(total - known.sum(axis=1))[:, None], known]))
+
+
+def pair_counts(docs: DataFrame, shared) -> DataFrame:
+    """``key, target, background``: how often each pair of words in a row occurs (the vocabulary is broadcast in ``shared``)."""
 
-    def loss(self, side: int, words: np.ndarray, before: np.ndarray, pairs: np.ndarray, breaks: np.ndarray) -> np.ndarray:
-        """Negative natural log of each word's probability after the word before; ``breaks`` are texts' first words."""
-        scale, total = self.scale[side], self.total[side] * self.scale[side]
-        own = (self.words[side][words] * scale + 1 / self.start) / (total + 1)
-        seen = self.words[side][np.where(breaks, 0, before)].astype(np.float64) * scale
-        joint = self.pairs[side][pairs] * scale
-        joint[breaks] = 0
-        seen[breaks] = 0
-        return -np.log((joint + BACKED * own) / (np.maximum(seen, joint) + BACKED))
+    def pairs():
+        words, known = shared.value, _WordHash()
 
+        def of(text: str | None) -> np.ndarray:
+            w = words.ids(np.array([known[x] for x in words_of(text)], np.int64))
+            return words.pair(w[:-1], w[1:])
 
-@functools.lru_cache(maxsize=1)
-def _models(path: str, word_bits: int, pair_bits: int) -> Models:
-    return Models(path, word_bits, pair_bits)
+        return of
 
+    return _counts(docs, pairs)
 
-def scores(docs: DataFrame, path: str, word_bits: int, pair_bits: int) -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, difference`` of each row of ``docs`` (``doc_id, text``)."""
+
+def _own(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct (group, key), which of them each entry is, and their counts."""
+    order = np.lexsort((keys, groups))
+    g, k = groups[order], keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, np.bincount(which, minlength=int(new.sum()))
+
+
+_ROWS = "doc_id long, th int, key long, side int, n int, own long, own_word int, own_before int, n_words long, losses_t double, losses_b double"
+
+
+def _text_rows(docs: DataFrame, shared, hot) -> DataFrame:
+    """One row for each text, with its losses as if no pair but the hot ones were known, and one for each other distinct pair.
+
+    A text's row has a key below 0, by its id, so that it goes along with the pairs and matches none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids = _models(path, word_bits, pair_bits), _WordId(word_bits)
+        words, (hot_keys, hot_counts), known = shared.value, hot.value, _WordHash()
         for batch in slices(batches):
-            each = [word_ids(t, ids) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(w) for w in each])
-            some, out = sizes > 0, np.full((2, len(each)), np.nan)
-            if some.any():
-                w = np.concatenate(each)
-                first = np.cumsum(sizes) - sizes
-                breaks = np.zeros(len(w), bool)
-                breaks[first[some]] = True
-                before = np.concatenate([[0], w[:-1]])
-                pairs = pair_ids(w, np.where(breaks, 1 << word_bits, before), pair_bits)
-                for side in range(2):
-                    sums = np.concatenate([[0.0], np.cumsum(model.loss(side, w, before, pairs, breaks))])
-                    out[side, some] = (sums[(first + sizes)[some]] - sums[first[some]]) / sizes[some]
+            ids, th = batch.column(0), batch.column(1)
+            sides = np.array([0 if x else 1 for x in batch.column(3).to_pylist()], np.int64)
+            each = [np.array([known[x] for x in words_of(t)], np.int64) for t in batch.column(2).to_pylist()]
+            sizes = np.array([len(w) for w in each], np.int64)
+            doc = np.repeat(np.arange(len(each)), sizes)
+            w = words.ids(np.concatenate([np.zeros(0, np.int64), *each]))
+            before = np.concatenate([[-1], w[:-1]])[: len(w)]
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            before[starts] = -1
+            # How often a text itself has a word, the word before, and the pair.
+            _, which, n = _own(doc, w)
+            own_word = n[which]
+            own_before = np.where(before < 0, 0, np.concatenate([[0], own_word[:-1]])[: len(w)])
+            key = np.where(before < 0, -1, words.pair(before, w))
+            place, which, n = _own(doc, key)
+            own_pair = n[which]
+            at = np.minimum(np.searchsorted(hot_keys, key), max(0, len(hot_keys) - 1))
+            is_hot = (hot_keys[at] == key) if len(hot_keys) else np.zeros(len(key), bool)
+            sums = []
+            for side in range(2):
+                mine = sides[doc] == side
+                joint = np.zeros(len(key))
+                joint[is_hot] = np.maximum(hot_counts[side][at[is_hot]] - np.where(mine, own_pair, 0)[is_hot], 0)
+                loss = words.loss(side, w, before, joint, *(np.where(mine, x, 0) for x in (sizes[doc], own_word, own_before)))
+                sums.append(np.bincount(doc, weights=loss, minlength=len(each)).astype(float))
+            spread = -1 - (np.array(th.to_pylist(), np.int64) & 0x7FFFFFFF)
+            yield pa.RecordBatch.from_arrays(
+                [ids, th, pa.array(spread), *(pa.array(np.zeros(len(each), np.int64), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1])],
+                [x.split()[0] for x in _ROWS.split(", ")],
+            )
+            place = place[(key[place] >= 0) & ~is_hot[place]]
+            d, zero = doc[place], np.zeros(len(place))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.float64(), mask=~some) for x in (out[0], out[1], out[0] - out[1]))],
-                ["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+                [
+                    ids.take(pa.array(d)),
+                    th.take(pa.array(d)),
+                    pa.array(key[place]),
+                    pa.array(sides[d], pa.int32()),
+                    pa.array(own_pair[place], pa.int32()),
+                    pa.array(sizes[d]),
+                    *(pa.array(x[place], pa.int32()) for x in (own_word, own_before)),
+                    pa.array(np.zeros(len(place), np.int64)),
+                    pa.array(zero),
+                    pa.array(zero),
+                ],
+                [x.split()[0] for x in _ROWS.split(", ")],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+    return docs.select("doc_id", F.hash("text").alias("th"), "text", "is_target").mapInArrow(run, _ROWS)
+
 
+def _corrected(rows: DataFrame, shared) -> DataFrame:
+    """``doc_id, th, texts, n_words, losses_t, losses_b``: rows of texts as they are, those of pairs as what their counts change."""
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            key, side, n, own, own_word, own_before, n_words, *losses, target, background = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+            text = key < 0
+            before, w = np.divmod(np.where(text, 0, key), len(words.names) + 1)
+            out = []
+            for s, counted in enumerate((target, background)):
+                mine = side == s
+                joint = np.maximum(counted - np.where(mine, n, 0), 0)
+                left = [np.where(mine, x, 0) for x in (own, own_word, own_before)]
+                change = words.loss(s, w, before, joint, *left) - words.loss(s, w, before, np.zeros(len(w)), *left)
+                out.append(np.where(text, losses[s], change * n))
+            keep = np.flatnonzero(text | (out[0] != 0) | (out[1] != 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), *(pa.array(x[keep]) for x in (text.astype(np.int64), n_words, *out))],
+                ["doc_id", "th", "texts", "n_words", "losses_t", "losses_b"],
+            )
+
+    return rows.mapInArrow(run, "doc_id long, th int, texts long, n_words long, losses_t double, losses_b double")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = VOCABULARY, hot_pairs: int = HOT_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Mean loss per word of every document under a target and a background bigram model, and target minus background.
 
     The target model counts all documents whose id is in ``target_ids`` (one column, the same
-    name as ``id_col``), the background model all others; both have the same hashed vocabulary,
+    name as ``id_col``), the background model all others; both have the same vocabulary,
     order and smoothing, and the background's counts are scaled to the target's size. A lower
-    difference is nearer to the target. Counts cover whole texts of all documents. The two models are dense
-    arrays of ``2**word_bits + 2**pair_bits`` counters each, a size set by the parameters: words or
-    pairs that hash alike share a counter. Workers read them from the shared folder.
+    difference is nearer to the target. A text's own counts are left out of the model that counted it.
+
+    The vocabulary holds the words that are at least one in ``words``, so it has a bound; all others count as one word.
+    Pairs of words are counted exactly over whole texts of all documents, a table that grows with them. A pair
+    that is at least one in ``hot_pairs`` (a bounded list) is looked up beside the text; all others are
+    joined to the texts' distinct pairs, and what they change in a text's losses is summed.
 
-    Texts without words (null, empty, white space) have 0 words and null losses. Null ids are background. An
-    empty table gives no rows; with no target document all words are new to the target model alike.
+    Texts without words (null, empty, white space) have 0 words and null losses. Null ids are background. Each row of a
+    repeated id is scored by its own text. An empty table gives no rows; with no target document all words are new to the
+    target model alike.
     """
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     wanted = target_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    path = fresh_path(docs.sparkSession, "ngrams")
-    counts(rows.join(maybe_broadcast(wanted), "doc_id", "left"), word_bits, pair_bits).write.parquet(path)
-    return scores(rows, path, word_bits, pair_bits)
+    rows = rows.join(maybe_broadcast(staged(wanted, "target")), "doc_id", "left")
+    known = vocabulary(rows, words)
+    shared = spark.sparkContext.broadcast(known)
+    # A pair that one text has once is left out where it is scored, so it changes nothing.
+    pairs = staged(pair_counts(rows, shared).filter("target + background > 1"), "pairs")
+    least = max(2, -(-int(known.totals.sum()) // hot_pairs))
+    often = pairs.filter(F.col("target") + F.col("background") >= least).toArrow().sort_by("key")  # at most ``hot_pairs`` rows
+    hot = spark.sparkContext.broadcast((often.column(0).to_numpy(), [often.column(k).to_numpy() for k in (1, 2)]))
+    seldom = pairs.filter(F.col("target") + F.col("background") < least)
+    met = _text_rows(rows, shared, hot).join(seldom, "key", "left").select(*[x.split()[0] for x in _ROWS.split(", ")], *(F.coalesce(c, F.lit(0)).alias(c) for c in ("target", "background")))
+    sums = _corrected(met, shared).groupBy("doc_id", "th").agg(*(F.sum(c).alias(c) for c in ("texts", "n_words", "losses_t", "losses_b")))
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
+    # Equal rows were summed together; each has the same result.
+    each = sums.select("doc_id", (F.col("n_words") / F.col("texts")).cast("long").alias("n_words"), mean("losses_t").alias("target_loss"), mean("losses_b").alias("background_loss"), F.explode(F.expr("sequence(1, texts)")).alias("one"))
+    return each.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))

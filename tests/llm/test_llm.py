@@ -447,39 +447,77 @@ def test_low_importance_branches_go_inside_articles(spark):
 
 
 # Language models.
-def test_losses_equal_direct_counts(spark):
-    texts = {i: t for i, t in enumerate(["a b a b c", "a b", "c c d", "", None, "d a", "A  b\nz"])}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    ids = spark.createDataFrame([(0,), (5,), (None,)], "doc_id long")
-    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(df, ids, word_bits=18, pair_bits=18).collect()}
-    side = {i: 0 if i in (0, 5) else 1 for i in texts}
-    uni, bi = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)]
-    for i, t in texts.items():
-        w = (t or "").lower().split()
-        for p, x in zip([None, *w], w, strict=False):
-            uni[side[i]][x] += 1
-            bi[side[i]][p, x] += 1
-    total = [sum(u.values()) for u in uni]
-    scale = [1, total[0] / total[1]]
-    for i, t in texts.items():
-        w = (t or "").lower().split()
-        if not w:
-            assert got[i]["n_words"] == 0 and got[i]["difference"] is None
-            continue
-        loss = []
+def direct_losses(texts, target, least_words):
+    """Both losses of each text by plain counting, its own counts left out."""
+    words = {k: (t or "").lower().split() for k, t in texts.items()}
+    counts = defaultdict(int)
+    for w in words.values():
+        for x in w:
+            counts[x] += 1
+    vocabulary = {x for x, n in counts.items() if n >= least_words}
+    words = {k: [x if x in vocabulary else None for x in w] for k, w in words.items()}
+
+    def model(keys):
+        uni, bi = defaultdict(int), defaultdict(int)
+        for k in keys:
+            for x in words[k]:
+                uni[x] += 1
+            for pair in zip(words[k], words[k][1:], strict=False):
+                bi[pair] += 1
+        return uni, bi
+
+    sides = [[k for k in texts if k in target], [k for k in texts if k not in target]]
+    size = [sum(len(words[k]) for k in side) for side in sides]
+    scale = [1, size[0] / size[1]]
+    out = {}
+    for k, w in words.items():
+        losses = []
         for s in (0, 1):
-            e = 0.0
-            for p, x in zip([None, *w], w, strict=False):
-                own = (uni[s][x] * scale[s] + 2**-18) / (total[s] * scale[s] + 1)
-                joint, seen = (bi[s][p, x] * scale[s], uni[s][p] * scale[s]) if p is not None else (0, 0)
-                e -= np.log((joint + lm_score.BACKED * own) / (max(seen, joint) + lm_score.BACKED))
-            loss.append(e / len(w))
-        assert abs(got[i]["target_loss"] - loss[0]) < 1e-4 and abs(got[i]["difference"] - (loss[0] - loss[1])) < 1e-4
+            uni, bi = model([x for x in sides[s] if x != k])
+            total, e = sum(uni.values()) * scale[s], 0.0
+            for p, x in zip([0, *w], w, strict=False):
+                share = (uni[x] * scale[s] + 1 / (len(vocabulary) + 1)) / (total + 1)
+                joint, seen = (0, 0) if p == 0 else (bi[p, x] * scale[s], uni[p] * scale[s])
+                e -= np.log((joint + lm_score.BACKED * share) / (max(seen, joint) + lm_score.BACKED))
+            losses.append(e / len(w) if w else None)
+        out[k] = losses
+    return out
+
+
+@pytest.mark.parametrize("hot_pairs", [1, 40, 10**6])
+def test_losses_equal_direct_counts(spark, hot_pairs):
+    rng = random.Random(2)
+    texts = dict(enumerate(["a b a b c", "a b", "c c d", "", None, "d a", "A  b\nz", "a b a b c"]))
+    texts |= {k: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(1, 40))) for k in range(10, 60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    target = {0, 5, 11, 13, 14, 20}
+    ids = spark.createDataFrame([*((i,) for i in target), (None,)], "doc_id long")
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(df, ids, hot_pairs=hot_pairs).collect()}
+    want = direct_losses(texts, target, 2)
+    assert got.keys() == want.keys()
+    for i, (t, b) in want.items():
+        assert got[i]["n_words"] == len((texts[i] or "").split())
+        if t is None:
+            assert got[i]["difference"] is None
+        else:
+            assert abs(got[i]["target_loss"] - t) < 1e-6 and abs(got[i]["background_loss"] - b) < 1e-6 and abs(got[i]["difference"] - (t - b)) < 1e-6
+
+
+def test_losses_tell_repeated_texts_apart_among_many_words(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(80)) for _ in range(400)]
+    texts += texts[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(100, 200)], "doc_id long")
+    got = {r["doc_id"]: r["difference"] for r in lm_score.cross_entropy_difference(df, ids).collect()}
+    assert min(got[i] for i in [*range(20), *range(400, 420)]) > max(got[i] for i in range(200, 400))
 
 
 def test_lm_hostile(spark, hostile, none):
-    assert lm_score.cross_entropy_difference(hostile, none.select("doc_id"), 12, 12).count() == len(HOSTILE)
-    assert lm_score.cross_entropy_difference(none, hostile.select("doc_id"), 12, 12).count() == 0
+    clash = hostile.withColumn("th", F.lit(1)).withColumn("is_target", F.lit("x"))
+    got = lm_score.cross_entropy_difference(clash, none.select("doc_id")).collect()
+    assert len(got) == len(HOSTILE) and len({r["difference"] for r in got if r["doc_id"] == 5}) == 1
+    assert lm_score.cross_entropy_difference(none, hostile.select("doc_id")).count() == 0
 
 
 # Fingerprints.
