@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space and line ends, as an upload's texts are trimmed by.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def contains(start: str, end: str, at: Column) -> Column:
     """Half-open ``[start, end)`` holds ``at``; a null end is unbounded."""
     return (F.col(start) <= at) & (F.col(end).isNull() | (at < F.col(end)))

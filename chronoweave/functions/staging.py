@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted table is broadcast.
@@ -13,9 +13,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir``; a folder of our own only where that is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -28,6 +30,14 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str = "row_no") -> DataFrame:
+    """``rows`` (a scan, which gives the same rows in the same order again) numbered from 0: rows before its partition, plus its place there."""
+    at = rows.withColumn("__at", F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = at.groupBy("__part").agg((F.max("__place") + 1).alias("n"))  # one row for each partition
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return at.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place")).select(*rows.columns, name)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if a count proves it small, unchanged otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -30,6 +30,21 @@ def chain_faults(events: DataFrame, columns: Sequence[str], chain: str = "chain_
     return rows.select(chain, sequence, text_of(why).alias("faults")).filter("faults <> ''")
 
 
+# What an assistant's record keeps, in this order; prompt and output only as digests.
+RECORDED = ("actor_id", "purpose", "action", "policy_decision", "retrieved_source_ids", "model", "config_version", "user_decision", "saved", "prompt_hash", "output_hash")
+
+
+def content_free_records(uses: DataFrame, previous: str = "previous_hash") -> DataFrame:
+    """Uses of an assistant without ``prompt`` and ``output``, which only their digests stand for, and with ``record_hash`` over all that is kept.
+
+    Kept columns that ``uses`` lacks are null; ``previous`` is the hash of the record before (null: the first of a chain).
+    """
+    digest = lambda c: F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")), 256)
+    rows = uses.withColumns({"prompt_hash": digest("prompt"), "output_hash": digest("output"), previous: F.coalesce(F.col(previous), F.lit(GENESIS))}).drop("prompt", "output")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in RECORDED if c not in rows.columns})
+    return rows.withColumn("record_hash", chain_hash(RECORDED, previous))
+
+
 def receipt_faults(receipts: DataFrame) -> DataFrame:
     """``stream, sequence, faults``: anchors must advance, and each receipt must name the one before it."""
     order = Window.partitionBy("stream").orderBy("receipt_no")

@@ -40,6 +40,19 @@ def period_edges(edges: DataFrame, nodes: DataFrame, period: str) -> DataFrame:
     return edges.filter(F.array_contains("periods", period)).join(label("subject"), "subject").join(label("object"), "object").withColumn("change_label", change)
 
 
+# How a relationship's status and periods are said.
+STATUS_LABELS = {"appeared": "Appeared later", "no-longer-observed": "No longer observed", "uncertain": "Uncertain", "observed": "Observed in both"}
+BOTH, AFTER, BEFORE = "Both periods", "After only", "Before only"
+
+
+def semantic_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with their ends' labels, ``period_label`` and ``change_label`` (by ``status``; null for another one)."""
+    label = lambda side: nodes.select(F.col("node_id").alias(side), F.col("label").alias(f"{side}_label"))
+    period = F.when(F.size("periods") == 2, BOTH).when(F.get("periods", F.lit(0)) == "after", AFTER).otherwise(BEFORE)
+    change = F.create_map(*[F.lit(x) for pair in STATUS_LABELS.items() for x in pair])[F.col("status")]
+    return edges.join(label("subject"), "subject").join(label("object"), "object").withColumns({"period_label": period, "change_label": change})
+
+
 def period_nodes(edges: DataFrame, nodes: DataFrame, period: str) -> DataFrame:
     """Nodes at an end of an edge of the period."""
     here = edges.filter(F.array_contains("periods", period))

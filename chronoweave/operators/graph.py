@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def search(nodes: DataFrame, edges: DataFrame, text: str, k: int = 8) -> DataFrame:
-    """The first k matches of a text (a top-k report): nodes by label, type or id, then edges by relation or status."""
-    t = F.lit(text.lower())
-    n = nodes.filter(F.contains(F.lower(F.concat_ws(" ", "label", "type", "node_id")), t)).select(F.lit(0).alias("o"), F.lit("node").alias("kind"), F.col("node_id").alias("id"))
-    e = edges.filter(F.contains(F.lower(F.concat_ws(" ", "edge_id", "relation", "status")), t)).select(F.lit(1).alias("o"), F.lit("edge").alias("kind"), F.col("edge_id").alias("id"))
-    return n.unionByName(e).orderBy("o", "id").limit(k).drop("o")
+    """The first k matches of a text (a top-k report): ``kind, id, label, detail``, nodes first, then relationships, each by id.
+
+    A node matches by label, type or role, a relationship by its ends' labels, relation, source or reasoning; columns that a table
+    lacks are empty. A blank text finds nothing.
+    """
+    has = lambda df, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    needle = F.lit(text.strip().lower())
+    role = has(nodes, "role")
+    n = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "label", F.concat(F.col("type"), F.when(role != "", F.concat(F.lit(" · "), role)).otherwise("")).alias("detail"), F.concat_ws(" ", "label", "type", role).alias("said"))
+    e = edges.select("edge_id", "subject", "object", "relation", has(edges, "source").alias("detail"), has(edges, "reasoning").alias("why"))
+    for side in ("subject", "object"):
+        e = e.join(nodes.select(F.col("node_id").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+    e = e.withColumn("label", F.concat_ws(" ", "subject_label", "relation", "object_label"))
+    e = e.select(F.lit("relationship").alias("kind"), F.col("edge_id").alias("id"), "label", "detail", F.concat_ws(" ", "label", "detail", "why").alias("said"))
+    found = n.unionByName(e).filter((needle != "") & F.contains(F.lower("said"), needle))
+    return found.orderBy("kind", "id").limit(k).drop("said")
 
 
 def neighbours(edges: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -48,8 +61,8 @@ def connected_by_type(edges: DataFrame, nodes: DataFrame, node: str, kind: str)
     return near.join(nodes.filter(F.col("type") == kind).select(F.col("node_id").alias("b"), "label"), "b").select(F.col("b").alias("node_id"), "label", "edge_id")
 
 
-def shortest_paths(edges: DataFrame, source: str, hops: int = 12) -> DataFrame:
-    """``node_id, distance, path`` from one node over undirected edges, to at most ``hops``.
+def shortest_paths(edges: DataFrame, source: str, hops: int | None = None) -> DataFrame:
+    """``node_id, distance, path`` from one node over undirected edges, as far as they reach or to at most ``hops``.
 
     Breadth first: a round joins the frontier to the edges, drops seen nodes, and keeps the least (edge, path) per node,
     so equals resolve by edge id. Each round is written to the shared folder.
@@ -57,7 +70,7 @@ def shortest_paths(edges: DataFrame, source: str, hops: int = 12) -> DataFrame:
     spark = edges.sparkSession
     way = staged(both_ways(edges))
     seen = front = spark.createDataFrame([(source, 0, source)], "node_id string, distance int, path string")
-    for d in range(1, hops + 1):
+    for d in range(1, hops + 1) if hops is not None else count(1):
         step = front.select(F.col("node_id").alias("a"), "path").join(way, "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti")
         found = step.groupBy("b").agg(F.min(F.struct("edge_id", "path")).alias("m"))
         front = staged(found.select(F.col("b").alias("node_id"), F.lit(d).alias("distance"), F.concat_ws(">", "m.path", "b").alias("path")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.staging import staged
 PUBLICATION = "publication"
 
 
-def correction_impacts(dependencies: DataFrame, corrections: DataFrame, hops: int = 1000) -> DataFrame:
+def correction_impacts(dependencies: DataFrame, corrections: DataFrame, hops: int | None = None) -> DataFrame:
     """``correction_id, publication_id, depth``: every publication reached from a corrected thing, at its least depth.
 
     ``dependencies``: ``publication_id, kind, target_id, target_version``; ``corrections``: ``correction_id, kind, target_id,
@@ -23,7 +25,7 @@ def correction_impacts(dependencies: DataFrame, corrections: DataFrame, hops: in
     front = staged(first.withColumn("depth", F.lit(0)))
     seen = front
     links = deps.filter(F.col("kind") == PUBLICATION).select(F.col("target_id").alias("up"), "publication_id")
-    for depth in range(1, hops):
+    for depth in count(1) if hops is None else range(1, hops):
         step = front.select("correction_id", F.col("publication_id").alias("up")).join(links, "up").select("correction_id", "publication_id").distinct()
         front = staged(step.join(seen.select("correction_id", "publication_id"), ["correction_id", "publication_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():

@@ -155,6 +155,23 @@ def resurgences(memberships: DataFrame, obs: DataFrame, links: DataFrame, config
     return options.join(contest, "parent").groupBy("component").applyInPandas(choose, "parent string, child string, gap int, score double, reasons string")
 
 
+def candidates(memberships: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """All scored candidates ``parent, child, gap, jaccard, overlap, score, accepted``: adjacent ones, then those across a gap.
+
+    A candidate across a gap is accepted only if it was chosen as a resurgence, whatever its score.
+    """
+    obs = staged(observations(memberships, config))
+    links = staged(adjacent_links(memberships, obs, config))
+    ok = links.filter("accepted")
+    dead = obs.join(ok.select(F.col("parent").alias("obs")).distinct(), "obs", "left_anti").select(F.col("obs").alias("parent"))
+    new = obs.join(ok.select(F.col("child").alias("obs")).distinct(), "obs", "left_anti").select(F.col("obs").alias("child"))
+    apart = scored(pair_counts(memberships, obs, (2, config.longest_gap + 1)), config, resurgence=True).join(dead, "parent").join(new, "child")
+    chosen = resurgences(memberships, obs, links, config).select("parent", "child", F.lit(True).alias("chosen"))
+    apart = apart.join(chosen, ["parent", "child"], "left").withColumn("accepted", F.coalesce("chosen", F.lit(False)))
+    kept = ["parent", "child", "gap", "jaccard", "overlap", "score", "accepted"]
+    return links.select(kept).unionByName(apart.select(kept))
+
+
 def events(memberships: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """All lineage events in order, with resurgence in place of the births it explains."""
     obs = staged(observations(memberships, config))

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASK = "[redacted]"
+#: Fixed value: the label of a redacted item.
+MASK = "Redacted chart item"
 
 
-def chart_rows(items: DataFrame, notes: DataFrame, redactions: DataFrame, *more: DataFrame) -> DataFrame:
-    """Distinct chart items with note counts; labels of redacted ids are masked. ``more``: further (``id, label``) tables."""
-    rows = items.select("id", "label")
-    for m in more:
-        rows = rows.unionByName(m.select("id", "label"))
-    rows = rows.groupBy("id").agg(F.min("label").alias("label"))
+def chart_rows(items: DataFrame, notes: DataFrame, redactions: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """``id, label, type, role, notes, redacted, classification`` of distinct chart items, then of ``manual`` ones.
+
+    ``items``: ``id`` and, where known, ``label, type, role``; ``manual``: the same with its own ``classification``. Labels of
+    redacted ids are masked; notes are counted by ``item_id``.
+    """
+    has = lambda df, c, other: F.coalesce(F.col(c), other) if c in df.columns else other
+    rows = items.select("id", has(items, "label", F.col("id")).alias("label"), has(items, "type", F.lit("unknown")).alias("type"), has(items, "role", F.lit("not assigned")).alias("role"), F.lit("source projection item").alias("classification"))
+    rows = rows.groupBy("id").agg(*(F.min(c).alias(c) for c in ("label", "type", "role", "classification")))
+    if manual is not None:
+        rows = rows.unionByName(manual.select("id", "label", *(has(manual, c, F.lit(None).cast("string")).alias(c) for c in ("type", "role", "classification"))))
     counts = notes.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("notes"))
     gone = redactions.select("id").distinct().withColumn("__gone", F.lit(True))
     out = rows.join(counts, "id", "left").join(gone, "id", "left")
-    return out.select("id", F.when(F.col("__gone"), MASK).otherwise(F.col("label")).alias("label"), F.coalesce("notes", F.lit(0)).alias("notes"))
+    hidden = F.coalesce("__gone", F.lit(False))
+    return out.select("id", F.when(hidden, MASK).otherwise(F.col("label")).alias("label"), "type", "role", F.coalesce("notes", F.lit(0)).alias("notes"), hidden.alias("redacted"), "classification")
 
 
 def redacted_items(items: DataFrame, redactions: DataFrame) -> DataFrame:

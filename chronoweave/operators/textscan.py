@@ -135,21 +135,58 @@ def class_candidates(classes: DataFrame) -> DataFrame:
     return met.groupBy("type", F.col("words").alias("a"), "b").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("shared"))
 
 
-def evidence_gaps(edges: DataFrame, group: str = "case_id") -> DataFrame:
-    """Per case: whether evidence is missing or uncertain, and whether that needs review."""
-    weak = F.bool_or((F.col("confidence") < 0.5) | (F.col("status") == "uncertain"))
-    g = edges.groupBy(group).agg(F.count("*").alias("n"), weak.alias("weak"), F.count_if(F.col("source_id").isNull()).alias("unsourced"))
-    why = reasons((F.col("unsourced") > 0, "high: relationships without source"), (F.col("weak"), "medium: uncertain or moderate relationships"))
-    return g.select(group, text_of(why).alias("gaps"), F.when(F.col("unsourced") > 0, "needs-review").otherwise("reviewable").alias("status"))
-
-
-def next_action(tasks: DataFrame, edges: DataFrame, group: str = "case_id") -> DataFrame:
-    """Per case the first that applies: an open task, uncertain evidence, else a hard negative to label."""
-    open_ = tasks.filter("status <> 'done'").groupBy(group).agg(F.min("task_id").alias("task"))
-    weak = edges.filter("confidence < 0.5").groupBy(group).agg(F.min("edge_id").alias("edge"))
-    rows = edges.select(group).distinct().join(open_, group, "left").join(weak, group, "left")
+# The rules' words, severities and texts.
+WEAK, UNSURE, CANDID, BLOCKS = "(?i)uncertain|moderate", "(?i)moderate|low|uncertain", "(?i)contrary|limitation|uncertain|synthetic", "(?i)hard-negative|overreliance|calibration"
+NO_ROWS = "high: No visible evidence rows in authorized projection."
+WEAK_ROWS = "medium: Some visible relationships are uncertain or moderate confidence."
+BY_HAND = " manual chart item(s) cannot support factual claims."
+NOT_CANDID = "medium: Report text may understate uncertainty or contrary evidence."
+OPEN_TASKS = "medium: Open review tasks remain before export."
+NO_CANDIDATE = "Review hard-negative example"
+
+
+def evidence_gaps(cases: DataFrame, edges: DataFrame, items: DataFrame, reports: DataFrame, tasks: DataFrame, group: str = "case_id") -> DataFrame:
+    """``gaps, status`` of each of ``cases``: no visible row, weak rows, items made by hand, a report without caveats, open tasks.
+
+    ``edges``: ``confidence`` and ``status`` as texts; ``items``: ``origin``; ``reports``: ``contrary_evidence, limitations``; ``tasks``: ``status``.
+    Gaps are joined by a bar; a high one needs review.
+    """
+    weak = F.concat_ws(" ", F.col("confidence").cast("string"), "status").rlike(WEAK)
+    candid = F.concat_ws(" ", "contrary_evidence", "limitations").rlike(CANDID)
+    parts = (
+        edges.groupBy(group).agg(F.count("*").alias("rows"), F.bool_or(weak).alias("weak")),
+        items.groupBy(group).agg(F.count_if(F.col("origin") == "analyst").alias("manual")),
+        reports.groupBy(group).agg(F.bool_or(~candid).alias("bare")),
+        tasks.groupBy(group).agg(F.bool_or(F.col("status") != "done").alias("open")),
+    )
+    g = cases.select(group).distinct()
+    for p in parts:
+        g = g.join(p, group, "left")
+    why = reasons(
+        (F.coalesce("rows", F.lit(0)) == 0, NO_ROWS),
+        (F.col("weak"), WEAK_ROWS),
+        (F.col("manual") > 0, F.concat(F.lit("high: "), F.col("manual").cast("string"), F.lit(BY_HAND))),
+        (F.col("bare"), NOT_CANDID),
+        (F.col("open"), OPEN_TASKS),
+    )
+    text = F.array_join(why, "|")
+    return g.select(group, text.alias("gaps"), F.when(F.exists(why, lambda x: x.startswith("high")), "needs-review").otherwise("reviewable").alias("status"))
+
+
+def next_action(cases: DataFrame, tasks: DataFrame, edges: DataFrame, candidates: DataFrame, group: str = "case_id") -> DataFrame:
+    """``action, label, target`` of each of ``cases``: the first that applies of an open task, uncertain evidence, a hard negative to label.
+
+    ``tasks``: ``task_id, label, status``; ``edges``: ``edge_id, label`` and texts ``confidence, reasoning, caveat``; ``candidates``: ``candidate, label,
+    failures``, the first of which that fails on hard negatives, overreliance or calibration is what to label. "First" is by id.
+    """
+    first = lambda rows, key, name: rows.groupBy(group).agg(F.min(F.struct(F.col(key).alias("id"), "label")).alias(name))
+    unsure = F.concat_ws(" ", F.col("confidence").cast("string"), "reasoning", "caveat").rlike(UNSURE)
+    blocked = candidates.filter(F.col("failures").rlike(BLOCKS)).agg(F.min(F.struct(F.col("candidate").alias("id"), "label")).alias("blocked"))  # one row
+    rows = cases.select(group).distinct().join(first(tasks.filter("status <> 'done'"), "task_id", "task"), group, "left").join(first(edges.filter(unsure), "edge_id", "edge"), group, "left").crossJoin(F.broadcast(blocked))
     action = F.when(F.col("task").isNotNull(), "complete-open-task").when(F.col("edge").isNotNull(), "review-uncertain-evidence").otherwise("label-hard-negative")
-    return rows.select(group, action.alias("action"), F.coalesce("task", "edge").alias("target"))
+    label = F.coalesce("task.label", "edge.label", "blocked.label", F.lit(NO_CANDIDATE))
+    target = F.when(F.col("task").isNotNull(), F.col("task.id")).when(F.col("edge").isNotNull(), F.col("edge.id"))
+    return rows.select(group, action.alias("action"), label.alias("label"), target.alias("target"))
 
 
 def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
 
-from . import evidence, governed, networks, streams, transactions  # noqa: E402, F401  registers the queries
+from . import evidence, governed, networks, streams, transactions, uploads  # noqa: E402, F401  registers the queries
 
 __all__ = ["ORACLE", "QUERIES"]

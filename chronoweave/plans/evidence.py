@@ -30,6 +30,13 @@ def e1_known_versions(spark: SparkSession, sf: str) -> DataFrame:
     return e.known_evidence(view(spark, sf, "evidence")).select("item_id", "dependency_id", "future", "selected")
 
 
+@query(_EV + "select item_id, dependency_id, record_id || '@v1' as missing from sel where selected and version <> 1", "evidence")
+def e5_corroboration_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected records that name a version of themselves which a later one replaced."""
+    rows = e.known_evidence(view(spark, sf, "evidence"))
+    return e.missing_links(rows.withColumn("corroborates", F.array(F.col("dependency_id"), F.concat("record_id", F.lit("@v1")))))
+
+
 @query(_EV + "select item_id, dependency_id, round(points, 3) as points, round(penalty, 6) as penalty, observed from rec where selected", "evidence")
 def e3_contributions(spark: SparkSession, sf: str) -> DataFrame:
     """Recency decay and points of each selected record."""
@@ -252,6 +259,17 @@ def u2_receipt_chain(spark: SparkSession, sf: str) -> DataFrame:
     return u.receipt_faults(broken).groupBy("stream").agg(F.count("*").alias("links"))
 
 
+_USE = "'conv-' || cast(conv_id as varchar) as actor_id, turn, role, sha256(coalesce(text, '')) as prompt_hash, sha256(coalesce(role, '')) as output_hash"
+
+
+@query(f"select actor_id, turn, prompt_hash, output_hash, sha256(actor_id || '|review|' || coalesce(role, '') || '||||v1||false|' || prompt_hash || '|' || output_hash || '|{u.GENESIS}') as record_hash from (select {_USE} from conversations) y")
+def u7_content_free_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Uses of an assistant, of which only digests of prompt and output are kept and hashed."""
+    c = view(spark, sf, "conversations").select(F.expr("'conv-' || conv_id").alias("actor_id"), "turn", F.col("role").alias("action"), F.col("text").alias("prompt"), F.col("role").alias("output"))
+    uses = c.withColumns({"purpose": F.lit("review"), "config_version": F.lit("v1"), "saved": F.lit(False), "previous_hash": F.lit(None).cast("string")})
+    return u.content_free_records(uses).select("actor_id", "turn", "prompt_hash", "output_hash", "record_hash")
+
+
 def _objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = view(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("object_id"), F.col("text").alias("content"))
     m = docs.select("object_id", F.expr("case when object_id % 100 = 1 then 'wrong' else sha2(content, 256) end").alias("digest"), F.expr("octet_length(content) + case when object_id % 100 = 2 then 1 else 0 end").alias("size"))
@@ -359,18 +377,35 @@ def x8_class_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select case_id, 'high: relationships without source,medium: uncertain or moderate relationships' as gaps, 'needs-review' as status from (select distinct case_id from edges) y", "edges"
+    f"""select case_id, array_to_string(list_filter([case when n is null then '{x.NO_ROWS}' end, case when weak then '{x.WEAK_ROWS}' end, case when manual > 0 then 'high: ' || cast(manual as varchar) || '{x.BY_HAND}' end,
+        case when bare then '{x.NOT_CANDID}' end, case when open then '{x.OPEN_TASKS}' end], lambda y: y is not null), '|') as gaps, case when n is null or manual > 0 then 'needs-review' else 'reviewable' end as status
+    from (select distinct object as case_id from edges union all select 'g-' || r_name from region) c left join
+        (select object as case_id, count(*) as n, bool_or(confidence < 0.1) as weak, count(*) filter (where status = 'P') as manual, bool_or(confidence > 0.9) as open, object not like '%1' as bare from edges group by object) g using (case_id)""",
+    "edges",
 )
 def x9_evidence_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return x.evidence_gaps(view(spark, sf, "edges"))
+    edges = view(spark, sf, "edges").withColumnRenamed("case_id", "of").withColumnRenamed("object", "case_id")
+    rows = edges.select("case_id", F.expr("case when confidence < 0.05 then 'Moderate' when confidence < 0.1 then 'UNCERTAIN' else 'high' end").alias("confidence"), "status")
+    items = edges.select("case_id", F.expr("case when status = 'P' then 'analyst' else 'source' end").alias("origin"))
+    reports = edges.select("case_id", F.lit("none found").alias("contrary_evidence"), F.expr("case when case_id like '%1' then 'Synthetic data' else 'all clear' end").alias("limitations")).distinct()
+    tasks = edges.select("case_id", F.expr("case when confidence > 0.9 then 'open' else 'done' end").alias("status"))
+    cases = edges.select("case_id").union(view(spark, sf, "region").select(F.expr("'g-' || r_name")))
+    return x.evidence_gaps(cases, rows, items, reports, tasks)
 
 
 @query(
-    "select case_id, case when case_id = 'case-1' then 'complete-open-task' else 'review-uncertain-evidence' end as action, case when case_id = 'case-1' then (select min('task-' || cast(o_orderkey as varchar)) from orders where o_custkey % 4 = 1 and o_orderstatus = 'O') else min(edge_id) filter (where confidence < 0.5) end as target from edges group by 1", "edges"
+    f"""select case_id, case when task is not null then 'complete-open-task' when edge is not null then 'review-uncertain-evidence' else 'label-hard-negative' end as action,
+        case when task is not null then 'Look at ' || task when edge is not null then said else (select 'Label ' || min(r_name) from region where r_regionkey >= 2) end as label, coalesce('task-' || task, edge) as target
+    from (select object as case_id, min(edge_id) filter (where confidence > 0.9) as task, min(edge_id) filter (where confidence < 0.3 or status = 'P') as edge,
+        arg_min(subject || ' ' || relation || ' ' || object, edge_id) filter (where confidence < 0.3 or status = 'P') as said from edges group by 1) y""",
+    "edges",
 )
 def x10_next_action(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = view(spark, sf, "orders").filter("o_custkey % 4 = 1").select(F.lit("case-1").alias("case_id"), F.expr("'task-' || o_orderkey").alias("task_id"), F.expr("case when o_orderstatus = 'O' then 'open' else 'done' end").alias("status"))
-    return x.next_action(tasks, view(spark, sf, "edges"))
+    edges = view(spark, sf, "edges").withColumnRenamed("case_id", "of").withColumn("case_id", F.col("object"))
+    tasks = edges.select("case_id", F.expr("'task-' || edge_id").alias("task_id"), F.expr("'Look at ' || edge_id").alias("label"), F.expr("case when confidence > 0.9 then 'open' else 'done' end").alias("status"))
+    rows = edges.select("case_id", "edge_id", F.concat_ws(" ", "subject", "relation", "object").alias("label"), F.expr("case when confidence < 0.3 then 'LOW' else 'high' end").alias("confidence"), F.expr("case status when 'P' then 'looks uncertain' end").alias("reasoning"), F.lit("").alias("caveat"))
+    candidates = view(spark, sf, "region").select(F.col("r_name").alias("candidate"), F.expr("'Label ' || r_name").alias("label"), F.expr("case when r_regionkey >= 2 then 'Calibration gap' else 'leakage' end").alias("failures"))
+    return x.next_action(edges, tasks, rows, candidates)
 
 
 # Releases.
@@ -378,14 +413,20 @@ def _gone(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "nodes").filter("type = 'place'").select(F.col("node_id").alias("id"))
 
 
-@query("select node_id as id, case when type = 'place' then '[redacted]' else label end as label, coalesce(n, 0) as notes from nodes left join (select subject, count(*) as n from edges group by 1) y on subject = node_id", "nodes", "edges")
+@query(
+    f"""select node_id as id, case when type = 'place' then '{d.MASK}' else label end as label, type, 'not assigned' as role, coalesce(n, 0) as notes, type = 'place' as redacted, 'source projection item' as classification from nodes left join (select subject, count(*) as n from edges group by 1) y on subject = node_id
+    union all select 'hand-' || r_name, r_name, 'sketch', null, 0, false, 'analyst item' from region""",
+    "nodes",
+    "edges",
+)
 def d1_chart_rows(spark: SparkSession, sf: str) -> DataFrame:
-    items = view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label")
+    items = view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label", "type")
     notes = view(spark, sf, "edges").select(F.col("subject").alias("item_id"))
-    return d.chart_rows(items, notes, _gone(spark, sf), items)
+    manual = view(spark, sf, "region").select(F.expr("'hand-' || r_name").alias("id"), F.col("r_name").alias("label"), F.lit("sketch").alias("type"), F.lit("analyst item").alias("classification"))
+    return d.chart_rows(items.union(items), notes, _gone(spark, sf), manual)
 
 
-@query("select node_id as id, case when type = 'place' then '[redacted]' else label end as label, type from nodes", "nodes", "edges")
+@query(f"select node_id as id, case when type = 'place' then '{d.MASK}' else label end as label, type from nodes", "nodes", "edges")
 def d2_redacted_items(spark: SparkSession, sf: str) -> DataFrame:
     return d.redacted_items(view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label", "type"), _gone(spark, sf))
 

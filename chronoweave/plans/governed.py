@@ -309,6 +309,16 @@ def c10_median_event(spark: SparkSession, sf: str) -> DataFrame:
     return c.by_median_event(view(spark, sf, "edges")).select("edge_id", "period")
 
 
+@query(
+    "select edge_id, s.label as subject_label, o.label as object_label, case when len(periods) = 2 then 'Both periods' when periods[1] = 'after' then 'After only' else 'Before only' end as period_label, case e.status when 'F' then 'Appeared later' when 'O' then 'Observed in both' end as change_label from edges e join nodes s on s.node_id = subject join nodes o on o.node_id = object",
+    "nodes",
+    "edges",
+)
+def c11_semantic_rows(spark: SparkSession, sf: str) -> DataFrame:
+    edges = view(spark, sf, "edges").withColumn("status", F.expr("case status when 'F' then 'appeared' when 'O' then 'observed' else 'other' end"))
+    return c.semantic_rows(edges, view(spark, sf, "nodes")).select("edge_id", "subject_label", "object_label", "period_label", "change_label")
+
+
 @query("select edge_id, relation from edges where relation in ('transfers', 'infrastructure') and relation <> 'infrastructure'", "edges")
 def c12_visibility(spark: SparkSession, sf: str) -> DataFrame:
     return c.visible_edges(view(spark, sf, "edges"), ["transfers", "infrastructure"], False).select("edge_id", "relation")

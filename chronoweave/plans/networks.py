@@ -12,14 +12,25 @@ from .registry import query
 from .views import view
 
 
-@query(
-    "select * from (select 0 as o, 'node' as kind, node_id as id from nodes where contains(lower(label || ' ' || type || ' ' || node_id), 'order 12') union all select 1, 'edge', edge_id from edges where contains(lower(edge_id || ' ' || relation || ' ' || status), 'order 12') order by o, id limit 8) x",
-    "nodes",
-    "edges",
-)
+_ROLED = ", roled as (select *, case when type = 'place' then 'meeting point' else '' end as role from nodes), said as (select e.*, s.label || ' ' || relation || ' ' || o.label as label, coalesce(source_id, '') as detail from edges e join roled s on s.node_id = subject join roled o on o.node_id = object)"
+
+
+def _searched(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    nodes = view(spark, sf, "nodes").withColumn("role", F.when(F.col("type") == "place", "meeting point"))
+    edges = view(spark, sf, "edges").withColumns({"source": F.col("source_id"), "reasoning": F.concat(F.lit("status "), "status")})
+    return g.search(nodes, edges, text)
+
+
+@query(_ROLED + " select 'node' as kind, node_id as id, label, type || ' · ' || role as detail from roled where contains(role, 'meeting') order by id limit 8", "nodes", "edges")
 def g3_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = g.search(view(spark, sf, "nodes"), view(spark, sf, "edges"), "order 12")
-    return found.withColumn("o", F.when(F.col("kind") == "node", 0).otherwise(1))
+    """Nodes by role, a field that no label or type has."""
+    return _searched(spark, sf, " MEETING ")
+
+
+@query(_ROLED + " select 'relationship' as kind, edge_id as id, label, detail from said where contains(lower(label || ' ' || detail || ' status ' || status), 'status p') order by id limit 8", "nodes", "edges")
+def g3_search_reasoning(spark: SparkSession, sf: str) -> DataFrame:
+    """Relationships by their reasoning."""
+    return _searched(spark, sf, "status p")
 
 
 @query("select object as node_id, subject as neighbour, edge_id from edges where object in (select object from edges where confidence > 0.95)", "edges")
@@ -133,6 +144,15 @@ def l11_lineage_events(spark: SparkSession, sf: str) -> DataFrame:
     return ln.events(view(spark, sf, "memberships"))
 
 
+@query(_LINKS + "select parent, child, 0 as gap, round((jaccard + overlap) / 2, 6) as score, jaccard >= 0.3 or overlap >= 0.6 as accepted from link union all select p.parent, p.child, p.gap, round((p.i / cast(a + b - p.i as double) + p.i / cast(least(a, b) as double)) / 2, 6), false from pair p where gap > 0 and p.parent not in (select parent from ok) and p.child not in (select child from ok) and not (p.i / cast(a + b - p.i as double) >= 0.7 or p.i / cast(least(a, b) as double) >= 0.85)", "memberships")
+def l13_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates as finally marked, but those across a gap that reach its thresholds, which compete (see l11)."""
+    rows = ln.candidates(view(spark, sf, "memberships"))
+    c = ln.MatchConfig()
+    rows = rows.filter((F.col("gap") == 0) | ~((F.col("jaccard") >= c.resurgence_jaccard) | (F.col("overlap") >= c.resurgence_overlap)))
+    return rows.select("parent", "child", "gap", F.round("score", 6).alias("score"), "accepted")
+
+
 @query()
 def l12_identities(spark: SparkSession, sf: str) -> DataFrame:
     return ln.identities(view(spark, sf, "memberships"))

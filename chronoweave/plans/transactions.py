@@ -72,11 +72,6 @@ def v19_interchange(spark: SparkSession, sf: str) -> DataFrame:
     return rules.interchange_faults(view(spark, sf, "edges"), view(spark, sf, "nodes").filter("type = 'account'"))
 
 
-@query("select event_id as id, '' as path from events where false")
-def v21_protected_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.protected_attributes(view(spark, sf, "events"), "event_id", "props")
-
-
 _SIDES = """, sides as (select destination as account, 'in' as side, origin as other, id, at_time, amount, type, description, row_no, month from transactions
     union all select origin, 'out', destination, id, at_time, amount, type, description, row_no, month from transactions),
     flows as (select account, month, count(distinct case when amount > 0 and side = 'in' then other end) as origins, count(distinct case when amount > 0 and side = 'out' then other end) as destinations,

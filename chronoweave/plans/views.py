@@ -58,15 +58,19 @@ def _revisions(d: Dialect) -> str:
 
 
 def _transactions(d: Dialect) -> str:
-    return """
+    """Rows are numbered within ranges of order keys, after those of the ranges before."""
+    half = d.half("l_orderkey", 500)
+    semi = "semi join" if d.duck else "left semi join"
+    return f"""
     select 't-' || cast(l_orderkey as varchar(20)) || '-' || cast(l_linenumber as varchar(20)) as id, l_shipdate as at_time,
         'acct-' || cast(o_custkey as varchar(20)) as origin, 'acct-' || cast(l_suppkey as varchar(20)) as destination, 'account' as origin_kind, 'account' as destination_kind,
         case when l_linenumber = 7 then 0.0 else round(l_extendedprice) end as amount,
         case l_returnflag when 'A' then 'transfer' when 'N' then 'cash withdrawal' else 'device login' end as type,
         case o_orderpriority when '1-URGENT' then case when l_quantity > 45 then 'refund' else 'urgent' end when '2-HIGH' then 'goods' else 'plain' end as description,
-        row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as row_no,
+        row_number() over (partition by range order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) + before as row_no,
         substr(cast(l_shipdate as varchar(30)), 1, 7) as month
-    from {lineitem} join {orders} on l_orderkey = o_orderkey"""
+    from (select *, {half} as range from {{lineitem}}) l join {{orders}} on l_orderkey = o_orderkey
+    join (select range, cast(sum(n) over (order by range) - n as bigint) as before from (select {half} as range, count(*) as n from {{lineitem}} {semi} {{orders}} on l_orderkey = o_orderkey group by 1) c) b using (range)"""
 
 
 def _edges(d: Dialect) -> str:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expressions import WHITE
+from ..functions.staging import numbered
+
 # Names under which uploads give each field.
 ALIASES = {
     "id": ("transaction_id", "transactionid", "tx_id", "id", "reference"),
@@ -40,7 +43,8 @@ def named(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as trimmed text; short rows are padded with empty text; blank lines are dropped."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue=None, inferSchema=False)
-    return named(raw).na.fill("")
+    rows = named(raw)
+    return rows.select(*[F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE)).alias(c) for c in rows.columns])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +77,7 @@ def flattened(df: DataFrame) -> DataFrame:
 def read_transactions(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:  # noqa: A002
     """Rows of an upload with ``row_no`` from 0 in file order (one file: a split file has no order of its own)."""
     rows = read_json(spark, path) if format == "json" else read_csv(spark, path)
-    return rows.withColumn("row_no", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    return numbered(rows)
 
 
 def infer_mapping(headers: Sequence[str], overrides: Mapping[str, str] | None = None) -> dict[str, str]:

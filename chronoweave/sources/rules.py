@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import reasons
+from ..functions.expressions import WHITE, reasons
+from ..functions.staging import staged
 
 # Fixed values of the import contract.
 REQUIRED = ("id", "at", "origin", "destination", "amount", "currency", "type")
@@ -19,8 +20,11 @@ ZONE_PATTERN = r"(?i)(z|[+-][0-9]{2}:?[0-9]{2})$"
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "1", "review-priority", "positive"), ("false", "no", "0", "background", "negative")
 
 
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def clean(column: str) -> Column:
-    return F.trim(F.coalesce(F.col(column), F.lit("")))
+    return F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(WHITE))
 
 
 def zoned_time(column: str) -> Column:
@@ -29,9 +33,11 @@ def zoned_time(column: str) -> Column:
 
 
 def amount(column: str) -> Column:
-    """Commas stripped; an empty text is 0; null if no finite number."""
-    text = F.replace(clean(column), F.lit(","), F.lit(""))
-    value = F.when(text == "", 0.0).otherwise(text.try_cast("double"))
+    """Commas stripped; an empty text is 0; decimal digits with an optional exponent, or hex, octal or binary ones after 0x, 0o, 0b; null if no finite number."""
+    text = F.btrim(F.replace(F.coalesce(F.col(column), F.lit("")), F.lit(","), F.lit("")), F.lit(WHITE))
+    value = F.when(text == "", 0.0).when(text.rlike(NUMBER), text.try_cast("double"))
+    for letter, base, digits in (("x", 16, "0-9a-f"), ("o", 8, "0-7"), ("b", 2, "01")):
+        value = value.when(text.rlike(f"(?i)^0{letter}[{digits}]+$"), F.conv(F.substring(text, 3, 64), base, 10).try_cast("double"))
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
@@ -86,6 +92,7 @@ def validated(raw: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     repeated = F.row_number().over(Window.partitionBy("id").orderBy("row_no")) > 1
     rows = rows.withColumn("__again", repeated)
     c = F.col
+    # The reasons' texts and their order.
     why = reasons(
         (F.lit(bool(missing)), "Missing required mapped fields: " + ", ".join(missing)),
         (c("at").isNull(), "Invalid timestamp or missing explicit timezone"),
@@ -152,16 +159,23 @@ PROTECTED = (
 PROTECTED_ALIASES = ("date_of_birth", "dob", "native_language", "place_of_birth")
 
 
-def protected_attributes(rows: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
-    """``id, path`` of every key, at any nesting to ``depth``, whose normalized name is a protected attribute; must be empty."""
-    level = rows.select(F.col(id_col).alias("id"), F.lit("").alias("at"), F.try_parse_json(json_col).alias("v"))
+def protected_attributes(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``id, path`` of every key, at any nesting, whose normalized name is a protected attribute; must be empty.
+
+    A level's values are written as texts and the next level starts from them, until no row holds an object or array.
+    """
+    level = rows.select(F.col(id_col).alias("id"), F.lit("").alias("at"), F.col(json_col).alias("j"))
     found = None
-    for _ in range(depth):
+    while True:
+        level = level.withColumn("v", F.try_parse_json("j"))
         level = level.withColumn("o", F.expr("try_variant_get(v, '$', 'map<string, variant>')")).withColumn("l", F.expr("try_variant_get(v, '$', 'array<variant>')"))
         keyed = level.select("id", "at", F.explode("o").alias("k", "x")).select("id", F.concat_ws("/", "at", "k").alias("at"), "k", F.col("x").alias("v"))
         inside = level.select("id", "at", F.explode("l").alias("v"))
         name = F.regexp_replace(F.regexp_replace(F.lower("k"), "[^a-z0-9]+", "_"), "^_|_$", "")
-        hit = keyed.filter(name.isin(*PROTECTED, *PROTECTED_ALIASES)).select("id", F.col("at").alias("path"))
+        down = keyed.select("id", "at", name.isin(*PROTECTED, *PROTECTED_ALIASES).alias("hit"), "v").unionByName(inside.select("id", "at", F.lit(False).alias("hit"), "v"))
+        down = staged(down.select("id", "at", "hit", F.to_json("v").alias("j")))
+        hit = down.filter("hit").select("id", F.col("at").alias("path"))
         found = hit if found is None else found.unionByName(hit)
-        level = keyed.select("id", "at", "v").unionByName(inside)
-    return found.withColumn("path", F.ltrim(F.col("path"))).distinct()
+        level = down.filter("j like '{%' or j like '[%'").select("id", "at", "j")
+        if level.isEmpty():
+            return found.distinct()

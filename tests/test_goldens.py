@@ -115,8 +115,22 @@ def test_import_rules(spark):
 
 
 def test_protected_attributes_at_any_depth(spark):
-    rows = spark.createDataFrame([(1, '{"a": {"Date-of-Birth": 1}}'), (2, '{"a": [{"RACE": 1}]}'), (3, '{"page": 1}'), (4, None), (5, "no json")], "i int, j string")
-    assert {(r["id"], r["path"].strip("/")) for r in rules.protected_attributes(rows, "i", "j").collect()} == {(1, "a/Date-of-Birth"), (2, "a/RACE")}
+    deep = '{"x": [' * 9 + '{"Sex": 1}' + "]}" * 9
+    rows = spark.createDataFrame([(6, deep), (1, '{"a": {"Date-of-Birth": 1}}'), (2, '{"a": [{"RACE": 1}]}'), (3, '{"page": 1}'), (4, None), (5, "no json")], "i int, j string")
+    assert {(r["id"], r["path"].strip("/")) for r in rules.protected_attributes(rows, "i", "j").collect()} == {(1, "a/Date-of-Birth"), (2, "a/RACE"), (6, "x/" * 9 + "Sex")}
+
+
+def test_amounts_are_whole_numbers_texts(spark):
+    texts = {"12d": None, "12f": None, "1e3": 1000.0, "0x1f": 31.0, "0b101": 5.0, "0o17": 15.0, ".5": 0.5, "5.": 5.0, "-1,000": -1000.0, "\t7\n": 7.0, "": 0.0, " ": 0.0, "1 2": None, "Infinity": None, "NaN": None, "1e999": None, None: 0.0}
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    assert {r["t"]: r["a"] for r in df.select("t", rules.amount("t").alias("a")).collect()} == texts
+
+
+def test_lineage_candidates_across_a_gap_are_accepted_only_if_chosen(spark):
+    rows = [(0, "a", m, 0.9) for m in "pqrs"] + [(1, "b", m, 0.9) for m in "wxyz"] + [(2, "c", m, 0.9) for m in "pqrs"] + [(3, "d", m, 0.9) for m in "pqr"]
+    m = spark.createDataFrame(rows, "snapshot_index int, label string, member string, confidence double")
+    got = {(r["parent"], r["child"]): (r["gap"], r["accepted"]) for r in lineage.candidates(m).collect()}
+    assert got == {("s0000:c0001", "s0002:c0001"): (1, True), ("s0002:c0001", "s0003:c0001"): (0, True)}
 
 
 def test_mapping_takes_first_header_in_file_order():
@@ -331,7 +345,7 @@ def test_text_scans_and_release(spark):
     nodes = spark.createDataFrame([("a", "account", "Acct One"), ("b", "account", "One Two"), ("c", "person", "One")], "node_id string, type string, label string")
     assert [(r["a"], r["b"], r["shared"]) for r in textscan.identity_candidates(nodes, edges(spark, [])).collect()] == [("a", "b", "one")]
     gone = spark.createDataFrame([("a",)], "id string")
-    assert {r["id"]: r["label"] for r in release.redacted_items(nodes.select(F.col("node_id").alias("id"), "label"), gone).collect()}["a"] == "[redacted]"
+    assert {r["id"]: r["label"] for r in release.redacted_items(nodes.select(F.col("node_id").alias("id"), "label"), gone).collect()}["a"] == "Redacted chart item"
 
 
 def test_partition_invariance(spark, revs):
