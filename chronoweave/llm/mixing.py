@@ -103,11 +103,11 @@ def mixed(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[
     not taken, null or repeated ids share a draw and are taken together. An empty table gives no rows.
     ``docs`` itself never moves: a leaf's plan is one small row, joined to it.
     """
-    keys = [f"__{x}" for x in levels]
-    renamed = {f"__{k}": v for k, v in weights.items()}
+    keys = [f"__mix_{x}" for x in levels]
+    renamed = {f"__mix_{k}": v for k, v in weights.items()}
     named = docs.withColumns({k: F.coalesce(F.col(x).cast("string"), F.lit("")) for k, x in zip(keys, levels, strict=True)})
-    rows = staged(named.select(*keys, id_col, token_count(text_col).alias("n_tokens")), "tokens")
-    plan = staged(cuts(rows, keys, renamed, percent, epochs, seed, id_col), "cuts")
-    taken = named.join(maybe_broadcast(plan, 20_000), keys).withColumn("__epoch", F.explode(F.expr("sequence(0, full)")))
-    taken = taken.filter((F.col("__epoch") < F.col("full")) | (draw(seed, F.col("__epoch"), id_col) <= F.col("cut")))
-    return taken.select(*[c for c in docs.columns if c != name], F.col("__epoch").cast("long").alias(name))
+    rows = staged(named.select(*keys, F.col(id_col).alias("__mix_id"), token_count(text_col).alias("n_tokens")), "tokens")
+    plan = staged(cuts(rows, keys, renamed, percent, epochs, seed, "__mix_id").withColumnsRenamed({"full": "__mix_full", "cut": "__mix_cut"}), "cuts")
+    taken = named.join(maybe_broadcast(plan, 20_000), keys).withColumn("__mix_epoch", F.explode(F.expr("sequence(0, __mix_full)")))
+    taken = taken.filter((F.col("__mix_epoch") < F.col("__mix_full")) | (draw(seed, F.col("__mix_epoch"), id_col) <= F.col("__mix_cut")))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], F.col("__mix_epoch").cast("long").alias(name))

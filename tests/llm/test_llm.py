@@ -378,6 +378,9 @@ def test_mix_takes_seeded_prefixes(spark, hostile, none):
             order = sorted((hashlib.md5(f"5-{full}-{i}".encode()).hexdigest(), i) for i, _, x, y in rows if (x, y) == (d, leaf))
             took = {r["doc_id"] for r in mine if r["epoch"] == full}
             assert [i in took for _, i in order] == sorted((i in took for _, i in order), reverse=True)
+    clash = hostile.withColumns({c: F.lit(7) for c in ("full", "cut", "rest", "alloc", "tokens", "n_tokens", "head", "draw", "w", "cap", "__lang", "before", "through")})
+    assert mixing.mixed(clash, ["lang", "source"], {}, percent=100, epochs=1).columns == [*clash.columns, "epoch"]
+    assert mixing.mixed(clash, ["lang", "source"], {}, percent=100, epochs=1).count() == mixing.mixed(hostile, ["lang", "source"], {}, percent=100, epochs=1).count()
     h = mixing.mixed(hostile, ["lang", "source"], {}, percent=100, epochs=1)
     assert h.columns == [*hostile.columns, "epoch"] and h.filter("doc_id = 8").count() == 1
     assert mixing.mixed(none, ["lang", "source"], {}).count() == 0
