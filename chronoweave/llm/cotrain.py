@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices
+from .common import maybe_broadcast, ship, slices, staged
 
 #: Byte pairs are hashed into so many features of the text view.
 PAIR_BITS = 9
-LANGS, SOURCES = 16, 64
+LANGS, SOURCES, SIZES = 16, 64, 24
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -45,17 +45,16 @@ def text_view(text: str | None) -> np.ndarray:
     return out
 
 
-def meta_view(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Language and source by hashed place, size, number and shape of lines, and what is missing."""
-    out = np.zeros(LANGS + SOURCES + 6)
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Language and source by hashed place, the size by its power of two, and what is missing: nothing is read from the text."""
+    out = np.zeros(LANGS + SOURCES + SIZES + 4)
     if lang is not None:
-        out[xxhash.xxh3_64_intdigest(lang.encode()) % LANGS] = 1
+        out[xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")) % LANGS] = 1
     if source is not None:
-        out[LANGS + xxhash.xxh3_64_intdigest(source.encode()) % SOURCES] = 1
-    text = text or ""
-    size = len(text) if n_chars is None else n_chars
-    lines = text.count("\n") + 1
-    out[-6:] = (np.log1p(max(size, 0)) / 10, np.log1p(lines) / 5, np.log1p(size / lines if size > 0 else 0) / 10, lang is None, source is None, n_chars is None)
+        out[LANGS + xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) % SOURCES] = 1
+    size = max(n_chars or 0, 0)
+    out[LANGS + SOURCES + min(size.bit_length(), SIZES - 1)] = 1
+    out[-4:] = np.log1p(size) / 10, lang is None, source is None, n_chars is None
     return out
 
 
@@ -100,59 +99,50 @@ class Views:
         return prob(a), prob(b), prob(margin(np.column_stack([a, b]), self.joint))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95) -> Views | None:
-    """Train both views in rounds; None where the labels have one class only.
-
-    Every fourth labelled row is held out. In each round either view labels its surest
-    pool rows (at least ``sure``; per class at most ``share`` of the pool) for the
-    other one's training set. The held-out rows then calibrate each view by a logistic fit of
-    its margin, and weigh the two calibrated margins.
-    """
-    held = np.arange(len(y)) % 4 == 3
-    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
-        return None
-    train = {"text": (text[~held], y[~held]), "meta": (meta[~held], y[~held])}
-    pool, left = {"text": pool_text, "meta": pool_meta}, {"text": np.ones(len(pool_text), bool), "meta": np.ones(len(pool_text), bool)}
-    weights = {}
-    for turn in range(rounds + 1):
-        weights = {k: fit_logistic(*train[k]) for k in train}
-        if turn == rounds or not len(pool_text):
-            break
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            p = prob(margin(pool[giver], weights[giver]))
-            for label, certain in ((1, p), (0, 1 - p)):
-                rate = (y == label).mean()
-                most = int(np.ceil(share * len(p) * rate))
-                chosen = np.flatnonzero(left[taker] & (certain >= sure))
-                chosen = chosen[np.argsort(-certain[chosen], kind="stable")[:most]]
-                x, t = train[taker]
-                train[taker] = np.vstack([x, pool[taker][chosen]]), np.concatenate([t, np.full(len(chosen), label)])
-                left[taker][chosen] = False
-    m = {k: margin({"text": text, "meta": meta}[k][held], weights[k])[:, None] for k in weights}
-    fits = {k: fit_logistic(m[k], y[held], ridge=0.1) for k in m}
+def combine(weights: dict[str, np.ndarray], text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> Views:
+    """Both views with their calibrations and joint weights, fitted on rows that neither was trained on."""
+    m = {k: margin(x, weights[k])[:, None] for k, x in (("text", text), ("meta", meta))}
+    fits = {k: fit_logistic(m[k], y, ridge=0.1) for k in m}
     both = np.column_stack([margin(m[k], fits[k]) for k in ("text", "meta")])
-    joint = fit_logistic(both, y[held], ridge=0.1)
-    right = ((prob(margin(both, joint)) >= 0.5) == y[held]).mean()
+    joint = fit_logistic(both, y, ridge=0.1)
+    right = ((prob(margin(both, joint)) >= 0.5) == y).mean()
     return Views(weights["text"], weights["meta"], fits["text"], fits["meta"], joint, float(right))
 
 
-def _view_rows(docs: DataFrame, ids: DataFrame) -> list:
-    """Features of the (bounded) rows of ``docs`` whose id is in ``ids``, in a fixed order."""
+def _view_rows(docs: DataFrame, ids: list[tuple[int, int | None]]) -> list[tuple[int, int | None, np.ndarray, np.ndarray]]:
+    """``id, label, text view, metadata view`` of the (bounded) ``ids``, by id; of several rows of an id the least by views."""
+    if not ids:
+        return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            i, text, lang, source, size, y = (c.to_pylist() for c in batch.columns)
+            i, text, lang, source, size = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_pydict(
                 {
                     "i": pa.array(i, pa.int64()),
-                    "y": pa.array(y, pa.int64()),
                     "t": pa.array([text_view(t).astype("<f4").tobytes() for t in text], pa.binary()),
-                    "m": pa.array([meta_view(*r).astype("<f4").tobytes() for r in zip(text, lang, source, size, strict=True)], pa.binary()),
+                    "m": pa.array([meta_view(*r).astype("<f4").tobytes() for r in zip(lang, source, size, strict=True)], pa.binary()),
                 }
             )
 
-    rows = docs.join(F.broadcast(ids), "i").select("i", "text", "lang", "source", "n_chars", "y")
-    return sorted(tuple(r) for r in rows.mapInArrow(run, "i long, y long, t binary, m binary").collect())
+    wanted = docs.sparkSession.createDataFrame([(i,) for i, _ in ids], "i long")
+    rows = docs.join(F.broadcast(wanted), "i").select("i", "text", "lang", "source", "n_chars").mapInArrow(run, "i long, t binary, m binary")
+    label, view = dict(ids), lambda b: np.frombuffer(b, "<f4").astype(float)
+    return [(r["i"], label[r["i"]], view(r["v"]["t"]), view(r["v"]["m"])) for r in sorted(rows.groupBy("i").agg(F.min(F.struct("t", "m")).alias("v")).collect())]
+
+
+def _margins(pool: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``i, text, meta``: both views' margins of every row of the pool."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            if batch.num_rows:
+                i, text, lang, source, size = (c.to_pylist() for c in batch.columns)
+                t = np.array([text_view(x) for x in text], np.float32)
+                m = np.array([meta_view(*r) for r in zip(lang, source, size, strict=True)], np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(margin(t.astype(float), weights["text"])), pa.array(margin(m.astype(float), weights["meta"]))], ["i", "text", "meta"])
+
+    return pool.mapInArrow(run, "i long, text double, meta double")
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -162,29 +152,55 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Views | None:
-    """Fit both views on at most ``sample`` labelled rows and at most ``sample`` unlabelled ones, by least hash of id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int = 3, take: int = 200, sure: float = 0.95, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Views | None:
+    """Train both views in rounds; None where the labels that have a document are of one class.
+
+    The first fit is on at most ``sample`` labelled documents (least hash of the id), of which every fourth is held out. In each of ``rounds`` both
+    views judge every document with an id but no label; each hands the other one its surest ones (probability at least ``sure``), about ``take``
+    for a class in the labels' proportion, as pseudo-labels. The held-out documents then calibrate each view by a logistic fit of its
+    margin, and weigh the two calibrated margins.
 
-    Rows without id or label don't count; of an id with several labels the least one holds.
+    Rows without id or label don't count; of an id with several labels the least one holds; an id with several texts counts once. Null
+    texts are empty ones.
     """
-    ship(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("long").alias("y")).filter("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
-    order = F.xxhash64(F.lit(seed), "i")
-    base = _columns(docs, id_col, text_col)
-    ids = base.select("i").filter("i is not null").distinct()
-    # Both lists are at most `sample` rows; Spark takes them as top-k, not by a full sort.
-    some = known.join(ids, "i", "left_semi").orderBy(order, "i").limit(sample)
-    rest = ids.join(known, "i", "left_anti").orderBy(order, "i").limit(sample).withColumn("y", F.lit(None).cast("long"))
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([tuple(r) for r in some.unionByName(rest).collect()], "i long, y long")
-    rows = _view_rows(base, chosen)
-    stack = lambda part, k: np.array([np.frombuffer(r[k], "<f4") for r in part], float)
-    with_label, without = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
-    if not with_label:
+    ship(spark)
+    known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("long").alias("y")).filter("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
+    base = _columns(docs, id_col, text_col).filter("i is not null")
+    # At most `sample` rows; Spark takes them as a top-k, not by a full sort.
+    some = known.join(base.select("i").distinct(), "i", "left_semi").orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(sample)
+    rows = _view_rows(base, [tuple(r) for r in some.collect()])
+    y = np.array([r[1] for r in rows])
+    held = np.arange(len(y)) % 4 == 3
+    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         return None
-    width = (1 << PAIR_BITS) + 8, LANGS + SOURCES + 6
-    pool = [stack(without, k) if without else np.zeros((0, width[k - 2])) for k in (2, 3)]
-    return co_train(stack(with_label, 2), stack(with_label, 3), np.array([r[1] for r in with_label]), *pool)
+    view = {"text": np.array([r[2] for r in rows]), "meta": np.array([r[3] for r in rows])}
+    sets = {k: (x[~held], y[~held]) for k, x in view.items()}
+    given: dict[str, set[int]] = {"text": set(), "meta": set()}
+    pool = base.join(maybe_broadcast(staged(known.select("i"), "labelled")), "i", "left_anti")
+    least = float(np.log(sure / (1 - sure)))
+    for turn in range(rounds + 1):
+        weights = {k: fit_logistic(*sets[k]) for k in sets}
+        if turn == rounds:
+            break
+        judged = staged(_margins(pool, weights).groupBy("i").agg(F.max("text").alias("text"), F.max("meta").alias("meta")), "margins")
+        more = {}
+        for giver, taker in (("text", "meta"), ("meta", "text")):
+            new = judged.join(F.broadcast(spark.createDataFrame([(i,) for i in given[taker]], "i long")), "i", "left_anti")
+            for label in (0, 1):
+                certain = F.col(giver) if label else -F.col(giver)
+                most = int(np.ceil(2 * take * (y[~held] == label).mean()))
+                chosen = new.select("i", certain.alias("c")).filter(F.col("c") >= least).orderBy(F.desc("c"), "i").limit(most)
+                more[taker] = more.get(taker, []) + [(r["i"], label) for r in chosen.collect()]
+        if not any(more.values()):
+            break
+        found = {r[0]: r for r in _view_rows(base, sorted({(i, None) for ids in more.values() for i, _ in ids}))}
+        for taker, ids in more.items():
+            if ids:
+                x, t = sets[taker]
+                sets[taker] = np.vstack([x, *(found[i][2 if taker == "text" else 3][None] for i, _ in ids)]), np.concatenate([t, [label for _, label in ids]])
+                given[taker] |= {i for i, _ in ids}
+    return combine(weights, view["text"][held], view["meta"][held], y[held])
 
 
 def score(docs: DataFrame, model: Views | None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +226,7 @@ def score(docs: DataFrame, model: Views | None, threshold: float = 0.5, id_col:
             if not batch.num_rows:
                 continue
             text, lang, source, size = (batch.column(k).to_pylist() for k in at)
-            p = model.score(np.array([text_view(t) for t in text]), np.array([meta_view(*r) for r in zip(text, lang, source, size, strict=True)]))
+            p = model.score(np.array([text_view(t) for t in text]), np.array([meta_view(*r) for r in zip(lang, source, size, strict=True)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(x, pa.float64()) for x in p), pa.array(p[2] >= threshold)], names)
 
     return view.mapInArrow(run, schema)

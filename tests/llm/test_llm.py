@@ -402,6 +402,36 @@ def test_cotraining_held_out_accuracy_and_hostile(spark, hostile, none):
     assert cotrain.score(hostile, None).filter("good").count() == len(HOSTILE)
 
 
+def test_cotraining_equals_rounds_in_memory(spark):
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(400):
+        good = rng.random() < 0.6
+        words = [rng.choice(["alpha beta", "gamma", "delta epsilon"] if good == (rng.random() < 0.9) else ["!!", "buy now", "$$$ 99"]) for _ in range(rng.randint(2, 30))]
+        rows.append((i, " ".join(words), rng.choice(["en", "de"]), f"src{rng.randint(0, 2) + (3 if good == (rng.random() < 0.9) else 0)}", rng.randint(1, 5000)))
+        if i % 4 == 0:
+            labels.append((i, int(good)))
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = cotrain.train(docs, known, rounds=2, take=10, sure=0.8)
+
+    label = dict(labels)
+    f4 = lambda v: v.astype("<f4").astype(float)
+    view = {"text": {r[0]: f4(cotrain.text_view(r[1])) for r in rows}, "meta": {r[0]: f4(cotrain.meta_view(*r[2:])) for r in rows}}
+    mine = {k: [(i, label[i]) for n, i in enumerate(sorted(label)) if n % 4 != 3] for k in view}
+    rate = {c: np.mean([y == c for _, y in mine["text"]]) for c in (0, 1)}
+    fit = lambda: {k: cotrain.fit_logistic(np.array([view[k][i] for i, _ in v]), np.array([y for _, y in v])) for k, v in mine.items()}
+    for _ in range(2):
+        w, add = fit(), {"text": [], "meta": []}
+        for giver, taker in (("text", "meta"), ("meta", "text")):
+            m = {i: float(view[giver][i] @ w[giver][:-1] + w[giver][-1]) for i in view[giver] if i not in label and i not in dict(mine[taker])}
+            for c in (0, 1):
+                order = sorted((-(x if c else -x), i) for i, x in m.items() if (x if c else -x) >= np.log(4))
+                add[taker] += [(i, c) for _, i in order[: int(np.ceil(20 * rate[c]))]]
+        assert add["text"] and add["meta"]
+        mine = {k: mine[k] + add[k] for k in mine}
+    w = fit()
+    assert np.allclose(model.text, w["text"], atol=1e-4) and np.allclose(model.meta, w["meta"], atol=1e-4)
+
+
 # Pages.
 def test_main_text_equals_simple_reading(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
