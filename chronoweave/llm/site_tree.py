@@ -27,6 +27,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
@@ -38,18 +39,26 @@ ASIDE_WORDS = re.compile(
 )
 MAIN_ROLES = frozenset(["main", "article"])
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements nested deeper are not nested further, as in browsers.
+DEEPEST = 512
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+# A name with its value; a quoted value is taken whole, so nothing inside it is a name.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_READ = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
     """An element: its style path, whether it or a parent is beside the article or the article, and its text."""
 
-    __slots__ = ("aside", "beside", "chars", "held", "main", "name", "parent", "path", "styles", "tag", "top", "words")
+    __slots__ = ("aside", "beside", "chars", "held", "low", "main", "name", "parent", "path", "same", "styles", "tag", "top", "words")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs or "hidden" in attrs else {}
+        found: dict[str, str] = {}
+        if attrs and not attrs.isspace():
+            for k, a, b, c in _ATTR.findall(attrs):
+                if (k := k.lower()) in _READ:
+                    found.setdefault(k, a or b or c)
         self.tag = tag
         self.name = ".".join([tag, *sorted(found.get("class", "").split())])
         self.parent = parent
@@ -71,15 +80,63 @@ class Node:
                 self.beside = any(ASIDE_WORDS.match(w.lower()) for w in _PARTS.split(named) if w)
         self.chars = 0  # of the branch's text, without what HTML itself marks as beside the article
         self.held = False  # whether it holds a part of the page that no word may take
+        self.low = self.same = False  # whether it or a parent is of low importance, in its texts too
         self.styles: list[str] = []  # children, in order
-        self.words = xxhash.xxh3_64()  # the branch's text
+        self.words: xxhash.xxh3_64 | None = None  # over the branch's texts, in order; None without any
 
-    def branches(self) -> Iterator[Node]:
-        """This element and those around it."""
-        node: Node | None = self
-        while node is not None:
-            yield node
-            node = node.parent
+    def read(self, said: bytes) -> None:
+        if self.words is None:
+            self.words = xxhash.xxh3_64()
+        self.words.update(said)
+
+    def close(self) -> None:
+        """Hands what it holds to its parent, once its end is read."""
+        if self.parent is not None:
+            self.parent.chars += self.chars
+            if self.words is not None:
+                self.parent.read(self.words.digest())
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """``from, to, name, is end, attributes`` of every tag, raw elements with all they hold, and of comments and declarations with an empty name.
+
+    A "<" that opens nothing is text, also where its tag never ends. A quote that opens a value holds a ">"; pages on which
+    searching for quotes that never close costs more than some readings of the page are read on without them, so the time is linear in the page.
+    """
+    at, left, n = 0, 4 * len(page) + 1000, len(page)
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), start):
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + 2)
+            end = n if end < 0 else end + (3 if comment else 1)
+            yield start, end, "", False, ""
+            at = end
+            continue
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            at = start + 1
+            continue
+        end = page.find(">", m.end())
+        if end < 0:
+            return
+        attrs = page[m.end() : end]
+        if left > 0 and (attrs.count('"') % 2 or attrs.count("'") % 2):
+            k = m.end()
+            while k < n and page[k] != ">":
+                if page[k] in " \t\n\r\f/=\"'":
+                    k += 1
+                elif (x := _ATTR.match(page, k)) is not None and x.end() > k:
+                    k = x.end()
+                else:
+                    k += 1
+            if k < n:
+                end, attrs = k, page[m.end() : k]
+            left -= k - start
+        name, closing, at = m[1].lower(), page[start + 1] == "/", end + 1
+        if name in RAW and not closing and not attrs.endswith("/"):
+            last = _END[name].search(page, at)
+            at = last.end() if last else n
+        yield start, at, name, closing, attrs
 
 
 def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
@@ -92,6 +149,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
     page = page or ""
     root = Node("#", "", None)
     stack, nodes, out, held, owner = [root], [root], [], [], root
+    opened: dict[str, int] = {}  # how many of each element are open
 
     def flush() -> None:
         nonlocal held
@@ -99,56 +157,60 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
             text = " ".join(htmllib.unescape("".join(held)).split())
             if text:
                 out.append((text, owner))
-                for n in owner.branches():
-                    n.words.update(text.encode("utf-8", "surrogatepass"))
-                    n.chars += 0 if owner.aside else len(text)
+                owner.read(text.encode("utf-8", "surrogatepass"))
+                owner.chars += 0 if owner.aside else len(text)
             held = []
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            n = stack.pop()
+            n.close()
+            opened[n.tag] -= 1
+
     at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
+    for start, end, tag, is_end, attrs in tags(page):
+        if start > at:
             if not held:
                 owner = stack[-1]
-            held.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            held.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag == "br":
             held.append(" ")
             continue
         if tag in BLOCK or tag in RAW:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+        if is_end:
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if tag not in BLOCK and stack[k].tag in BLOCK:
+                        break
             continue
         closes = SELF_CLOSING.get(tag) or ({"p"} if tag in BLOCK else None)
-        if closes:
+        if closes and any(opened.get(x) for x in closes):
             limit = SCOPE.get(tag, {"article", "section", "div", "td", "li", "body", "main"} if tag == "p" or closes == {"p"} else set())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in limit:
                     break
-        node = Node(tag, m[3], stack[-1])
+        node = Node(tag, attrs, stack[-1])
         stack[-1].styles.append(node.name)
         nodes.append(node)
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+        if tag not in RAW and tag not in VOID and not attrs.endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         if not held:
             owner = stack[-1]
         held.append(page[at:])
     flush()
+    close(1)
     if any(n.beside for n in nodes):
         _judge_words(root, nodes, out)
     return out, nodes
@@ -164,10 +226,9 @@ def _judge_words(root: Node, nodes: list[Node], found: list[tuple[str, Node]]) -
     longest = max((n.chars for n in nodes if n.top and not n.aside), default=0)
     for n in nodes:
         if n.top and not n.aside and n.chars and (n.tag != "article" or 2 * n.chars >= longest):
-            for b in n.branches():
-                if b.held:
-                    break
-                b.held = True
+            b: Node | None = n
+            while b is not None and not b.held:
+                b.held, b = True, b.parent
     hard = [n.aside for n in nodes]
     for n in nodes:  # parents stand before children
         n.aside = n.aside or (n.parent is not None and n.parent.aside) or (n.beside and not n.held and 2 * n.chars <= root.chars)
@@ -192,16 +253,20 @@ def main_text(page: str | None, low: frozenset[int] = frozenset(), same: frozens
     inside it that are of low importance and whose own text is, too (``same``, hashed paths), unless these are over half
     of it. Else the text is all that is left without branches of low importance (``low``).
     """
-    found, _ = blocks(page)
+    found, nodes = blocks(page)
+    if same or low:
+        for n in nodes:  # parents stand before children
+            n.same = (n.parent is not None and n.parent.same) or (n.main and not n.top and n.tag in BLOCK and signed(n.path) in same)
+            n.low = (n.parent is not None and n.parent.low) or signed(n.path) in low
     left = [(t, n) for t, n in found if not n.aside]
     if any(n.main for _, n in left):
         left = [(t, n) for t, n in left if n.main]
         if same:
-            own = [(t, n) for t, n in left if not any(b.main and not b.top and b.tag in BLOCK and signed(b.path) in same for b in n.branches())]
+            own = [(t, n) for t, n in left if not n.same]
             if 2 * sum(len(t) for t, _ in own) >= sum(len(t) for t, _ in left):
                 left = own
     elif low:
-        left = [(t, n) for t, n in left if not any(signed(b.path) in low for b in n.branches())]
+        left = [(t, n) for t, n in left if not n.low]
     return "\n\n".join(t for t, _ in left)
 
 
@@ -230,7 +295,7 @@ def style_tree(pages: DataFrame, html_col: str = "html") -> DataFrame:
                     if not n.aside:
                         part = seen.setdefault(signed(n.path), ["", ""])
                         part[0] += "|" + ",".join(n.styles)
-                        part[1] += n.words.hexdigest()
+                        part[1] += n.words.hexdigest() if n.words is not None else "-"
                 ks.append(np.array(list(seen), np.int64))
                 ss.append(np.array([key(p[0]) for p in seen.values()], np.int64))
                 cs.append(np.array([key(p[1]) for p in seen.values()], np.int64))

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -450,6 +451,21 @@ def test_page_parts():
     assert site_tree.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_attributes_are_read_by_position():
+    text = site_tree.main_text
+    for attrs in ("class='entry-header'", "data-role='navigation'", "title='the hidden valley'", 'data-x="class=ad role=search"', "class='side-effects'", "title=\"a > b class='ad'\""):
+        assert text(f"<article><section {attrs}>Kept</section><p>Body</p></article>") == "Kept\n\nBody", attrs
+    assert text("<article><p hidden>x</p><p role=search>y</p><p CLASS=ad>z</p><p>Body</p></article>") == "Body"
+    assert text("<p>1 < 2 and <b>so on") == "1 < 2 and so on" and text("one <b two") == "one <b two"
+
+
+@pytest.mark.parametrize("part", ["<a x ", "<div>x", '<a x="', "<a x='", "<a x=\"'>", "<b>x</i>", "<span><hr>", "<p><div><i>", "</p", "<!-", "<script>", "<a \"b'>c", "<li><ul>"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.perf_counter()
+    site_tree.main_text(part * (1_000_000 // len(part)), frozenset([1]), frozenset([1]))
+    assert time.perf_counter() - began < 8
+
+
 def test_words_in_classes_take_no_article():
     text = site_tree.main_text
     assert text("<div class='page has-sidebar'><article>Body</article><div class='sidebar'>x</div></div>") == "Body"
