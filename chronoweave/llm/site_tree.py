@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, maybe_broadcast, ship, slices, staged
+from .common import list_array, ship, slices, staged
 
 #: A branch whose composite importance over its site is below this goes.
 LEAST_IMPORTANCE = 0.2
@@ -20,6 +20,8 @@ LEAST_IMPORTANCE = 0.2
 ATTENUATION = 0.9
 #: Pages of a host that must hold a branch before its entropy says anything.
 LEAST_PAGES = 5
+#: Hosts with such branches, and these, up to which they are broadcast.
+BROADCAST_HOSTS, BROADCAST_NODES = 50_000, 1_000_000
 
 # Fixed values of HTML: elements without end tag, elements that end a paragraph, elements that hold no page text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -330,5 +332,6 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, id_col: str = "pa
             texts = [main_text(page, frozenset(low or ()), frozenset(same or ())) for page, low, same in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(maybe_broadcast(low, 50_000), "host", "left").select("page_id", "url", "html", "low", "same")
+    size = low.agg(F.count("*"), F.coalesce(F.sum(F.size("low") + F.size("same")), F.lit(0))).first()
+    joined = rows.join(F.broadcast(low) if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_NODES else low, "host", "left").select("page_id", "url", "html", "low", "same")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
