@@ -46,18 +46,24 @@ def window_asof(revisions: DataFrame, start, end, known_at) -> DataFrame:
 def batch_asof(revisions: DataFrame, queries: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """One row per (``query_id``, revision) for a table of point queries ``query_id, case_id, valid_at, known_at``.
 
-    Bounded valid intervals are spread over the buckets of days they touch and joined on (case,
-    bucket), so no pair outside a bucket is formed; unbounded ones join on the case.
-    The exact predicate decides in both.
+    An observed event meets the questions at its very time. Any other revision is spread over the buckets of days that its valid
+    interval touches, or, where that is open, its recorded interval (an interval open in both ends at the last
+    question), and joined on (case, bucket), so that no pair outside a bucket is formed. The exact predicate decides in all.
     """
     width = bucket_days * 86400
     bucket = lambda c: F.floor(seconds(c) / width)
     asked = queries.select("query_id", "case_id", F.col("valid_at").alias("__v"), F.col("known_at").alias("__k"))
+    last = asked.agg(F.max(bucket("__v"))).first()[0]
     exact = valid(F.col("__v")) & known(F.col("__k"))
-    spread = revisions.filter("valid_end is not null").withColumn("__b", F.explode(F.sequence(bucket("valid_start"), bucket("valid_end"))))
-    closed = spread.join(asked.withColumn("__b", bucket("__v")), ["case_id", "__b"]).filter(exact).drop("__b")
-    unbounded = revisions.filter("valid_end is null").join(asked, "case_id").filter(exact)
-    return closed.unionByName(unbounded).drop("__v", "__k")
+    events = revisions.filter(F.col("assertion_class") == EVENT).withColumn("__v", F.col("event_at")).join(asked, ["case_id", "__v"]).filter(exact)
+    by_known = F.col("valid_end").isNull() & F.col("recorded_end").isNotNull()
+    lo = F.when(by_known, bucket("recorded_start")).otherwise(bucket("valid_start"))
+    hi = F.when(by_known, bucket("recorded_end")).otherwise(F.coalesce(F.least(bucket("valid_end"), F.lit(last)), F.lit(last)))
+    spread = revisions.filter(F.col("assertion_class") != EVENT).withColumns({"__by": by_known, "__lo": lo, "__hi": hi}).filter("__lo <= __hi").withColumn("__b", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
+    dealt = asked.withColumn("__each", F.explode(F.array(F.struct(F.lit(False).alias("by"), bucket("__v").alias("b")), F.struct(F.lit(True).alias("by"), bucket("__k").alias("b")))))
+    dealt = dealt.select("*", F.col("__each.by").alias("__by"), F.col("__each.b").alias("__b")).drop("__each")
+    met = spread.join(dealt, ["case_id", "__by", "__b"]).filter(exact).drop("__by", "__b")
+    return met.unionByName(events).drop("__v", "__k")
 
 
 def drop_superseded(revisions: DataFrame, known_at) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.staging import staged
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -167,8 +169,20 @@ def _used(recipe: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", recipe)))
 
 
+#: Domain tables that were written once, by folder of the driver's tables and name.
+STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stage(spark: SparkSession, sf_dir: str) -> None:
+    """Write every domain table to the shared folder; later queries of this session read it instead of deriving it again."""
+    for name in RECIPES:
+        STAGED[sf_dir, name] = staged(view(spark, sf_dir, name))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table, or one of the driver's, as a DataFrame."""
+    if (sf_dir, name) in STAGED and STAGED[sf_dir, name].sparkSession is spark:
+        return STAGED[sf_dir, name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     recipe = RECIPES[name](SPARK)
