@@ -91,6 +91,7 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker lives on after the task
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

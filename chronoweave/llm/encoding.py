@@ -13,11 +13,11 @@ import pyarrow as pa
 from .common import mix64
 
 #: Runs whose ids a worker keeps; beyond it the store starts anew (memory only, never results).
-KEPT_RUNS = 1 << 20
+KEPT_RUNS = 1 << 18
 #: Longer runs (bytes) are encoded where they stand and not kept.
 LONGEST_KEPT = 64
 #: Bytes of text cut into runs at a time.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 OTHER, LETTER, DIGIT, MARK, SPACE, LINE_END = range(6)
 _SAFE = re.compile(rb"[A-Za-z0-9] (?=[A-Za-z0-9])")

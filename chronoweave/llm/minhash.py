@@ -22,7 +22,7 @@ PAIRED, BLOCK = 6, 128
 #: Distinct shingles counted at a time when two blocks are compared.
 COLUMNS = 8192
 #: Distinct words whose hash a task keeps (memory only).
-KEPT_WORDS = 500_000
+KEPT_WORDS = 120_000
 
 
 class _WordHash(dict):
