@@ -35,8 +35,3 @@ def reasons(*rules: tuple[Column, str | Column]) -> Column:
 def text_of(items: Column | str) -> Column:
     """An array of strings as one text, by commas."""
     return F.array_join(items, ",")
-
-
-def folded(items: Column | str) -> Column:
-    """Digest of a set of strings: sha256 over its sorted members."""
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(items)), "\n"), 256)
