@@ -186,13 +186,16 @@ def f13_anomaly_scores(spark: SparkSession, sf: str) -> DataFrame:
     return risk.anomaly_scores(view(spark, sf, "transactions"), SUPPRESSORS, GRAIN).select("account", "month", "raw", "score")
 
 
+_WHOLE = _FEATURES.replace("round(least(1.5, ratio), 6)", "least(1.5, ratio)").replace("round(case when money_rows > 0 then round_rows / money_rows else 0 end, 6)", "case when money_rows > 0 then round_rows / money_rows else 0 end")
+
+
 @query(
-    _SIDES + f", feat as ({_FEATURES}) select account, month, round((bridge_centrality - avg(bridge_centrality) over ()) / stddev_pop(bridge_centrality) over (), 6) as bridge_centrality from feat",
+    _SIDES + f", feat as ({_WHOLE}) select account, month, " + ", ".join(f"round(({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1), 5) as {c}" for c in risk.FEATURES) + " from feat",
     "transactions",
 )
 def f14_standardized(spark: SparkSession, sf: str) -> DataFrame:
     f = risk.standardized(risk.features(view(spark, sf, "transactions"), GRAIN))
-    return f.select("account", "month", F.round("bridge_centrality", 6).alias("bridge_centrality"))
+    return f.select("account", "month", *[F.round(c, 5).alias(c) for c in risk.FEATURES])
 
 
 def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
