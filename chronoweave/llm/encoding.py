@@ -144,10 +144,11 @@ class Encoder:
     """Gives for each text what the library's own ``encode`` gives.
 
     Where the file is byte-level BPE without normalizer, a text's ids are those of its runs (see ``cut_runs``), each
-    encoded by the library once and kept. Other files, and texts with an added token's string, go through the library whole.
+    encoded by the library once and kept. Other files, and texts with an added token's string, go through the library whole
+    (with ``added_as_text`` such a string is no token but text like any other).
     """
 
-    def __init__(self, path: str, kept: int = KEPT_RUNS, at_once: int = AT_ONCE):
+    def __init__(self, path: str, kept: int = KEPT_RUNS, at_once: int = AT_ONCE, added_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -164,6 +165,8 @@ class Encoder:
             and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         )
         self.added = [x["content"].encode() for x in spec.get("added_tokens") or []]
+        if added_as_text:  # an added token's string in a text is then ordinary text
+            self.tokenizer.encode_special_tokens, self.added = True, []
         self.kept, self.at_once = kept, at_once
         self.letters = byte_letters()
         vocabulary = self.tokenizer.get_vocab()

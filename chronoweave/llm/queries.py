@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotrain
+from .align import align_tokens
 from .common import fresh_path, table
 from .itq import near_vectors
 from .line_dedup import drop_repeated_blocks
@@ -124,5 +125,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_minhash, op3_mixing, op4_line_dedup, op5_quality_cotraining, op6_token_files, op7_site_style_tree, op8_lm_difference, op9_winnowing, op10_packing)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two vocabularies, linked by their bytes."""
+    import public_tokenizers
+
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_itq, op2_minhash, op3_mixing, op4_line_dedup, op5_quality_cotraining, op6_token_files, op7_site_style_tree, op8_lm_difference, op9_winnowing, op10_packing, op13_token_alignment)}
 ORACLE: dict[str, str] = {"op3_mixing": MIX_SQL}
