@@ -114,7 +114,8 @@ def merge(a_end: np.ndarray, b_end: np.ndarray, starts: np.ndarray, lane: int =
 class Aligner:
     """Both files and what is derived from them; one per worker."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, at_once: int = AT_ONCE):
+        self.at_once = at_once
         self.a, self.b = Encoder(a_path, added_as_text=True), Pieces(b_path)
         names = self.a.tokenizer.get_vocab(with_added_tokens=True)
         of = {c: b for b, c in self.a.letters.items()}
@@ -133,7 +134,7 @@ class Aligner:
         if not text:
             return []
         raw, out, lo = b" " + text.encode(), [], 0
-        while len(raw) - lo > AT_ONCE and (m := _CUT.search(raw, lo + AT_ONCE)):
+        while len(raw) - lo > self.at_once and (m := _CUT.search(raw, lo + self.at_once)):
             out.append(raw[lo : m.end()])
             lo = m.end()
         return [*out, raw[lo:]]
@@ -179,16 +180,16 @@ class Aligner:
 
 
 @functools.cache
-def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+def aligner(a_path: str, b_path: str, at_once: int) -> Aligner:
+    return Aligner(a_path, b_path, at_once)
 
 
-def _aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
+def _aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, at_once: int) -> DataFrame:
     """One row per document: its counts, the digest of its groups, and its links' pair numbers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(a_path, b_path)
+        both = aligner(a_path, b_path, at_once)
         for batch in slices(batches, 128):
             texts = batch.column(1)
             n = np.zeros((batch.num_rows, 4), np.int64)
@@ -209,7 +210,7 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: s
             for k in range(batch.num_rows):
                 parts = both.pieces(texts[k].as_py())
                 for p, part in enumerate(parts):
-                    if todo and held + len(part) > AT_ONCE:
+                    if todo and held + len(part) > at_once:
                         work()
                         held = 0
                     todo.append((k, part, p == len(parts) - 1))
@@ -257,31 +258,31 @@ def _pair_counts(links: DataFrame, dtype: str) -> DataFrame:
     return links.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int | None = None) -> DataFrame:
+def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, at_once: int = AT_ONCE) -> DataFrame:
     """Alignment of each document's tokens by a byte-level file (A) and a sentencepiece file (B).
 
     Returns ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``. A link is a pair of an A- and a B-token whose bytes overlap, a
     group what lies between two offsets at which both end. A pair's count is its links in all documents; ``n_best`` are the document's links whose count is
     the highest of their B id, ``count_sum`` the sum of its links' counts.
 
-    Documents are encoded and merged once; their links are written and read back. Counts of the ``frequent`` (``FREQUENT``) most frequent pairs go to all
+    Documents are encoded and merged once; their links are written and read back. Counts of the ``frequent`` most frequent pairs go to all
     tasks, bounded whatever the corpus; links of rarer pairs, each with fewer links than any of those, are joined to their counts.
 
     Null or empty texts, and those whose tokens' bytes are not their own, have no tokens: zeros and an empty digest; they add no links. Repeated ids and rows
     each have a row; null ids stay. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    both = aligner(a_path, b_path)
+    both = aligner(a_path, b_path, at_once)
     width, dtype = both.width, both.dtype.str
-    rows = staged(_aligned(docs, a_path, b_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "links")
+    rows = staged(_aligned(docs, a_path, b_path, id_col, text_col, at_once).withColumn("row", F.monotonically_increasing_id()), "links")
     counts = staged(_pair_counts(rows.select("links"), dtype), "pairs").withColumn("b", F.col("pair") % width)
     best = np.zeros(width, np.int64)
     for b, n in counts.groupBy("b").agg(F.max("n")).collect():  # at most as many rows as B has ids
         best[b] = n
     # The least power of two that no more than `frequent` pairs reach.
     bits = dict(counts.groupBy(F.length(F.bin("n")).alias("bits")).count().collect())
-    least, held, bound = 64, 0, FREQUENT if frequent is None else frequent
-    while least > 1 and held + bits.get(least - 1, 0) <= bound:
+    least, held = 64, 0
+    while least > 1 and held + bits.get(least - 1, 0) <= frequent:
         least -= 1
         held += bits.get(least, 0)
     often = counts.filter(F.length(F.bin("n")) >= least).select("pair", "n").toArrow()

@@ -115,13 +115,11 @@ def test_lanes_do_not_matter(lane):
     assert set(a[ca]) == set(b[cb]) == set(a) & set(b)
 
 
-@pytest.mark.parametrize("frequent", [None, 0, 60])
-def test_alignment(spark, models, frequent, monkeypatch):
-    monkeypatch.setattr(align, "AT_ONCE", 1 << 20 if frequent is None else 300)
+@pytest.mark.parametrize(("frequent", "at_once"), [(align.FREQUENT, align.AT_ONCE), (0, 300), (60, 40)])
+def test_alignment(spark, models, frequent, at_once):
     docs = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(ODD)], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("row", "pair", "links", "n", "b", "rare")})
-    align.aligner.cache_clear()
     want = sorted(((k if k else -1, *w) for k, w in enumerate(brute(models, ODD))), key=str)
-    assert rows_of(align.align_tokens(docs, tokenizer_path(), PIECES, frequent=frequent)) == want
+    assert rows_of(align.align_tokens(docs, tokenizer_path(), PIECES, frequent=frequent, at_once=at_once)) == want
     assert align.align_tokens(docs.limit(0), tokenizer_path(), PIECES).count() == 0
 
 
