@@ -16,6 +16,7 @@ from .mixing import mixed, token_count
 from .packing import pack_documents
 from .site_tree import extract
 from .repair import damaged, repair_conversations
+from .substrings import remove_repeated_spans
 from .token_files import read_token_files, write_token_files
 from .winnow import compared_with_edit_and_next
 
@@ -131,6 +132,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 35-word windows that stand anywhere else."""
+    return remove_repeated_spans(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by two vocabularies, linked by their bytes."""
     import public_tokenizers
@@ -138,5 +144,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_minhash, op3_mixing, op4_line_dedup, op5_quality_cotraining, op6_token_files, op7_site_style_tree, op8_lm_difference, op9_winnowing, op10_packing, op11_conversation_repair, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_itq, op2_minhash, op3_mixing, op4_line_dedup, op5_quality_cotraining, op6_token_files, op7_site_style_tree, op8_lm_difference, op9_winnowing, op10_packing, op11_conversation_repair, op12_debruijn_spans, op13_token_alignment)}
 ORACLE: dict[str, str] = {"op3_mixing": MIX_SQL}
