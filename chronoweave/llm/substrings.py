@@ -17,18 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_counted, list_array, mix64, slices, staged
+from .components import components
 
 #: Words of a window.
 WIDTH = 35
 #: Words whose hash may be an anchor: long enough that chance seldom shares one, short enough that a run holds several windows.
-ANCHOR = 16
+ANCHOR = 12
 #: Words hashed at a time.
 _AT_ONCE = 1 << 18
 _B, _C = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
-def _digest(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=16).digest()
+def _digest(words: bytes, size: int = 12) -> bytes:
+    return hashlib.blake2b(words, digest_size=size).digest()
+
+
+def _packed(words: bytes) -> bytes:
+    """Words compressed with their size before them: texts move twice."""
+    return len(words).to_bytes(8, "little") + pa.compress(words, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
 
 
 def _places(words: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +79,15 @@ def _spread(x: np.ndarray, n: int, join) -> np.ndarray:
     return out
 
 
-def window_runs(words: bytes, width: int, anchor: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Words, then first window, number of windows, anchor and digest of each run of windows with one anchor place."""
+def window_runs(words: bytes, width: int, anchor: int) -> tuple[int, np.ndarray, np.ndarray, list[bytes]]:
+    """Words, then first window, number of windows and name of each run of windows with one anchor place.
+
+    A name is the anchor's hash and 64 bits of a digest of the run's words, so only runs that share an anchor could be taken for one another.
+    """
     begin, end = _places(words)
     if len(begin) < width:
         none = np.zeros(0, np.int64)
-        return len(begin), none, none, none, []
+        return len(begin), none, none, []
     power = [pow(_C, k, 1 << 64) for k in range(anchor + 1)]
     group = mix64(_spread(_word_hashes(words, begin, end), anchor, lambda a, b, d: a * np.uint64(power[d]) + b))
     place = np.arange(len(group))
@@ -86,7 +99,8 @@ def window_runs(words: bytes, width: int, anchor: int) -> tuple[int, np.ndarray,
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     size = np.diff(np.append(first, len(at)))
     lo, hi = begin[first].tolist(), end[first + size + width - 2].tolist()
-    return len(begin), first, size, group[at[first]].view(np.int64), [_digest(words[a:b]) for a, b in zip(lo, hi, strict=True)]
+    anchors = group[at[first]].tolist()
+    return len(begin), first, size, [h.to_bytes(8, "big") + _digest(words[a:b], 8) for h, a, b in zip(anchors, lo, hi, strict=True)]
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int) -> DataFrame:
@@ -96,12 +110,11 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, width: int, anchor:
         for batch in slices(batches, 64):
             words = [b" ".join((t.as_py() or "").encode().split()) for t in batch.column(1)]
             got = [window_runs(w, width, anchor) for w in words]
-            digests = list_array([np.array(g[4], object) for g in got], pa.binary()) if any(g[4] for g in got) else pa.array([[]] * len(got), pa.list_(pa.binary()))
-            columns = [batch.column(0), pa.array(words, pa.binary()), pa.array([g[0] for g in got], pa.int64())]
-            columns += [list_array([g[c].astype(t) for g in got], k) for c, t, k in ((1, np.int32, pa.int32()), (2, np.int32, pa.int32()), (3, np.int64, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, digests], names=["doc_id", "words", "n_words", "first", "size", "anchor", "run"])
+            columns = [batch.column(0), pa.array([_packed(w) for w in words], pa.binary()), pa.array([g[0] for g in got], pa.int64())]
+            columns += [list_array([g[c].astype(np.int32) for g in got], pa.int32()) for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([g[3] for g in got], pa.list_(pa.binary()))], names=["doc_id", "words", "n_words", "first", "size", "run"])
 
-    shape = f"doc_id {kind}, words binary, n_words long, first array<int>, size array<int>, anchor array<long>, run array<binary>"
+    shape = f"doc_id {kind}, words binary, n_words long, first array<int>, size array<int>, run array<binary>"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape)
     return staged(rows.withColumn("row", F.monotonically_increasing_id()), "windows")
 
@@ -112,7 +125,7 @@ def _read_windows(runs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
             for row, words, which in zip(*(batch.column(c) for c in range(3)), strict=True):
-                words = words.as_py()
+                words = _unpacked(words.as_py())
                 begin, end = _places(words)
                 which = which.values.flatten()
                 first, size, n = (x.to_numpy(zero_copy_only=False) for x in which)
@@ -128,8 +141,8 @@ def _read_windows(runs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 def _repeated_edges(rows: DataFrame, width: int) -> DataFrame:
     """``row, place, size, edge`` of every repeated edge where it stands: a run that stands elsewhere too, or one such window of another run."""
-    runs = rows.select("row", F.explode(F.arrays_zip("first", "size", "anchor", "run")).alias("r")).select("row", "r.*")
-    kinds = staged(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min(F.struct("row", "first", "size")).alias("at")), "runs")
+    runs = rows.select("row", F.explode(F.arrays_zip("first", "size", "run")).alias("r")).select("row", "r.*")
+    kinds = staged(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "size")).alias("at")).withColumn("anchor", F.substring("run", 1, 8)), "runs")
     anchors = staged(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "anchors")
     several = join_counted(kinds, anchors, "anchor", "kinds", kinds.count())
     windows = staged(_read_windows(several.select("at.*", "n"), rows, width), "edges")
@@ -142,54 +155,72 @@ def _repeated_edges(rows: DataFrame, width: int) -> DataFrame:
     return whole.unionByName(one)
 
 
-def compact(links: DataFrame) -> DataFrame:
+def _ranked(chain: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``edge, to, offset`` of every ``edge`` with ``to`` moved to the end of its pointers, and those that go round, if any.
+
+    ``chain`` holds one pointer an edge; an end is what has none itself. Rounds of joins double the pointers.
+    """
+    ends = chain.join(chain.select(F.col("edge").alias("to")), "to", "left_anti").select("edge", F.lit(True).alias("ended"))
+    now = staged(chain.join(ends, "edge", "left").select("edge", "to", "offset", F.coalesce("ended", F.lit(False)).alias("ended")), "jumps")
+    total, steps = now.count(), 0
+    while not now.filter("not ended").isEmpty():
+        if 2**steps > total:
+            return now.filter("ended").drop("ended"), now.filter("not ended").select("edge")
+        there = now.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("offset").alias("offset2"), F.col("ended").alias("ended2"))
+        moved = now.filter("not ended").join(there, "to").select("edge", F.col("to2").alias("to"), (F.col("offset") + F.col("offset2")).alias("offset"), F.col("ended2").alias("ended"))
+        now, steps = staged(moved.unionByName(now.filter("ended")), "jumps"), steps + 1
+    return now.drop("ended"), None
+
+
+def _cut(chain: DataFrame, rings: DataFrame) -> DataFrame:
+    """``edge, to, offset`` of the rings' edges, each cut before its least edge."""
+    around = chain.join(rings, "edge", "left_semi")
+    least = components(around.filter("edge <> to").select(F.col("edge").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("edge"), "component_id")
+    ringed = around.join(least.unionByName(around.filter("edge = to").select("edge", F.col("edge").alias("component_id"))), "edge")
+    zero = ringed.filter("edge = component_id").select("edge", F.col("edge").alias("to"), F.lit(0).cast("long").alias("offset"))
+    return _ranked(ringed.filter("edge <> component_id").select("edge", "to", "offset"))[0].unionByName(zero)
+
+
+def compact(links: DataFrame, every: int = 8) -> DataFrame:
     """``edge, path, offset`` from ``a, b, size``: edge ``b`` follows edge ``a``, which has ``size`` windows. Edges in no nonbranching chain are left out.
 
-    A chain holds links whose first edge has no other follower and whose second follows no other. Each edge points to the
-    one before it; rounds of joins double the pointers until they reach the path's first edge, its name. A ring is cut before its least edge.
+    A chain holds links whose first edge has no other follower and whose second follows no other. Each edge points to the one before
+    it. Pointers first run to the next stop, one edge in ``every`` by its number or a path's first edge, then those of the stops alone run to the
+    path's first edge, its name. A ring is cut before its least stop, or its least edge if it has no stop.
     """
     after = links.groupBy("a").agg(F.count("*").alias("n_after"), F.min("b").alias("b"), F.min("size").alias("size")).filter("n_after = 1")
     before = links.groupBy("b").agg(F.count("*").alias("n_before")).filter("n_before = 1")
-    chain = staged(after.join(before, "b").select(F.col("b").alias("edge"), F.col("a").alias("to"), F.col("size").cast("long").alias("offset"), F.least("a", "b").alias("least")), "chain")
-    heads = chain.select(F.col("to").alias("edge")).join(chain.select("edge"), "edge", "left_anti").select("edge", F.col("edge").alias("path"), F.lit(0).cast("long").alias("offset"))
-    done, total, steps, open_ = [heads], chain.count(), 0, chain
-    ring_cut = False
-    while total:
-        ends = open_.join(open_.select(F.col("edge").alias("to")), "to", "left_anti") if not steps else open_.filter("ended")
-        if not steps:
-            open_ = staged(open_.join(ends.select("edge", F.lit(True).alias("ended")), "edge", "left").select("edge", "to", "offset", "least", F.coalesce("ended", F.lit(False)).alias("ended")), "jumps")
-        going = open_.filter("not ended")
-        left = going.count()
-        if not left:
-            done.append(open_.select("edge", F.col("to").alias("path"), "offset"))
-            break
-        if 2**steps > total and not ring_cut:
-            # What still moves goes round: its least edge becomes a head.
-            done.append(open_.filter("ended").select("edge", F.col("to").alias("path"), "offset"))
-            ring = going.select("edge", F.col("least").alias("ring"))
-            done.append(ring.filter("edge = ring").select("edge", F.col("edge").alias("path"), F.lit(0).cast("long").alias("offset")))
-            open_ = staged(chain.join(ring, "edge").filter("edge <> ring").select("edge", "to", "offset", "least"), "chain")
-            total, steps, ring_cut = open_.count(), 0, True
-            continue
-        there = open_.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("offset").alias("offset2"), F.col("least").alias("least2"), F.col("ended").alias("ended2"))
-        moved = going.join(there, "to").select("edge", F.col("to2").alias("to"), (F.col("offset") + F.col("offset2")).alias("offset"), F.least("least", "least2").alias("least"), F.col("ended2").alias("ended"))
-        open_, steps = staged(moved.unionByName(open_.filter("ended")), "jumps"), steps + 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    chain = staged(after.join(before, "b").select(F.col("b").alias("edge"), F.col("a").alias("to"), F.col("size").cast("long").alias("offset")), "chain")
+    heads = chain.select(F.col("to").alias("edge")).join(chain.select("edge"), "edge", "left_anti")
+    first = heads.select("edge", F.col("edge").alias("path"), F.lit(0).cast("long").alias("offset"))
+    if chain.isEmpty():
+        return first
+    stop = F.abs(F.xxhash64("edge")) % every == 0
+    short, rings = _ranked(chain.filter(~stop))  # a stop has no pointer here: pointers end there
+    lone = None if rings is None else _cut(chain, rings)  # rings without a stop
+    # A stop points to the stop or first edge that the edge before it reached.
+    via = short.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("offset").alias("offset2"))
+    stops = staged(chain.filter(stop).join(via, "to", "left").select("edge", F.coalesce("to2", "to").alias("to"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset")), "stops")
+    far, rings = _ranked(stops)
+    if rings is not None:
+        far = far.unionByName(_cut(stops, rings))
+    far = staged(far.select("edge", F.col("to").alias("path"), "offset"), "stops")
+    up = far.select(F.col("edge").alias("to"), F.col("path").alias("path"), F.col("offset").alias("offset2"))
+    rest = short.join(up, "to", "left").select("edge", F.coalesce("path", "to").alias("path"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"))
+    out = first.unionByName(far).unionByName(rest)
+    return out if lone is None else out.unionByName(lone.withColumnRenamed("to", "path"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """Documents as read (``row, doc_id, words, n_words``) and their repeated edges (``row, edges``: ``place, size, path, offset`` in order of place).
+    """Documents as read (``row, doc_id, words, n_words``, ``words`` compressed) and their repeated edges (``row, edges``: ``place, size, path, offset`` in order of place).
 
     ``place`` is the edge's first word, ``size`` its windows, ``path`` the compacted path it lies on and ``offset`` its first window there. Edges that
-    are alone on their path are its first. Names of paths are the first 64 bits of their first edge's digest; they decide nothing about what is repeated.
+    are alone on their path are its first. Names of paths are a 64-bit hash of their first edge's digest; they decide nothing about what is repeated.
     """
     if not 0 < anchor <= width:
         raise ValueError("an anchor has at least one word and no more than a window")
     rows = _documents(docs, id_col, text_col, width, anchor)
-    name = F.conv(F.substring(F.hex("edge"), 1, 15), 16, 10).cast("long")
+    name = F.xxhash64("edge")
     flat = _repeated_edges(rows, width).select("row", "place", "size", name.alias("edge"))
     seen = staged(flat.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "size", "edge"))).alias("edges")), "seen")
     pairs = F.expr("filter(transform(sequence(1, size(edges) - 1), i -> struct(edges[i - 1].edge as a, edges[i].edge as b, edges[i - 1].size as size, edges[i - 1].place + edges[i - 1].size = edges[i].place as beside)), x -> x.beside)")
@@ -220,7 +251,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in slices(batches, 64):
             gone, digest, paths, texts = [], [], [], []
             for words, n, edges in zip(batch.column("words"), batch.column("n_words").to_pylist(), batch.column("edges"), strict=True):
-                words = words.as_py()
+                words = _unpacked(words.as_py())
                 if not edges.is_valid:
                     gone.append(0)
                     paths.append(0)
