@@ -94,6 +94,7 @@ def link_events(obs: DataFrame, links: DataFrame) -> DataFrame:
     """Continuations, splits, merges, deaths and unparented communities from the accepted adjacent links.
 
     ``event, snapshot_index, parents, children, score, low_confidence, reasons`` (ids and reasons as sorted texts).
+    Births and deaths have no score and are as certain as their community.
     A link continues if it is the only one on both sides; a parent of several children splits, a child of several parents merges.
     """
     ok = links.filter("accepted")
@@ -109,7 +110,8 @@ def link_events(obs: DataFrame, links: DataFrame) -> DataFrame:
 
     last = obs.agg(F.max("snapshot_index").alias("__last"))
     gone = obs.crossJoin(F.broadcast(last)).filter("snapshot_index < __last").join(ok.select(F.col("parent").alias("obs")), "obs", "left_anti")  # one row
-    blank = [F.lit(None).cast("double").alias("score"), F.lit(False).alias("low_confidence"), F.lit("").alias("reasons")]
+    unsure = F.coalesce("uncertain", F.lit(False))
+    blank = [F.lit(None).cast("double").alias("score"), unsure.alias("low_confidence"), F.when(unsure, "uncertain_input").otherwise("").alias("reasons")]
     death = gone.select(F.lit("DEATH").alias("event"), (F.col("snapshot_index") + 1).alias("snapshot_index"), F.col("obs").alias("parents"), F.lit("").alias("children"), *blank)
     new = obs.join(ok.select(F.col("child").alias("obs")), "obs", "left_anti")
     birth = new.select(F.lit("BIRTH").alias("event"), "snapshot_index", F.lit("").alias("parents"), F.col("obs").alias("children"), *blank)

@@ -426,9 +426,27 @@ def d1_chart_rows(spark: SparkSession, sf: str) -> DataFrame:
     return d.chart_rows(items.union(items), notes, _gone(spark, sf), manual)
 
 
-@query(f"select node_id as id, case when type = 'place' then '{d.MASK}' else label end as label, type from nodes", "nodes", "edges")
+@query(f"select node_id as id, case when type = 'place' then '{d.MASK}' else label end as label, type, case when type <> 'place' then length(label) end as x, case when type <> 'place' then length(node_id) end as y, case when type = 'place' then 'redacted' else 'solid' end as style, type = 'place' as redacted from nodes", "nodes")
 def d2_redacted_items(spark: SparkSession, sf: str) -> DataFrame:
-    return d.redacted_items(view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label", "type"), _gone(spark, sf))
+    items = view(spark, sf, "nodes").select(F.col("node_id").alias("id"), "label", "type", F.length("label").cast("long").alias("x"), F.length("node_id").cast("long").alias("y"), F.lit("solid").alias("style"))
+    return d.redacted_items(items, _gone(spark, sf))
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "edges").select(F.col("edge_id").alias("id"), "subject", "object", F.col("relation").alias("label"), F.lit("dashed").alias("style"), F.expr("case when status = 'P' then 'not evidence' when status = 'O' then 'evidence' end").alias("evidence_status"))
+
+
+@query(f"select edge_id as id, subject, object, case when confidence < 0.2 then '{d.LINK_MASK}' else relation end as label, 'dashed' as style, case when status = 'P' then 'not evidence' when status = 'O' then 'evidence' end as evidence_status, coalesce(confidence < 0.2, false) as redacted from edges", "edges")
+def d2_redacted_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of little confidence redacted, by ids."""
+    return d.redacted_links(_links(spark, sf), view(spark, sf, "edges").filter("confidence < 0.2").select(F.col("edge_id").alias("id")))
+
+
+@query(f"select edge_id as note_id, object as target_id, case when type = 'place' then '{d.NOTE_MASK}' else 'saw ' || subject end as text from edges left join nodes on node_id = object", "nodes", "edges")
+def d2_redacted_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes on redacted nodes lose their text."""
+    notes = view(spark, sf, "edges").select(F.col("edge_id").alias("note_id"), F.col("object").alias("target_id"), F.expr("'saw ' || subject").alias("text"))
+    return d.redacted_notes(notes, _gone(spark, sf))
 
 
 @query("select node_id as id from nodes where type <> 'place'", "nodes", "edges")
@@ -436,18 +454,36 @@ def d2_redacted_path(spark: SparkSession, sf: str) -> DataFrame:
     return d.redacted_path(view(spark, sf, "nodes").select(F.col("node_id").alias("id")), _gone(spark, sf))
 
 
-@query("select case_id as chart_id, count(*) filter (where status = 'P') as unsupported, count(*) filter (where status = 'P') = 0 as factual_use from edges group by 1", "edges")
+_CHART = """, n as (select case_id, count(*) filter (where status = 'O') as n_evidence, count(*) as n from edges group by 1),
+    chart as (select case_id, n - n_evidence as unsupported, case when n > n_evidence then 'blocked-for-factual-claims' else 'ready' end as status from n) """
+
+
+def _charts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each case, one chart with all its links and one with those that are evidence."""
+    links = _links(spark, sf).join(view(spark, sf, "edges").select(F.col("edge_id").alias("id"), "case_id"), "id")
+    sound = links.filter("evidence_status = 'evidence'").withColumn("chart_id", F.expr("case_id || '-evidence'"))
+    return d.unsupported_claims(links.withColumn("chart_id", F.col("case_id")).unionByName(sound))
+
+
+@query(_CHART + "select case_id as chart_id, unsupported, status from chart union all select case_id || '-evidence', 0, 'ready' from n where n_evidence > 0", "edges")
 def d3_unsupported_claims(spark: SparkSession, sf: str) -> DataFrame:
-    items = view(spark, sf, "edges").select(F.col("case_id").alias("chart_id"), F.expr("case when status = 'P' then 'analyst' else 'evidence' end").alias("origin"))
-    return d.unsupported_claims(items)
+    """All links of a case, and a chart of its evidence alone."""
+    return _charts(spark, sf)
 
 
-@query("select case_id, case when case_id = 'case-2' then 'ready' else 'draft' end as status, count(*) filter (where status = 'P' and case_id <> 'case-2') as open_tasks from edges group by 1", "edges")
+@query(
+    _CHART
+    + """select * from (select case_id, case when unsupported = 0 and t = 0 then 'ready-for-review' else 'needs-review' end as status, t as open_tasks
+        from chart join (select case_id, count(*) filter (where confidence > 0.98 or confidence is null) as t from edges group by 1) x using (case_id)
+    union all select case_id || '-evidence', case when case_id = 'case-2' then 'needs-review' else 'ready-for-review' end, case when case_id = 'case-2' then n_evidence else 0 end from n where n_evidence > 0) y""",
+    "edges",
+)
 def d4_packet_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets of the charts of d3; those of evidence have open tasks in one case alone."""
     edges = view(spark, sf, "edges")
-    charts = edges.select("case_id", F.lit(True).alias("ready")).distinct()
-    tasks = edges.select("case_id", F.expr("case when status = 'P' and case_id <> 'case-2' then 'open' else 'done' end").alias("status"))
-    return d.packet_status(charts, tasks)
+    tasks = edges.select("case_id", F.expr("case when confidence > 0.98 then 'open' when confidence is not null then 'done' end").alias("status"))
+    sound = edges.filter("status = 'O'").select(F.expr("case_id || '-evidence'").alias("case_id"), F.expr("case when case_id = 'case-2' then 'waiting' else 'done' end").alias("status"))
+    return d.packet_status(_charts(spark, sf).select(F.col("chart_id").alias("case_id"), "status"), tasks.unionByName(sound))
 
 
 # Sources.

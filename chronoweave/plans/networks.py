@@ -124,18 +124,20 @@ def l4_candidate_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _LINKS
-    + """select * from (select 'CONTINUATION' as event, parent as parents, child as children from ok where c = 1 and p = 1
-    union all select 'SPLIT', parent, array_to_string(list_sort(list(child)), ',') from ok where c > 1 group by parent
-    union all select 'MERGE', array_to_string(list_sort(list(parent)), ','), child from ok where p > 1 group by child
-    union all select 'DEATH', obs, '' from obs where snapshot_index < (select max(snapshot_index) from obs) and obs not in (select parent from ok)
-    union all select 'BIRTH', '', obs from obs where obs not in (select child from ok)) x""",
+    + """, said as (select *, list_filter([case when greatest(jaccard - 0.3, overlap - 0.6) < 0.08 then 'near_threshold' end, case when unsure then 'uncertain_input' end], lambda x: x is not null) as why from ok),
+    ev as (select 'CONTINUATION' as event, parent as parents, child as children, score, why from said where c = 1 and p = 1
+    union all select 'SPLIT', parent, array_to_string(list_sort(list(child)), ','), min(score), list_sort(list_distinct(flatten(list(why)))) from said where c > 1 group by parent
+    union all select 'MERGE', array_to_string(list_sort(list(parent)), ','), child, min(score), list_sort(list_distinct(flatten(list(why)))) from said where p > 1 group by child
+    union all select 'DEATH', obs, '', null, case when uncertain then ['uncertain_input'] else [] end from obs where snapshot_index < (select max(snapshot_index) from obs) and obs not in (select parent from ok)
+    union all select 'BIRTH', '', obs, null, case when uncertain then ['uncertain_input'] else [] end from obs where obs not in (select child from ok))
+    select event, parents, children, round(score, 6) as score, len(why) > 0 as low_confidence, array_to_string(why, ',') as reasons from ev""",
     "memberships",
 )
 def l6_link_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Births, deaths, continuations, splits and merges."""
+    """Births, deaths, continuations, splits and merges, with scores and what makes them uncertain."""
     m = view(spark, sf, "memberships")
     obs = ln.observations(m)
-    return ln.link_events(obs, ln.adjacent_links(m, obs)).select("event", "parents", "children")
+    return ln.link_events(obs, ln.adjacent_links(m, obs)).select("event", "parents", "children", F.round("score", 6).alias("score"), "low_confidence", "reasons")
 
 
 @query()
