@@ -233,8 +233,9 @@ def _members(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id
 
     ids = staged(held.select("id").distinct(), "ids")
     wanted = staged(ids.join(reps.select("id", "least", "digest"), "id"), "wanted")
-    some = docs.join(maybe_broadcast(wanted.select("least")), docs[id_col].cast("long") == F.col("least"), "left_semi")
-    sets = _sets(some, size, id_col, text_col).join(maybe_broadcast(wanted), ["least", "digest"])
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    some = own.join(maybe_broadcast(wanted.select("least")), F.col("doc_id").cast("long") == F.col("least"), "left_semi")
+    sets = _sets(some, size, "doc_id", "text").join(maybe_broadcast(wanted), ["least", "digest"])
     sets = staged(sets.select("id", "shingles").dropDuplicates(["id"]), "sets")
 
     alike = f"component <> other and 100 * least(n, m) >= {percent} * greatest(n, m)"

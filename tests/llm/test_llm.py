@@ -616,3 +616,12 @@ def test_pipeline_stages(spark, hostile, none):
 
 def test_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_minhash_reads_no_column_named_as_its_own(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, words), (2, words), (3, words + " more")], "doc_id long, text string")
+    for name in ("least", "digest", "id", "n", "key", "component"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = minhash.near_duplicates(docs, size=2, percent=80).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1)]
