@@ -17,19 +17,22 @@ from .common import hot_least, join_counted, slices, staged
 BLOCK_CHARS = 120
 #: Changed documents and lines of theirs up to which what goes is broadcast.
 BROADCAST_DOCS, BROADCAST_LINES = 100_000, 2_000_000
+#: Items that an alignment reads for each line of both documents; what it has not matched by then is found by runs.
+WORK = 16
 # Runs of lines are named by a polynomial of their lines' hashes.
 _PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 
 
-def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+def patience(a: Sequence[int], b: Sequence[int], work: int | None = None) -> list[tuple[int, int]]:
     """Matched positions of two sequences, increasing in both.
 
     In each range: the common head and tail match; items that are unique in both ranges match
-    along their longest increasing run of positions (first occurrences, where none is unique); the
-    gaps between are ranges again.
+    along their longest increasing run of positions; the gaps between are ranges again. A range without such items
+    is left unmatched, as are those that stand open when ``work`` items (by default a multiple of both lengths) were read.
     """
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
+    left = WORK * (len(a) + len(b)) if work is None else work
     while todo:
         i, j, k, m = todo.pop()
         while i < j and k < m and a[i] == b[k]:
@@ -38,17 +41,13 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         while i < j and k < m and a[j - 1] == b[m - 1]:
             j, m = j - 1, m - 1
             found.append((j, m))
-        if i >= j or k >= m:
+        if i >= j or k >= m or left <= 0:
             continue
+        left -= j - i + m - k
         once = Counter(a[i:j])
         there = Counter(b[k:m])
         at = {x: p for p, x in enumerate(b[k:m], k) if there[x] == 1 and once.get(x) == 1}
-        if not at:  # then the first occurrences of common items
-            at = {x: p for p, x in reversed(list(enumerate(b[k:m], k))) if x in once}
-            ahead = {x: p for p, x in reversed(list(enumerate(a[i:j], i))) if x in at}
-            pairs = sorted((p, at[x]) for x, p in ahead.items())
-        else:
-            pairs = [(p, at[x]) for p, x in enumerate(a[i:j], i) if x in at]
+        pairs = [(p, at[x]) for p, x in enumerate(a[i:j], i) if x in at]
         if not pairs:
             continue
         tails: list[int] = []
@@ -100,31 +99,36 @@ def least_runs(hashes: Sequence[int], sizes: Sequence[int], least: int) -> list[
 
 
 def common_blocks(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], least: int) -> list[tuple[int, int]]:
-    """Ranges ``[from, to)`` of ``b`` aligned with consecutive items of ``a`` and at least ``least`` in size.
+    """Ranges ``[from, to)`` of ``b``, in order and apart, that stand as consecutive items in ``a``, each in stretches of at least ``least`` in size.
 
-    Items of ``b`` that an alignment matched are set aside and the rest is aligned again, so a block
-    that moved or stands twice is found too; it ends when less than a block of ``b`` is left in common. Blocks whose
-    items one alignment matched at different places of ``a`` are found by their runs.
+    The sequences are aligned once. A block that moved, stands several times or was matched at different places of ``a``
+    is found by its runs, which are looked up among those of ``a``; so the time is that of the alignment and linear beyond.
     """
     there, out = set(a), []
-    rest = list(b)
-    while sum(size for x, size in zip(rest, sizes, strict=True) if x in there) >= least:
-        blocks: list[list[int]] = []
-        before = (-2, -2)
-        for p, q in patience(a, rest):
-            if (p - 1, q - 1) == before:
-                blocks[-1][1] = q + 1
-            else:
-                blocks.append([q, q + 1])
-            before = (p, q)
-            rest[q] = (q,)  # equals nothing in a
-        out += [(s, e) for s, e in blocks if sum(sizes[s:e]) >= least]
+    start = end = 0
+    before = -1
+    for p, q in [*patience(a, b), (-1, -1)]:
+        if p != before + 1 or q != end:
+            if end > start and sum(sizes[start:end]) >= least:
+                out.append((start, end))
+            start = q
+        before, end = p, q + 1
+    covered = bytearray(len(b))
+    for s, e in out:
+        covered[s:e] = b"\1" * (e - s)
+    rest = [0, *accumulate(x in there and not c for x, c in zip(b, covered, strict=True))]
     shared = [0, *accumulate(x in there for x in b)]
-    if shared[-1] and (left := [(s, e, k) for s, e, k in least_runs(b, sizes, least) if shared[e] - shared[s] == e - s and not any(x <= s and e <= y for x, y in out)]):
+    if rest[-1] and (left := [(s, e, k) for s, e, k in least_runs(b, sizes, least) if shared[e] - shared[s] == e - s and rest[e] > rest[s]]):
         size_of = dict(zip(b, sizes, strict=True))
         known = {k for _, _, k in least_runs(a, [size_of.get(x, least) for x in a], least)}
         out += [(s, e) for s, e, k in left if k in known]
-    return sorted(out)
+    apart: list[tuple[int, int]] = []
+    for s, e in sorted(out):
+        if apart and s <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(e, apart[-1][1]))
+        else:
+            apart.append((s, e))
+    return apart
 
 
 def aligned(pairs: DataFrame, least: int) -> DataFrame:
@@ -159,6 +163,14 @@ def _paired(each: DataFrame) -> DataFrame:
     return met.filter("who <> a").select("a", F.col("who").alias("b")).distinct()
 
 
+def _free(name: str, taken: Sequence[str]) -> str:
+    """A name like ``name`` that no column of ``taken`` has, whatever its case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def drop_repeated_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated blocks cut from ``text_col``, plus ``n_lines`` and ``n_removed`` (ints).
 
@@ -174,11 +186,12 @@ def drop_repeated_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col
     are neither compared nor changed. Equal rows (same id and text) count as one document and
     change alike. Existing ``n_lines``/``n_removed`` columns are replaced.
     """
-    keyed = docs.withColumn("__th", F.xxhash64(text_col)).withColumn("__doc", F.col(id_col).cast("long"))
+    own_doc, own_th, own_gone = (_free(c, docs.columns) for c in ("doc", "th", "gone"))
+    keyed = docs.withColumn(own_th, F.xxhash64(text_col)).withColumn(own_doc, F.col(id_col).cast("long"))
     trimmed = F.transform(F.split(F.col(text_col), "\n", -1), lambda line: F.trim(line))
     lines = staged(
-        keyed.filter(F.col("__doc").isNotNull() & (F.length(text_col) >= block_chars))
-        .select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), trimmed.alias("l"))
+        keyed.filter(F.col(own_doc).isNotNull() & (F.length(text_col) >= block_chars))
+        .select(F.col(own_doc).alias("doc"), F.col(own_th).alias("th"), trimmed.alias("l"))
         .select("doc", "th", F.transform("l", lambda x: F.xxhash64(x)).alias("hs"), F.transform("l", lambda x: F.length(x)).alias("ls"))
         .dropDuplicates(["doc", "th"]),
         "lines",
@@ -197,15 +210,15 @@ def drop_repeated_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col
     gone = staged(found.groupBy("doc", "th").agg(F.collect_set("at").alias("gone")), "gone")
 
     size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = gone.select(F.col("doc").alias(own_doc), F.col("th").alias(own_th), F.col("gone").alias(own_gone))
     if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     split = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(split, lambda line, at: ~F.array_contains(F.col("__gone"), at)), "\n")
+    left = F.array_join(F.filter(split, lambda line, at: ~F.array_contains(F.col(own_gone), at)), "\n")
     return (
-        keyed.join(gone, ["__doc", "__th"], "left")
+        keyed.join(gone, [own_doc, own_th], "left")
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))
-        .withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-        .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
+        .withColumn("n_removed", F.when(F.col(own_gone).isNull(), 0).otherwise(F.size(own_gone)))
+        .withColumn(text_col, F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(left))
         .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
     )
