@@ -148,13 +148,13 @@ def _own(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[new], which, np.bincount(which, minlength=int(new.sum()))
 
 
-_ROWS = "doc_id long, th int, key long, side int, n int, own long, own_word int, own_before int, n_words long, losses_t double, losses_b double"
+_ROWS = "doc_id long, th long, key long, side int, n int, own long, own_word int, own_before int, losses_t double, losses_b double"
 
 
 def _text_rows(docs: DataFrame, shared, hot) -> DataFrame:
     """One row for each text, with its losses as if no pair but the hot ones were known, and one for each other distinct pair.
 
-    A text's row has a key below 0, by its id, so that it goes along with the pairs and matches none.
+    A text's row has a key below 0, by its hash, so that it goes along with the pairs and matches none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +185,9 @@ def _text_rows(docs: DataFrame, shared, hot) -> DataFrame:
                 joint[is_hot] = np.maximum(hot_counts[side][at[is_hot]] - np.where(mine, own_pair, 0)[is_hot], 0)
                 loss = words.loss(side, w, before, joint, *(np.where(mine, x, 0) for x in (sizes[doc], own_word, own_before)))
                 sums.append(np.bincount(doc, weights=loss, minlength=len(each)).astype(float))
-            spread = -1 - (np.array(th.to_pylist(), np.int64) & 0x7FFFFFFF)
+            spread = -1 - (th.to_numpy(zero_copy_only=False) & np.int64(0x7FFFFFFFFFFFFFFF))
             yield pa.RecordBatch.from_arrays(
-                [ids, th, pa.array(spread), *(pa.array(np.zeros(len(each), np.int64), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1])],
+                [ids, th, pa.array(spread), *(pa.array(np.zeros(len(each), np.int64), pa.int32()) for _ in range(2)), pa.array(sizes), *(pa.array(np.zeros(len(each), np.int64), pa.int32()) for _ in range(2)), pa.array(sums[0]), pa.array(sums[1])],
                 [x.split()[0] for x in _ROWS.split(", ")],
             )
             place = place[(key[place] >= 0) & ~is_hot[place]]
@@ -201,23 +201,22 @@ def _text_rows(docs: DataFrame, shared, hot) -> DataFrame:
                     pa.array(own_pair[place], pa.int32()),
                     pa.array(sizes[d]),
                     *(pa.array(x[place], pa.int32()) for x in (own_word, own_before)),
-                    pa.array(np.zeros(len(place), np.int64)),
                     pa.array(zero),
                     pa.array(zero),
                 ],
                 [x.split()[0] for x in _ROWS.split(", ")],
             )
 
-    return docs.select("doc_id", F.hash("text").alias("th"), "text", "is_target").mapInArrow(run, _ROWS)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text", "is_target").mapInArrow(run, _ROWS)
 
 
 def _corrected(rows: DataFrame, shared) -> DataFrame:
-    """``doc_id, th, texts, n_words, losses_t, losses_b``: rows of texts as they are, those of pairs as what their counts change."""
+    """``doc_id, th, own, texts, losses_t, losses_b``: rows of texts as they are, those of pairs as what their counts change."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            key, side, n, own, own_word, own_before, n_words, *losses, target, background = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+            key, side, n, own, own_word, own_before, *losses, target, background = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
             text = key < 0
             before, w = np.divmod(np.where(text, 0, key), len(words.names) + 1)
             out = []
@@ -229,11 +228,11 @@ def _corrected(rows: DataFrame, shared) -> DataFrame:
                 out.append(np.where(text, losses[s], change * n))
             keep = np.flatnonzero(text | (out[0] != 0) | (out[1] != 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), *(pa.array(x[keep]) for x in (text.astype(np.int64), n_words, *out))],
-                ["doc_id", "th", "texts", "n_words", "losses_t", "losses_b"],
+                [batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), *(pa.array(x[keep]) for x in (own, text.astype(np.int64), *out))],
+                ["doc_id", "th", "own", "texts", "losses_t", "losses_b"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, th int, texts long, n_words long, losses_t double, losses_b double")
+    return rows.mapInArrow(run, "doc_id long, th long, own long, texts long, losses_t double, losses_b double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = VOCABULARY, hot_pairs: int = HOT_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,6 +248,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     that is at least one in ``hot_pairs`` (a bounded list) is looked up beside the text; all others are
     joined to the texts' distinct pairs, and what they change in a text's losses is summed.
 
+    Rows of one id, or without id, are told apart by a 64-bit hash of the text and its number of words.
     Texts without words (null, empty, white space) have 0 words and null losses. Null ids are background. Each row of a
     repeated id is scored by its own text. An empty table gives no rows; with no target document all words are new to the
     target model alike.
@@ -267,8 +267,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     hot = spark.sparkContext.broadcast((often.column(0).to_numpy(), [often.column(k).to_numpy() for k in (1, 2)]))
     seldom = pairs.filter(F.col("target") + F.col("background") < least)
     met = _text_rows(rows, shared, hot).join(seldom, "key", "left").select(*[x.split()[0] for x in _ROWS.split(", ")], *(F.coalesce(c, F.lit(0)).alias(c) for c in ("target", "background")))
-    sums = _corrected(met, shared).groupBy("doc_id", "th").agg(*(F.sum(c).alias(c) for c in ("texts", "n_words", "losses_t", "losses_b")))
-    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
-    # Equal rows were summed together; each has the same result.
-    each = sums.select("doc_id", (F.col("n_words") / F.col("texts")).cast("long").alias("n_words"), mean("losses_t").alias("target_loss"), mean("losses_b").alias("background_loss"), F.explode(F.expr("sequence(1, texts)")).alias("one"))
+    sums = _corrected(met, shared).groupBy("doc_id", "th", F.col("own").alias("n_words")).agg(*(F.sum(c).alias(c) for c in ("texts", "losses_t", "losses_b")))
+    # Rows of one id and text were summed together; each has the same result.
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / (F.col("n_words") * F.col("texts")))
+    each = sums.select("doc_id", "n_words", mean("losses_t").alias("target_loss"), mean("losses_b").alias("background_loss"), F.explode(F.expr("sequence(1, texts)")).alias("one"))
     return each.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
