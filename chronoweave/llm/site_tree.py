@@ -40,6 +40,10 @@ ASIDE_WORDS = re.compile(
     r"^(ad|ads|advert|adverts|advertisement|advertising|adbox|adslot|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|widget|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|comment|comments|disqus|reply|replies|respond|form|search|login|signup|subscribe|newsletter|share|sharing|social|related|recommended|pagination|pager|skip|copyright|legal|toolbar|hidden)$"
 )
 MAIN_ROLES = frozenset(["main", "article"])
+#: Words that inside an article name a topic or a part of its own as often as something beside it.
+TOPICS = frozenset("form header legal login search side signup skip social".split())
+#: Elements that may enclose a whole page, as roles and hidden elements may; they go by what they hold.
+WRAPS = frozenset(["form"])
 
 #: Elements nested deeper are not nested further, as in browsers.
 DEEPEST = 512
@@ -53,7 +57,7 @@ _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: its style path, whether it or a parent is beside the article or the article, and its text."""
 
-    __slots__ = ("aside", "beside", "chars", "held", "low", "main", "name", "parent", "path", "same", "styles", "tag", "top", "words")
+    __slots__ = ("aside", "beside", "chars", "hard", "low", "main", "name", "parent", "path", "same", "styles", "tag", "top", "words", "wraps")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         found: dict[str, str] = {}
@@ -68,20 +72,18 @@ class Node:
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0}/{self.name}".encode("utf-8", "surrogatepass"))
         role = found.get("role", "").lower()
         self.main = (parent is not None and parent.main) or tag in ("article", "main") or role in MAIN_ROLES
-        beside = tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        beside |= tag == "header" and not self.main
+        # Marked by element, role or attribute, or by a word only; ``_judge`` decides when the page is read.
+        self.wraps = tag in WRAPS or role in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        self.hard = self.wraps or tag in ASIDE_TAGS or (tag == "header" and not self.main)
         self.top = self.main and not (parent is not None and parent.main)
-        self.aside = beside or (parent is not None and parent.aside)
-        # Marked by a word only; ``blocks`` decides when it has read the page.
-        self.beside = False
-        if not self.aside and ("class" in found or "id" in found) and tag not in ("html", "body", "article", "main"):
+        self.aside = self.beside = False
+        if not self.hard and ("class" in found or "id" in found) and tag not in ("html", "body", "article", "main"):
             named = f"{found.get('class', '')} {found.get('id', '')}"
             if self.main:  # a whole name inside the article, where a header is the article's own
-                self.beside = any(ASIDE_WORDS.match(w) and w != "header" for w in named.lower().split())
+                self.beside = any(ASIDE_WORDS.match(w) and w not in TOPICS for w in named.lower().split())
             else:
                 self.beside = any(ASIDE_WORDS.match(w.lower()) for w in _PARTS.split(named) if w)
-        self.chars = 0  # of the branch's text, without what HTML itself marks as beside the article
-        self.held = False  # whether it holds a part of the page that no word may take
+        self.chars = 0  # of the branch's text
         self.low = self.same = False  # whether it or a parent is of low importance, in its texts too
         self.styles: list[str] = []  # children, in order
         self.words: xxhash.xxh3_64 | None = None  # over the branch's texts, in order; None without any
@@ -152,6 +154,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
     root = Node("#", "", None)
     stack, nodes, out, held, owner = [root], [root], [], [], root
     opened: dict[str, int] = {}  # how many of each element are open
+    own: dict[Node, int] = {}  # characters of an element's own texts
 
     def flush() -> None:
         nonlocal held
@@ -160,7 +163,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
             if text:
                 out.append((text, owner))
                 owner.read(text.encode("utf-8", "surrogatepass"))
-                owner.chars += 0 if owner.aside else len(text)
+                owner.chars += len(text)
+                own[owner] = own.get(owner, 0) + len(text)
             held = []
 
     def close(k: int) -> None:
@@ -213,30 +217,64 @@ def blocks(page: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
         held.append(page[at:])
     flush()
     close(1)
-    if any(n.beside for n in nodes):
-        _judge_words(root, nodes, out)
+    if any(n.hard or n.beside for n in nodes):
+        _judge(root, nodes, own)
     return out, nodes
 
 
-def _judge_words(root: Node, nodes: list[Node], found: list[tuple[str, Node]]) -> None:
-    """Marks what goes by a word in its class or id.
-
-    No word takes a branch that holds over half of the page's text, a main element, or an article at
-    least half as long as the page's longest (comments and teasers are often short articles of their own). If words
-    took all text, none counts.
-    """
-    longest = max((n.chars for n in nodes if n.top and not n.aside), default=0)
+def _around(nodes: list[Node]) -> set[Node]:
+    """All elements that these stand in."""
+    out: set[Node] = set()
     for n in nodes:
-        if n.top and not n.aside and n.chars and (n.tag != "article" or 2 * n.chars >= longest):
-            b: Node | None = n
-            while b is not None and not b.held:
-                b.held, b = True, b.parent
-    hard = [n.aside for n in nodes]
+        b = n.parent
+        while b is not None and b not in out:
+            out.add(b)
+            b = b.parent
+    return out
+
+
+def _articles(nodes: list[Node]) -> list[Node]:
+    """Main elements, and articles at least half as long as the page's longest (comments and teasers are often short ones)."""
+    tops = [n for n in nodes if n.top and not n.aside and n.chars]
+    longest = max((n.chars for n in tops), default=0)
+    return [n for n in tops if n.tag != "article" or 2 * n.chars >= longest]
+
+
+def _take(nodes: list[Node], taken: set[Node], own: dict[Node, int]) -> None:
+    """Sets ``aside`` for these elements and all in them, and counts the characters that are left."""
     for n in nodes:  # parents stand before children
-        n.aside = n.aside or (n.parent is not None and n.parent.aside) or (n.beside and not n.held and 2 * n.chars <= root.chars)
-    if root.chars and all(n.aside for _, n in found):
-        for n, aside in zip(nodes, hard, strict=True):
-            n.aside = aside
+        n.aside = n.aside or n in taken or (n.parent is not None and n.parent.aside)
+        n.chars = 0 if n.aside else own.get(n, 0)
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.chars += n.chars
+
+
+def _judge(root: Node, nodes: list[Node], own: dict[Node, int]) -> None:
+    """Marks what is beside the article.
+
+    First the elements that HTML has for it, but for one around a main element or article with over half of the page's
+    text. Then forms, roles and hidden elements, but for those around an article (see ``_articles``), and those with over half of
+    the text in the article, or of a page without one. Then what words in classes and ids name, but for
+    branches with over half of the text, articles and what is around them. If words took all text, none counts.
+    """
+    if any(n.hard and not n.wraps for n in nodes):
+        around = _around([n for n in nodes if n.top and 2 * n.chars > root.chars])
+        _take(nodes, {n for n in nodes if n.hard and not n.wraps and n not in around}, own)
+    if any(n.wraps and not n.aside for n in nodes):
+        around = _around(_articles(nodes))
+        none = not any(n.top and n.chars for n in nodes)
+        _take(nodes, {n for n in nodes if n.wraps and n not in around and not (2 * n.chars > root.chars and (none or (n.main and not n.top)))}, own)
+    if any(n.beside and not n.aside for n in nodes):
+        kept = _articles(nodes)
+        kept = _around(kept) | set(kept)
+        taken = {n for n in nodes if n.beside and not n.aside and n not in kept and 2 * n.chars <= root.chars}
+        before, total = [n.aside for n in nodes], root.chars
+        _take(nodes, taken, own)
+        if total and not root.chars:
+            for n, aside in zip(nodes, before, strict=True):
+                n.aside = aside
+            _take(nodes, set(), own)
 
 
 def signed(h: int) -> int:
@@ -250,10 +288,11 @@ def key(text: str) -> int:
 def main_text(page: str | None, low: frozenset[int] = frozenset(), same: frozenset[int] = frozenset()) -> str:
     """Blocks of the article joined by an empty line.
 
-    Branches that stand beside an article by element or role, or by a word in class or id (see ``_judge_words``), go,
-    whatever their importance. With an article or main element its blocks are the text, without the block elements
-    inside it that are of low importance and whose own text is, too (``same``, hashed paths), unless these are over half
-    of it. Else the text is all that is left without branches of low importance (``low``).
+    Branches that stand beside an article by element or role, or by a word in class or id (see ``_judge``), go,
+    whatever their importance, and so do branches of low importance outside articles (``low``, hashed paths). Main elements, and
+    articles that hold at least half of what is left, are then the text, without the block elements
+    inside that are of low importance and whose own text is, too (``same``), unless these are over half
+    of it. Else (no article, or teasers beside a longer text) all that is left is.
     """
     found, nodes = blocks(page)
     if same or low:
@@ -261,14 +300,16 @@ def main_text(page: str | None, low: frozenset[int] = frozenset(), same: frozens
             n.same = (n.parent is not None and n.parent.same) or (n.main and not n.top and n.tag in BLOCK and signed(n.path) in same)
             n.low = (n.parent is not None and n.parent.low) or signed(n.path) in low
     left = [(t, n) for t, n in found if not n.aside]
-    if any(n.main for _, n in left):
-        left = [(t, n) for t, n in left if n.main]
+    outer = [(t, n) for t, n in left if n.main or not n.low] if low else left
+    inner = [(t, n) for t, n in left if n.main]
+    if inner and (2 * sum(len(t) for t, _ in inner) >= sum(len(t) for t, _ in outer) or any(n.top and n.tag != "article" and n.chars and not n.aside for n in nodes)):
+        left = inner
         if same:
             own = [(t, n) for t, n in left if not n.same]
             if 2 * sum(len(t) for t, _ in own) >= sum(len(t) for t, _ in left):
                 left = own
-    elif low:
-        left = [(t, n) for t, n in left if not n.low]
+    else:
+        left = outer
     return "\n\n".join(t for t, _ in left)
 
 

@@ -348,6 +348,40 @@ def test_line_dedup_of_lines_with_other_first_holders(spark, monkeypatch, small)
     assert got == {k: t if k <= 10 else f"own {k}" for k, t in texts.items()}
 
 
+@pytest.mark.parametrize("lines", [[1], [1, 2], [1, 2, 3, 1]])
+def test_repeated_lines_take_linear_time(lines):
+    rng = random.Random(3)
+    b = lines * (40_000 // len(lines))
+    began = time.perf_counter()
+    found = line_dedup.common_blocks([9, *lines[:1]], b, [200] * len(b), 120)
+    assert [p for s, e in found for p in range(s, e)] == [p for p, x in enumerate(b) if x == lines[0]]
+    mixed = [rng.choice(lines) for _ in range(40_000)]
+    assert line_dedup.common_blocks(mixed[::-1], mixed, [200] * len(mixed), 120) == [(0, len(mixed))]
+    assert time.perf_counter() - began < 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 4), max_size=25), st.integers(1, 12))
+def test_common_blocks_are_all_common_stretches(a, b, least):
+    sizes = [x + 1 for x in b]
+    want = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            want |= set(range(j, j + n)) if sum(sizes[j : j + n]) >= least else set()
+    assert {p for s, e in line_dedup.common_blocks(a, b, sizes, least) for p in range(s, e)} == want
+
+
+def test_line_dedup_keeps_columns_named_as_its_own(spark):
+    text = "\n".join("line %d of a passage that several documents share in full" % k for k in range(4))
+    df = spark.createDataFrame([(k, text, f"x{k}", "y", "z", 7) for k in range(3)], "doc_id long, text string, __doc string, __th string, gone string, TH int")
+    got = sorted(line_dedup.drop_repeated_blocks(df).collect(), key=lambda r: r["doc_id"])
+    assert [(r["__doc"], r["__th"], r["gone"], r["TH"]) for r in got] == [(f"x{k}", "y", "z", 7) for k in range(3)]
+    assert [r["text"] for r in got] == [text, "", ""]
+
+
 def test_line_dedup_hostile(spark, hostile, none):
     got = line_dedup.drop_repeated_blocks(hostile.withColumn("gone", F.lit(1)))
     assert got.columns[-3:] == ["gone", "n_lines", "n_removed"] and got.count() == len(HOSTILE)
@@ -477,6 +511,30 @@ def test_words_in_classes_take_no_article():
     assert text("<div class='promo'>one</div><div class='share'>two</div>") == "one\n\ntwo"
 
 
+def test_no_enclosing_element_takes_the_article():
+    text = site_tree.main_text
+    for around in ("form id='aspnetForm'", "div aria-hidden='true'", "div hidden", "div style='display: none'", "div role='form'", "div role='dialog'"):
+        end = around.split()[0]
+        assert text(f"<{around}><nav>{'Menu ' * 40}</nav><article><p>Body of the text</p></article><footer>f</footer></{end}>") == "Body of the text", around
+        assert text(f"<{around}><nav>{'Menu ' * 40}</nav><div><p>Body of the text</p></div><footer>f</footer></{end}>") == "Body of the text", around
+        assert text(f"<article><p>Body</p></article><{around}><p>A text that is longer than the article</p></{end}>") == "Body", around
+    assert text("<aside><article><p>The body of the only article here</p></article></aside><p>x</p>") == "The body of the only article here"
+    assert text("<form>Name <input></form>") == "Name" and text("<article hidden>x</article><article>Body</article>") == "Body"
+
+
+def test_topics_in_articles_stay_and_teasers_are_no_article():
+    text = site_tree.main_text
+    assert text("<article><p>Body</p><p class='legal'>Law</p><section id='social'>Life</section><section id='search'>Quest</section><div class='ad'>x</div></article>") == "Body\n\nLaw\n\nLife\n\nQuest"
+    assert text(f"<div class='content'><p>{'Long text of the page ' * 5}</p><article class='teaser'>Read on</article></div>") == ("Long text of the page " * 5).strip() + "\n\nRead on"
+    assert text(f"<p>{'Words beside the main element ' * 5}</p><main><p>Body</p></main>") == "Body"
+
+
+def test_importance_decides_beside_short_articles(spark):
+    rows = [(i, "http://h.example/x", f"<div class='top'>{'The same words on each page ' * 5}</div><article><p>Own words {i}</p></article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own words {i}" for i in range(20)}
+
+
 def test_low_importance_branches_go_where_no_article_is(spark):
     rows = [(i, "http://h.example/x", f"<div class='top'>Same words</div><div class='c'><p>Own words {i}</p></div>") for i in range(20)]
     rows += [(90, "http://one.example/", "<div class='top'>Same words</div>"), (91, None, None), (92, "no url", ""), (93, "http://h.example/", "<<<>>&#xzz;<b")]
@@ -562,6 +620,14 @@ def test_losses_tell_repeated_texts_apart_among_many_words(spark):
     assert min(got[i] for i in [*range(20), *range(400, 420)]) > max(got[i] for i in range(200, 400))
 
 
+def test_texts_without_id_are_told_apart(spark):
+    texts = ["alpha beta w370398", "alpha beta w376180", "alpha beta", "alpha alpha beta"]  # the first two have one 32-bit hash
+    want = {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in lm_score.cross_entropy_difference(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(9,)], "doc_id long")).collect()}
+    got = lm_score.cross_entropy_difference(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), spark.createDataFrame([(9,)], "doc_id long")).collect()
+    rounded = lambda rows: sorted((round(t, 9), round(b, 9)) for t, b in rows)
+    assert rounded((r["target_loss"], r["background_loss"]) for r in got) == rounded(want.values()) and sorted(r["n_words"] for r in got) == [2, 3, 3, 3]
+
+
 def test_lm_hostile(spark, hostile, none):
     clash = hostile.withColumn("th", F.lit(1)).withColumn("is_target", F.lit("x"))
     got = lm_score.cross_entropy_difference(clash, none.select("doc_id")).collect()
