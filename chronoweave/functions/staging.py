@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,39 @@ def numbered(rows: DataFrame, name: str = "row_no") -> DataFrame:
     return at.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place")).select(*rows.columns, name)
 
 
+def ranked(rows: DataFrame, order: Sequence[str], group: Sequence[str] = (), rank: str = "rank", total: str | None = None, previous: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with their ``rank`` from 1 by ``order`` within ``group``, the group's size as ``total``, and the ``previous`` row's columns under new names.
+
+    Rows are written in ranges of (group, order), so a group with most rows lies in many of them. A rank is the place in the
+    range and the rows of the ranges before, less those of the groups before; only one row a range is ordered in one task. Equals of the whole
+    order follow each other in any order.
+    """
+    keys = [*group, *order]
+    laid = staged(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    laid = laid.withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND((1 << 33) - 1)}).drop("__at")
+    carried = F.struct(*[F.col(c).alias(f"g{k}") for k, c in enumerate(group)], *[F.col(c).alias(f"v{k}") for k, c in enumerate(previous or {})], F.lit(1).alias("one"))
+    parts = laid.groupBy("__part").agg((F.max("__place") + 1).alias("n"), F.max_by(carried, "__place").alias("last"))  # one row for each range
+    by_part = Window.orderBy("__part")
+    parts = parts.select("__part", (F.sum("n").over(by_part) - F.col("n")).alias("__before"), F.lag("last").over(by_part).alias("__carried"))
+    if previous:
+        laid = laid.withColumn("__own", F.lag(carried).over(Window.partitionBy("__part").orderBy("__place")))
+    out = laid.join(F.broadcast(parts), "__part").withColumn("__n", F.col("__before") + F.col("__place") + 1)
+    if previous:
+        prior = F.coalesce("__own", "__carried")
+        same = F.lit(True)
+        for k, c in enumerate(group):
+            same &= prior[f"g{k}"].eqNullSafe(F.col(c))
+        out = out.withColumns({name: F.when(same, prior[f"v{k}"]) for k, name in enumerate(previous.values())})
+    if not group:
+        size = [] if total is None else [F.lit(laid.count()).alias(total)]
+        return out.select(*rows.columns, *(previous or {}).values(), F.col("__n").alias(rank), *size)
+    firsts = laid.join(F.broadcast(parts), "__part").groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(group)]).agg(F.min(F.col("__before") + F.col("__place")).alias("__first"), F.count("*").alias("__total"))
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    return out.join(small(firsts), same).select(*rows.columns, *(previous or {}).values(), (F.col("__n") - F.col("__first")).alias(rank), *([] if total is None else [F.col("__total").alias(total)]))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if a count proves it small, unchanged otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

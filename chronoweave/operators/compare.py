@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import seconds
+from ..functions.staging import ranked, small
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -73,37 +74,33 @@ def chronological(edges: DataFrame, at: str = "event_time") -> DataFrame:
 
 def largest_gap_split(edges: DataFrame, group: str = "case_id", at: str = "ts", key: str = "edge_id") -> DataFrame:
     """``group, percent``: where the longest pause between consecutive edges lies (earliest of equals), within 10 and 90."""
-    order = Window.partitionBy(group).orderBy(at, key)
-    total = F.count("*").over(Window.partitionBy(group))
-    rows = edges.select(group, F.row_number().over(order).alias("i"), (F.lead(seconds(at)).over(order) - seconds(at)).alias("gap"), total.alias("n"))
-    best = rows.groupBy(group).agg(F.max("n").alias("n"), F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", (-F.col("i")).alias("i")))).alias("b"))
+    rows = ranked(edges.select(group, at, key), [at, key], [group], rank="i", total="n", previous={at: "prior"})
+    gap = F.when(F.col("i") > 1, seconds(at) - seconds("prior"))
+    best = rows.groupBy(group).agg(F.max("n").alias("n"), F.max(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), (1 - F.col("i")).alias("i")))).alias("b"))
     at_percent = F.round(100 * (-F.col("b.i")) / F.col("n")).cast("int")
     return best.select(group, F.when(F.col("n") < 2, 50).otherwise(F.least(F.lit(90), F.greatest(F.lit(10), at_percent))).alias("percent"))
 
 
 def two_way(edges: DataFrame, percent: int | Column, group: str = "case_id", at: str = "ts", key: str = "edge_id") -> DataFrame:
     """Edges with ``side`` before/after at a percentage of their count, at least one on either side where there are two."""
-    order = Window.partitionBy(group).orderBy(at, key)
-    n = F.count("*").over(Window.partitionBy(group))
+    rows = ranked(edges, [at, key], [group], rank="__i", total="__n")
     p = percent if isinstance(percent, Column) else F.lit(percent)
-    bound = F.greatest(F.lit(1), F.least(n - 1, F.floor(n * p / 100 + 0.5)))
-    return edges.withColumn("side", F.when(F.row_number().over(order) <= bound, "before").otherwise("after"))
+    bound = F.greatest(F.lit(1), F.least(F.col("__n") - 1, F.floor(F.col("__n") * p / 100 + 0.5)))
+    return rows.withColumn("side", F.when(F.col("__i") <= bound, "before").otherwise("after")).drop("__i", "__n")
 
 
 def equal_slices(edges: DataFrame, slices: int, group: str = "case_id", at: str = "ts", key: str = "edge_id") -> DataFrame:
     """Edges with ``slice`` from 0: chunks of ceil(n / slices), trailing empty ones missing."""
-    order = Window.partitionBy(group).orderBy(at, key)
-    chunk = F.ceil(F.count("*").over(Window.partitionBy(group)) / slices)
-    return edges.withColumn("slice", F.floor((F.row_number().over(order) - 1) / chunk))
+    rows = ranked(edges, [at, key], [group], rank="__i", total="__n")
+    return rows.withColumn("slice", F.floor((F.col("__i") - 1) / F.ceil(F.col("__n") / slices))).drop("__i", "__n")
 
 
 def by_median_event(edges: DataFrame, group: str = "case_id", at: str = "ts") -> DataFrame:
     """Edges with ``period``: up to the middle event's time is before, later is after."""
-    order = Window.partitionBy(group).orderBy(at)
-    n = F.count("*").over(Window.partitionBy(group))
-    ranked = edges.withColumns({"__i": F.row_number().over(order) - 1, "__n": n})
-    middle = F.max(F.when(F.col("__i") == F.floor(F.col("__n") / 2), F.col(at))).over(Window.partitionBy(group))
-    return ranked.withColumn("period", F.when(F.col(at) <= middle, "before").otherwise("after")).drop("__i", "__n")
+    rows = ranked(edges, [at], [group], rank="__i", total="__n")
+    middle = rows.filter(F.col("__i") - 1 == F.floor(F.col("__n") / 2)).select(F.col(group).alias("__g"), F.col(at).alias("__middle"))  # one row a group
+    joined = rows.join(small(middle), F.col(group).eqNullSafe(F.col("__g")), "left")
+    return joined.withColumn("period", F.when(F.col(at) <= F.col("__middle"), "before").otherwise("after")).drop("__i", "__n", "__g", "__middle")
 
 
 def visible_edges(edges: DataFrame, relations: list[str], infrastructure: bool) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reasons, text_of
-from ..functions.staging import staged
+from ..functions.staging import ranked, staged
 
 
 @dataclass(frozen=True)
@@ -118,96 +117,94 @@ def link_events(obs: DataFrame, links: DataFrame) -> DataFrame:
     return one.unionByName(many("parent", "child", "__c", "SPLIT")).unionByName(many("child", "parent", "__p", "MERGE")).unionByName(death).unionByName(birth)
 
 
-def resurgences(memberships: DataFrame, obs: DataFrame, links: DataFrame, config: MatchConfig = MatchConfig(), case: str | None = None) -> DataFrame:
-    """Chosen matches of dormant communities with unparented later ones: ``parent, child, gap, score, reasons``.
-
-    Candidates come from members shared at an index distance of 2 to ``longest_gap + 1`` and are few
-    after the thresholds; only their greedy choice is sequential. It runs by component of
-    candidates (which cannot compete with others), so no group holds more than one contest.
-    """
+def dormant_and_new(obs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parent``: communities without an accepted child; ``child``: those without an accepted parent."""
     ok = links.filter("accepted")
     dead = obs.join(ok.select(F.col("parent").alias("obs")).distinct(), "obs", "left_anti").select(F.col("obs").alias("parent"))
     new = obs.join(ok.select(F.col("child").alias("obs")).distinct(), "obs", "left_anti").select(F.col("obs").alias("child"))
-    options = scored(pair_counts(memberships, obs, (2, config.longest_gap + 1)), config, resurgence=True).filter("accepted").join(dead, "parent").join(new, "child")
-    options = staged(options.select("parent", "child", "child_index", "gap", "jaccard", "overlap", "score", text_of("reasons").alias("reasons")))
-    from .graph import connected_components
+    return dead, new
 
-    ids = options.select(F.col("parent").alias("subject"), F.col("child").alias("object"))
-    nodes = ids.select(F.col("subject").alias("node_id")).union(ids.select("object")).distinct()
-    contest = connected_components(nodes, ids).select(F.col("node_id").alias("parent"), "component")
-    margin = config.margin
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        # Snapshots in order; in each the best score first; either side is used once.
-        rows = rows.sort_values(["child_index", "score", "jaccard", "overlap", "parent", "child"], ascending=[True, False, False, False, True, True], kind="stable")
-        used_parents: set[str] = set()
-        chosen = []
-        for _, now in rows.groupby("child_index", sort=True):
-            now, taken = now[~now["parent"].isin(used_parents)], set()
-            for r in now.itertuples():
-                if r.parent in used_parents or r.child in taken:
-                    continue
-                others = now[(now["child"] == r.child) & (now["parent"] != r.parent) & ~now["parent"].isin(used_parents)]
-                tied = len(others) > 0 and r.score - others["score"].iloc[0] < margin
-                used_parents.add(r.parent)
-                taken.add(r.child)
-                chosen.append((r.parent, r.child, r.gap, r.score, ",".join([x for x in (r.reasons, "competing_match" if tied else "") if x])))
-        return pd.DataFrame(chosen, columns=["parent", "child", "gap", "score", "reasons"])
-
-    return options.join(contest, "parent").groupBy("component").applyInPandas(choose, "parent string, child string, gap int, score double, reasons string")
+
+def across_gaps(memberships: DataFrame, obs: DataFrame, links: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Scored pairs of a dormant community and an unparented one at an index distance of 2 to ``longest_gap + 1`` that share a member."""
+    dead, new = dormant_and_new(obs, links)
+    return scored(pair_counts(memberships, obs, (2, config.longest_gap + 1)), config, resurgence=True).join(dead, "parent").join(new, "child")
+
+
+def resurgences(memberships: DataFrame, obs: DataFrame, links: DataFrame, config: MatchConfig = MatchConfig(), options: DataFrame | None = None) -> DataFrame:
+    """Chosen matches of dormant communities with unparented later ones: ``parent, child, child_index, gap, score, reasons``.
+
+    The rule takes options in order of snapshot, score, Jaccard, overlap, parent and child, each unless one of its sides is taken.
+    As the order is total, an option that comes first of both its sides' options is taken whatever the others do; a round
+    takes all such options and drops those that share a side with them, by minima and joins alone, until none is left.
+    """
+    options = staged((across_gaps(memberships, obs, links, config) if options is None else options).filter("accepted").select("parent", "child", "child_index", "gap", "jaccard", "overlap", "score", text_of("reasons").alias("reasons")))
+    place = F.struct("child_index", (-F.col("score")).alias("s"), (-F.col("jaccard")).alias("j"), (-F.col("overlap")).alias("o"), "parent", "child")
+    left = options.withColumn("place", place)
+    chosen = options.limit(0)
+    while not left.isEmpty():
+        firsts = [left.groupBy(side).agg(F.min("place").alias(f"first_{side}")) for side in ("parent", "child")]
+        now = staged(left.join(firsts[0], "parent").join(firsts[1], "child").filter("place = first_parent and place = first_child").select(options.columns))
+        chosen = chosen.unionByName(now)
+        left = staged(left.join(now.select("parent"), "parent", "left_anti").join(now.select("child"), "child", "left_anti"))
+    # A match is contested by the best other option of its child whose parent no earlier match has taken.
+    taken = staged(chosen.withColumn("place", place))
+    used = taken.select(F.col("parent").alias("other"), F.col("place").alias("used_at"))
+    rivals = taken.select("child", "parent", "place").join(options.select("child", F.col("parent").alias("other"), F.col("score").alias("rival")), "child").filter("other <> parent")
+    rivals = rivals.join(used, "other", "left").filter("used_at is null or used_at > place").groupBy("child").agg(F.max("rival").alias("rival"))
+    tied = F.coalesce(F.col("score") - F.col("rival") < config.margin, F.lit(False))
+    why = F.concat_ws(",", F.nullif("reasons", F.lit("")), F.when(tied, "competing_match"))
+    return taken.join(rivals, "child", "left").select("parent", "child", "child_index", "gap", "score", why.alias("reasons"))
 
 
 def candidates(memberships: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """All scored candidates ``parent, child, gap, jaccard, overlap, score, accepted``: adjacent ones, then those across a gap.
 
-    A candidate across a gap is accepted only if it was chosen as a resurgence, whatever its score.
+    A community is dormant from its death to the snapshot that reclaims it, that one included; candidates across a gap are its pairs with
+    unparented communities of that time, accepted only if chosen as a resurgence, whatever their score.
     """
     obs = staged(observations(memberships, config))
     links = staged(adjacent_links(memberships, obs, config))
-    ok = links.filter("accepted")
-    dead = obs.join(ok.select(F.col("parent").alias("obs")).distinct(), "obs", "left_anti").select(F.col("obs").alias("parent"))
-    new = obs.join(ok.select(F.col("child").alias("obs")).distinct(), "obs", "left_anti").select(F.col("obs").alias("child"))
-    apart = scored(pair_counts(memberships, obs, (2, config.longest_gap + 1)), config, resurgence=True).join(dead, "parent").join(new, "child")
-    chosen = resurgences(memberships, obs, links, config).select("parent", "child", F.lit(True).alias("chosen"))
-    apart = apart.join(chosen, ["parent", "child"], "left").withColumn("accepted", F.coalesce("chosen", F.lit(False)))
+    apart = staged(across_gaps(memberships, obs, links, config))
+    closed = resurgences(memberships, obs, links, config, apart).select("parent", F.col("child").alias("back"), F.col("child_index").alias("until"))
+    apart = apart.join(closed, "parent", "left").filter("until is null or child_index <= until").withColumn("accepted", F.coalesce(F.col("child") == F.col("back"), F.lit(False)))
     kept = ["parent", "child", "gap", "jaccard", "overlap", "score", "accepted"]
     return links.select(kept).unionByName(apart.select(kept))
 
 
 def events(memberships: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """All lineage events in order, with resurgence in place of the births it explains."""
+    """All lineage events with their ``position`` in order, with resurgence in place of the births it explains."""
     obs = staged(observations(memberships, config))
     links = staged(adjacent_links(memberships, obs, config))
     found = link_events(obs, links)
     back = staged(resurgences(memberships, obs, links, config))
-    at = back.join(obs.select(F.col("obs").alias("child"), "snapshot_index"), "child")
-    again = at.select(F.lit("RESURGENCE").alias("event"), "snapshot_index", F.col("parent").alias("parents"), F.col("child").alias("children"), "score", F.lit(True).alias("low_confidence"), "reasons")
+    again = back.select(F.lit("RESURGENCE").alias("event"), F.col("child_index").alias("snapshot_index"), F.col("parent").alias("parents"), F.col("child").alias("children"), "score", F.lit(True).alias("low_confidence"), "reasons")
     born = found.join(back.select(F.lit("BIRTH").alias("event"), F.col("child").alias("children")), ["event", "children"], "left_anti")
     return ordered(born.unionByName(again))
 
 
 def ordered(found: DataFrame) -> DataFrame:
-    """By snapshot, then kind of event, then ids."""
-    place = F.create_map(*[F.lit(x) for k, v in ORDER.items() for x in (k, v)])
-    return found.orderBy("snapshot_index", place[F.col("event")], "parents", "children")
+    """``found`` with ``position`` from 1, by snapshot, then kind of event, then ids; rows come in that order."""
+    kind = F.create_map(*[F.lit(x) for k, v in ORDER.items() for x in (k, v)])[F.col("event")]
+    return ranked(found.withColumn("kind", kind), ["snapshot_index", "kind", "parents", "children"], rank="position").drop("kind").orderBy("position")
 
 
 def identities(memberships: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """``obs, lineage``: a lineage runs along continuations and resurgences, and is numbered by its first community.
 
-    First communities are numbered by snapshot, then those of splits, merges and births, then id.
+    First communities are numbered by snapshot, then those of splits (by the least parent that splits into them), merges and births, then id.
     """
     from .graph import connected_components
 
     obs = staged(observations(memberships, config))
     links = staged(adjacent_links(memberships, obs, config))
     ok = links.filter("accepted").withColumns({"__c": F.count("*").over(Window.partitionBy("parent")), "__p": F.count("*").over(Window.partitionBy("child"))})
-    same = ok.filter("__c = 1 and __p = 1").select("parent", "child").unionByName(resurgences(memberships, obs, links, config).select("parent", "child"))
+    same = staged(ok.filter("__c = 1 and __p = 1").select("parent", "child").unionByName(resurgences(memberships, obs, links, config).select("parent", "child")))
     run = connected_components(obs.select(F.col("obs").alias("node_id")), same.select(F.col("parent").alias("subject"), F.col("child").alias("object")))
-    kind = obs.select("obs", "snapshot_index").join(ok.groupBy(F.col("child").alias("obs")).agg(F.max(F.when(F.col("__c") > 1, 0).when(F.col("__p") > 1, 1)).alias("k")), "obs", "left")
-    first = kind.join(run.select(F.col("node_id").alias("obs"), "component"), "obs").filter("obs = component")
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("snapshot_index", F.coalesce("k", F.lit(2)), "obs"))
-    names = first.select("component", F.format_string("L%04d", number).alias("lineage"))
+    born = ok.groupBy(F.col("child").alias("obs")).agg(F.min(F.when(F.col("__c") > 1, 0).when(F.col("__p") > 1, 1)).alias("k"), F.min(F.when(F.col("__c") > 1, F.col("parent"))).alias("of"))
+    first = obs.select("obs", "snapshot_index").join(same.select(F.col("child").alias("obs")), "obs", "left_anti").join(born, "obs", "left")
+    first = first.select("obs", "snapshot_index", F.coalesce("k", F.lit(2)).alias("k"), F.coalesce("of", F.lit("")).alias("of"))
+    names = ranked(first, ["snapshot_index", "k", "of", "obs"], rank="number").select(F.col("obs").alias("component"), F.format_string("L%04d", F.col("number")).alias("lineage"))
     return run.join(names, "component").select(F.col("node_id").alias("obs"), "lineage")
 
 

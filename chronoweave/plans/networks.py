@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import ranked
 from ..operators import graph as g
 from ..operators import ledger as k
 from ..operators import lineage as ln
@@ -140,22 +141,57 @@ def l6_link_events(spark: SparkSession, sf: str) -> DataFrame:
     return ln.link_events(obs, ln.adjacent_links(m, obs)).select("event", "parents", "children", F.round("score", 6).alias("score"), "low_confidence", "reasons")
 
 
-@query()
+_CHOSEN = (
+    _LINKS
+    + """, apart as (select parent, child, gap, cast(substr(child, 2, 4) as int) as snap, i / cast(a + b - i as double) as jaccard, i / cast(least(a, b) as double) as overlap, unsure from pair
+        where gap > 0 and parent not in (select parent from ok) and child not in (select child from ok)),
+    opt as (select *, (jaccard + overlap) / 2 as score, row_number() over (order by snap, jaccard + overlap desc, jaccard desc, overlap desc, parent, child) as k from apart where jaccard >= 0.7 or overlap >= 0.85),
+    walk as (select 0 as k, cast([] as varchar[]) as used, false as pick
+        union all select o.k, case when list_has_any(used, ['p' || o.parent, 'c' || o.child]) then used else used || ['p' || o.parent, 'c' || o.child] end, not list_has_any(used, ['p' || o.parent, 'c' || o.child]) from walk w join opt o on o.k = w.k + 1),
+    picked as (select o.* from walk join opt o using (k) where pick),
+    chosen as (select p.*, coalesce(p.score - (select max(r.score) from opt r where r.child = p.child and r.parent <> p.parent and not exists (select 1 from picked q where q.parent = r.parent and q.k < p.k)) < 0.08, false) as tied from picked p) """
+)
+
+
+@query(
+    _CHOSEN
+    + """, said as (select *, list_filter([case when greatest(jaccard - 0.3, overlap - 0.6) < 0.08 then 'near_threshold' end, case when unsure then 'uncertain_input' end], lambda x: x is not null) as why from ok),
+    ev as (select 3 as kind, cast(substr(child, 2, 4) as int) as snap, 'CONTINUATION' as event, parent as parents, child as children, score, why from said where c = 1 and p = 1
+    union all select 4, cast(substr(parent, 2, 4) as int) + 1, 'SPLIT', parent, array_to_string(list_sort(list(child)), ','), min(score), list_sort(list_distinct(flatten(list(why)))) from said where c > 1 group by parent
+    union all select 5, cast(substr(child, 2, 4) as int), 'MERGE', array_to_string(list_sort(list(parent)), ','), child, min(score), list_sort(list_distinct(flatten(list(why)))) from said where p > 1 group by child
+    union all select 0, snapshot_index + 1, 'DEATH', obs, '', null, case when uncertain then ['uncertain_input'] else [] end from obs where snapshot_index < (select max(snapshot_index) from obs) and obs not in (select parent from ok)
+    union all select 1, snapshot_index, 'BIRTH', '', obs, null, case when uncertain then ['uncertain_input'] else [] end from obs where obs not in (select child from ok) and obs not in (select child from chosen)
+    union all select 2, snap, 'RESURGENCE', parent, child, score, list_filter([case when unsure then 'uncertain_input' end, case when greatest(jaccard - 0.7, overlap - 0.85) < 0.08 then 'near_threshold' end, 'observation_gap', case when tied then 'competing_match' end], lambda x: x is not null) from chosen)
+    select event, snap as snapshot_index, parents, children, round(score, 6) as score, len(why) > 0 as low_confidence, array_to_string(why, ',') as reasons, row_number() over (order by snap, kind, parents, children) as position from ev""",
+    "memberships",
+)
 def l11_lineage_events(spark: SparkSession, sf: str) -> DataFrame:
-    """L6-L14 with greedy resurgence; tested against a brute-force model."""
-    return ln.events(view(spark, sf, "memberships"))
+    """All events with resurgence, and their order."""
+    rows = ln.events(view(spark, sf, "memberships"))
+    return rows.select("event", "snapshot_index", "parents", "children", F.round("score", 6).alias("score"), "low_confidence", "reasons", "position")
 
 
-@query(_LINKS + "select parent, child, 0 as gap, round((jaccard + overlap) / 2, 6) as score, jaccard >= 0.3 or overlap >= 0.6 as accepted from link union all select p.parent, p.child, p.gap, round((p.i / cast(a + b - p.i as double) + p.i / cast(least(a, b) as double)) / 2, 6), false from pair p where gap > 0 and p.parent not in (select parent from ok) and p.child not in (select child from ok) and not (p.i / cast(a + b - p.i as double) >= 0.7 or p.i / cast(least(a, b) as double) >= 0.85)", "memberships")
+@query(
+    _CHOSEN
+    + """select parent, child, 0 as gap, round(jaccard, 6) as jaccard, round(overlap, 6) as overlap, round((jaccard + overlap) / 2, 6) as score, jaccard >= 0.3 or overlap >= 0.6 as accepted from link
+    union all select a.parent, a.child, a.gap, round(a.jaccard, 6), round(a.overlap, 6), round((a.jaccard + a.overlap) / 2, 6), coalesce(a.child = c.child, false) from apart a left join chosen c using (parent) where c.snap is null or a.snap <= c.snap""",
+    "memberships",
+)
 def l13_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates as finally marked, but those across a gap that reach its thresholds, which compete (see l11)."""
+    """Candidates as finally marked, those across a gap for as long as the earlier community is dormant."""
     rows = ln.candidates(view(spark, sf, "memberships"))
-    c = ln.MatchConfig()
-    rows = rows.filter((F.col("gap") == 0) | ~((F.col("jaccard") >= c.resurgence_jaccard) | (F.col("overlap") >= c.resurgence_overlap)))
-    return rows.select("parent", "child", "gap", F.round("score", 6).alias("score"), "accepted")
+    return rows.select("parent", "child", "gap", *(F.round(c, 6).alias(c) for c in ("jaccard", "overlap", "score")), "accepted")
 
 
-@query()
+@query(
+    _CHOSEN
+    + """, same as (select parent, child from ok where c = 1 and p = 1 union all select parent, child from chosen),
+    born as (select child, min(case when c > 1 then 0 when p > 1 then 1 end) as k, min(case when c > 1 then parent end) as of_parent from ok group by 1),
+    firsts as (select obs, printf('L%04d', row_number() over (order by snapshot_index, coalesce(k, 2), coalesce(of_parent, ''), obs)) as lineage from obs left join born on child = obs where obs not in (select child from same)),
+    runs as (select obs, lineage from firsts union all select s.child, lineage from runs r join same s on s.parent = r.obs)
+    select * from runs""",
+    "memberships",
+)
 def l12_identities(spark: SparkSession, sf: str) -> DataFrame:
     return ln.identities(view(spark, sf, "memberships"))
 
@@ -174,14 +210,19 @@ def l16_restrict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _LINKS
-    + """, ev as (select 'SPLIT' as event, parent as parents, list_sort(list(child)) as kids from ok where c > 1 group by parent)
-    select event, 'parent' as role, parents as obs from ev union all select event, 'child', unnest(kids) from ev""",
+    + """, ev as (select 'CONTINUATION' as event, cast(substr(child, 2, 4) as int) as snapshot_index, [parent] as parents, [child] as children from ok where c = 1 and p = 1
+    union all select 'SPLIT', cast(substr(parent, 2, 4) as int) + 1, [parent], list_sort(list(child)) from ok where c > 1 group by parent
+    union all select 'MERGE', cast(substr(child, 2, 4) as int), list_sort(list(parent)), [child] from ok where p > 1 group by child
+    union all select 'DEATH', snapshot_index + 1, [obs], [] from obs where snapshot_index < (select max(snapshot_index) from obs) and obs not in (select parent from ok)
+    union all select 'BIRTH', snapshot_index, [], [obs] from obs where obs not in (select child from ok))
+    select event, snapshot_index, 'parent' as role, unnest(parents) as obs, cast(generate_subscripts(parents, 1) - 1 as int) as rank from ev union all select event, snapshot_index, 'child', unnest(children), cast(generate_subscripts(children, 1) - 1 as int) from ev""",
     "memberships",
 )
 def l17_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides of every kind of event, with each community's rank in it."""
     m = view(spark, sf, "memberships")
     obs = ln.observations(m)
-    return ln.endpoints(ln.link_events(obs, ln.adjacent_links(m, obs)).filter("event = 'SPLIT'")).select("event", "role", "obs")
+    return ln.endpoints(ln.link_events(obs, ln.adjacent_links(m, obs)))
 
 
 # Ledger.
@@ -231,10 +272,8 @@ def k6_heads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select 'p-' || cast(l_orderkey as varchar) as publication_id, n, row_number() over (partition by l_orderkey order by l_returnflag, n) as ordinal from (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) as n from lineitem) x")
 def k7_output_ordinals(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = view(spark, sf, "lineitem").withColumn("n", F.row_number().over(order)).select(F.expr("'p-' || l_orderkey").alias("publication_id"), F.col("l_returnflag").alias("name"), F.col("n").alias("output_id"), "n")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    rows = ranked(view(spark, sf, "lineitem").select(order), order, rank="n").select(F.expr("'p-' || l_orderkey").alias("publication_id"), F.col("l_returnflag").alias("name"), F.col("n").alias("output_id"), "n")
     return k.output_ordinals(rows).select("publication_id", "n", "ordinal")
 
 

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.functions import staging
 from chronoweave.operators import audit, compare, evaluation, governed, graph, ledger, lineage, priority, release, risk, temporal, textscan
 from chronoweave.sources import ingest, rules
 
@@ -133,6 +134,31 @@ def test_lineage_candidates_across_a_gap_are_accepted_only_if_chosen(spark):
     assert got == {("s0000:c0001", "s0002:c0001"): (1, True), ("s0002:c0001", "s0003:c0001"): (0, True)}
 
 
+def test_reclaimed_communities_are_no_longer_dormant(spark):
+    m = members(spark, [{"a": "xyz"}, {"b": "pq"}, {"c": "xyz"}, {"d": "xyz", "e": "xrstuvw"}])
+    got = {(r["parent"], r["child"], r["gap"], r["accepted"]) for r in lineage.candidates(m).collect()}
+    assert ("s0000:c0001", "s0002:c0001", 1, True) in got and not any(p == "s0000:c0001" and c.startswith("s0003") for p, c, *_ in got)
+
+
+def test_lineages_of_splits_are_numbered_by_parent(spark):
+    m = members(spark, [{"p": "bcyz", "q": "efgh"}, {"a": "yz", "b": "bc", "c": "ef", "d": "gh"}])
+    got = {r["obs"]: r["lineage"] for r in lineage.identities(m).collect()}
+    assert [got[f"s0001:c000{k}"] for k in (1, 2, 3, 4)] == ["L0003", "L0005", "L0006", "L0004"]
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 9), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, k int").repartition(7)
+    got = {r["k"]: (r["r"], r["n"], r["prior"]) for r in staging.ranked(df, ["o", "k"], ["g"], "r", "n", {"k": "prior"}).collect()}
+    for g in ("a", "b", None):
+        mine = [k for _, _, k in sorted((x for x in rows if x[0] == g), key=lambda x: (x[1], x[2]))]
+        assert [got[k] for k in mine] == [(n, len(mine), mine[n - 2] if n > 1 else None) for n in range(1, len(mine) + 1)]
+    everything = staging.ranked(df, ["o", "k"], rank="r", total="n").collect()
+    assert sorted(everything, key=lambda r: r["r"]) == sorted(everything, key=lambda r: (r["o"], r["k"])) and {r["n"] for r in everything} == {500}
+    assert staging.ranked(df.limit(0), ["o"], ["g"]).count() == 0
+
+
 def test_mapping_takes_first_header_in_file_order():
     assert ingest.infer_mapping(["value", "Amount", "tx-id"])["amount"] == "value"
     assert ingest.infer_mapping(["value", "Amount"], {"amount": "Amount"})["amount"] == "Amount"
