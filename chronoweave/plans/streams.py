@@ -34,6 +34,30 @@ def s1_validated_stream(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.substring("id", 3, 20).alias("id"), F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(
+    "select event_id, '' as reasons from events where event_id % 4 <> 0 union all select event_id, case when event_id % 4 <> 0 then 'Duplicate transaction id' else '' end from events"
+)
+def s1_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that come again in later micro-batches are rejected by the stored index of ids."""
+    folder, path = s.output_path(spark, "sent"), s.output_path(spark, "ingest")
+    sent = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("row_no"),
+        F.concat(F.lit("id"), F.col("event_id").cast("string")).alias("id"),
+        F.lit("2024-01-01T00:00:00Z").alias("at"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("origin"),
+        F.lit("shop-1").alias("destination"),
+        F.lit("10").alias("amount"),
+        F.lit("usd").alias("currency"),
+        F.col("event_type").alias("type"),
+    )
+    sent.filter("row_no % 4 <> 0").write.parquet(folder)
+    sent.write.mode("append").parquet(folder)
+    raw = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    s.validated_ingest(raw, {k: k for k in ("id", "at", "origin", "destination", "amount", "currency", "type")}, path)
+    both = spark.read.parquet(f"{path}/accepted").unionByName(spark.read.parquet(f"{path}/rejected"))
+    return both.select(F.substring("id", 3, 20).cast("long").alias("event_id"), F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("select cast(event_id as varchar) as event_id from events")
 def s2_deduplicated_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Each event sent twice leaves one."""
@@ -58,3 +82,17 @@ def s4_windowed_indicators(spark: SparkSession, sf: str) -> DataFrame:
     path = s.output_path(spark, "windows")
     s.run_to_end(s.windowed_indicators(_events(spark, sf), "user_id", "other", "value", "at"), path)
     return spark.read.parquet(path).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "account", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """with recursive ev as (select event_id, user_id, ts, ts + to_hours(cast((event_id % 5 - 1) * 12 as int)) as until from events),
+    walk as (select user_id, min(ts) as ts, arg_min(event_id, row(ts, event_id)) as event_id, arg_min(until, row(ts, event_id)) as until from ev where until > ts group by 1
+        union all select e.user_id, min(e.ts), arg_min(e.event_id, row(e.ts, e.event_id)), arg_min(e.until, row(e.ts, e.event_id)) from walk w join ev e on e.user_id = w.user_id and e.until > e.ts and e.ts >= w.until group by 1)
+    select event_id, event_id in (select event_id from walk) as fresh from events"""
+)
+def s5_consumed_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Which events consume their user, each for an expiry of its own; some have expired when they come."""
+    path = s.output_path(spark, "consumed")
+    sent = _events(spark, sf).withColumn("until", F.expr("at + make_dt_interval(0, cast((event_id % 5 - 1) * 12 as int))"))
+    s.run_to_end(s.consumed_once(sent, "user_id", "at", "until", "event_id"), path, conf=s.ROCKSDB)
+    return spark.read.parquet(path).select(F.col("id").alias("event_id"), "fresh")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,10 @@ from ..operators.temporal import BUCKET_DAYS
 from ..sources.rules import accepted, rejected, validated
 
 LATE = "1 hour"
+#: Fixed value: the reason for a repeated id.
+REPEATED = "Duplicate transaction id"
+#: State beyond an executor's memory.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 16) -> DataFrame:
@@ -22,9 +25,21 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Process all that is there and stop; progress is kept beside the output, so a restart goes on where it stopped."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_to_end(stream: DataFrame, path: str, mode: str = "append", conf: Mapping[str, str] | None = None) -> None:
+    """Process all that is there and stop; progress is kept beside the output, so a restart goes on where it stopped.
+
+    ``conf`` holds for the query's start, which fixes it; the session has its own values back afterwards.
+    """
+    held = stream.sparkSession.conf
+    former = {k: held.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        held.set(k, v)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        for k, v in former.items():
+            held.unset(k) if v is None else held.set(k, v)
+    query.awaitTermination()
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], path: str, mode: str = "append") -> None:
@@ -32,16 +47,25 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], path:
 
 
 def validated_ingest(raw: DataFrame, mapping: Mapping[str, str], path: str) -> None:
-    """Rows of a stream to ``path/accepted`` and ``path/rejected``, by the same rules as the batch import.
+    """Rows of a stream to ``path/accepted`` and ``path/rejected``, by the same rules as the batch import, repeated ids included.
 
-    Each micro-batch is written under its own number, so one that is repeated after a failure replaces itself.
-    Repeated ids are found within a micro-batch; across them use :func:`once`.
+    Each micro-batch is written under its own number, so one that is repeated after a failure replaces itself. Its ids go to
+    ``path/ids`` under that number, in ranges; an id that a batch of a lower number has (accepted there or not) is a repeat. A batch reads of
+    that index only what lies between its own least and greatest id, and only the id.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
         rows = validated(rows, mapping).persist()
-        accepted(rows).write.mode("overwrite").parquet(f"{path}/accepted/batch={batch}")
-        rejected(rows).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch}")
+        ids = rows.select("id").filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+        ids.write.mode("overwrite").parquet(f"{path}/ids/batch={batch}")
+        ends = spark.read.schema("id string").parquet(f"{path}/ids/batch={batch}").agg(F.min("id"), F.max("id")).first()
+        before = spark.read.schema("id string, batch long").parquet(f"{path}/ids").filter((F.col("batch") < batch) & F.col("id").between(*ends))
+        known = before.select("id").distinct().withColumn("__known", F.lit(True))
+        why = F.when(F.col("__known") & ~F.array_contains("reasons", REPEATED), F.array_append("reasons", F.lit(REPEATED))).otherwise(F.col("reasons"))
+        judged = rows.join(known, "id", "left").withColumn("reasons", why).select(rows.columns)
+        accepted(judged).write.mode("overwrite").parquet(f"{path}/accepted/batch={batch}")
+        rejected(judged).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch}")
         rows.unpersist()
 
     run_batches(raw, write, path)
@@ -65,37 +89,37 @@ def windowed_indicators(rows: DataFrame, account: str, other: str, amount: str,
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "account", "n", "total", "others", "round_rows")
 
 
-def consumed_once(rows: DataFrame, key: str, at: str, ttl: timedelta) -> DataFrame:
-    """Each row with ``fresh``: whether its key was not consumed within ``ttl`` before it; state expires with the key.
+def consumed_once(rows: DataFrame, key: str, at: str, expires_at: str, id_col: str, late: str = LATE) -> DataFrame:
+    """``key, id, fresh`` of each row of a stream: whether it consumes its key.
 
-    Rows of a key are judged in time order within a micro-batch. Needs the RocksDB state store.
+    A row whose own expiry is not after its time is refused; so is one whose key a former row holds, which it does until
+    that row's expiry. Rows of a key are judged by time, then id; the micro-batches must come in time order, but for ``late``, beyond which rows are
+    dropped, as are rows without key, time, expiry or id. A key's state is one number, which a timer at its expiry
+    removes, so the state holds the keys in force and no others. To be run with ``run_to_end(..., conf=ROCKSDB)``.
     """
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    seconds = ttl.total_seconds()
-
-    class Once(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "at double", int(seconds * 1000))
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            known = self.last.get()[0] if self.last.exists() else None
-            for part in rows:
-                part = part.sort_values("s", kind="stable")
-                fresh = []
-                for s in part["s"]:
-                    ok = known is None or s - known >= seconds
-                    known = s if ok else known
-                    fresh.append(ok)
-                yield pd.DataFrame({"k": part["k"], "s": part["s"], "fresh": fresh})
-            if known is not None:
-                self.last.update((known,))
-
-        def close(self) -> None:
-            pass
-
-    keyed = rows.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("us")).select("k", (F.col("us") / 1e6).alias("s"))
-    return keyed.groupBy("k").transformWithStateInPandas(Once(), "k string, s double, fresh boolean", "Append", "ProcessingTime")
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get[0] if state.exists else None
+        every = pd.concat(parts).sort_values(["at_us", "id"], kind="stable")
+        fresh = []
+        for now, until in zip(every["at_us"].tolist(), every["until_us"].tolist(), strict=True):
+            ok = until > now and (held is None or held <= now)
+            held = until if ok else held
+            fresh.append(ok)
+        if held is not None:
+            if (ends := -(-held // 1000)) > state.getCurrentWatermarkMs():
+                state.update((held,))
+                state.setTimeoutTimestamp(ends)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame({"key": key[0], "id": every["id"], "fresh": fresh})
+
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    keyed = rows.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(at).cast("timestamp").alias("at"), us(at).alias("at_us"), us(expires_at).alias("until_us")).dropna()
+    return keyed.withWatermark("at", late).groupBy("key").applyInPandasWithState(judge, "key string, id long, fresh boolean", "held long", "append", "EventTimeTimeout")
 
 
 def output_path(spark: SparkSession, name: str) -> str:

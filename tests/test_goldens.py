@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import staging
 from chronoweave.operators import audit, compare, evaluation, governed, graph, ledger, lineage, priority, release, risk, temporal, textscan
 from chronoweave.sources import ingest, rules
+from chronoweave.streaming import streams
 
 REV = "revision_id string, assertion_id string, case_id string, assertion_class string, valid_start string, valid_end string, recorded_start string, recorded_end string, event_at string, supersedes string, handling_label string, restrictions array<string>"
 
@@ -146,6 +147,52 @@ def test_lineages_of_splits_are_numbered_by_parent(spark):
     assert [got[f"s0001:c000{k}"] for k in (1, 2, 3, 4)] == ["L0003", "L0005", "L0006", "L0004"]
 
 
+def test_keys_are_consumed_once_until_they_expire(spark, tmp_path):
+    rng = random.Random(12)
+    rows = sorted((rng.randint(0, 3000), k, rng.choice("abc"), rng.choice([-20, 0, 30, 200, 900])) for k in range(240))
+    want, held = {}, {}
+    for at, k, key, life in rows:
+        want[k] = life > 0 and held.get(key, 0) <= at
+        if want[k]:
+            held[key] = at + life
+    schema = "at_s long, id long, key string, life long"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        sent = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        sent = sent.select("id", "key", F.timestamp_seconds("at_s").alias("at"), F.timestamp_seconds(F.col("at_s") + F.col("life")).alias("until"))
+        streams.run_to_end(streams.consumed_once(sent, "key", "at", "until", "id", "10 seconds"), out, conf=streams.ROCKSDB)
+
+    for k in range(0, 240, 80):  # the query is stopped and started again between the files
+        spark.createDataFrame(rows[k : k + 80], schema).coalesce(1).write.mode("append").parquet(folder)
+        run()
+    run()
+    got = [(r["id"], r["fresh"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(want.items()) and 20 < sum(want.values()) < 220
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
+
+
+def test_ids_repeat_across_batches_and_replays_change_nothing(spark, tmp_path):
+    fields = ("id", "at", "origin", "destination", "amount", "currency", "type")
+    row = lambda n, i, currency="usd": (n, i, "2024-01-01T00:00:00Z", "a-1", "b-1", "10", currency, "wire")
+    batches = [[row(0, "t1"), row(1, "t2"), row(2, "t2")], [row(3, "t2"), row(4, "t3", "xyz"), row(5, "")], [row(6, "t3"), row(7, "t4"), row(8, "")]]
+    schema = "row_no long, " + ", ".join(f"{c} string" for c in fields)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        streams.validated_ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), {c: c for c in fields}, out)
+        both = spark.read.parquet(f"{out}/accepted").unionByName(spark.read.parquet(f"{out}/rejected"))
+        return {r["row_no"]: "Duplicate transaction id" in r["reasons"] for r in both.collect()}
+
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        got = run()
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 8: True}
+    for name in ("2", ".2.crc"):  # the last batch ended but its commit was lost
+        (tmp_path / "out-progress" / "commits" / name).unlink()
+    assert run() == got
+
+
 def test_ranks_within_groups_of_any_size(spark):
     rng = random.Random(8)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 9), k) for k in range(500)]
