@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reasons, text_of
+from ..functions.staging import ranked
 
 GENESIS = "0" * 64
 
@@ -18,13 +19,16 @@ def chain_hash(columns: Sequence[str], previous: str = "previous_hash") -> Colum
 
 
 def chain_faults(events: DataFrame, columns: Sequence[str], chain: str = "chain_name", sequence: str = "sequence") -> DataFrame:
-    """``chain, sequence, faults`` of events whose hash, link or number is wrong."""
-    order = Window.partitionBy(chain).orderBy(sequence)
-    last, number = F.lag("event_hash").over(order), F.lag(sequence).over(order)
-    rows = events.withColumns({"__last": F.coalesce(last, F.lit(GENESIS)), "__number": number})
+    """``chain, sequence, faults`` of events whose hash, link or number is wrong.
+
+    Events lie in ranges of (chain, sequence); hashes and links are verified inside them, and each range's first event against the last of
+    the range before, so a chain of any length is verified in many tasks.
+    """
+    rows = events.withColumn("__ok", F.col("event_hash") == chain_hash(columns)).select(chain, sequence, "event_hash", "previous_hash", "__ok")
+    rows = ranked(rows, [sequence, "event_hash"], [chain], rank="__i", previous={"event_hash": "__last", sequence: "__number"})
     why = reasons(
-        (F.col("event_hash") != chain_hash(columns), "hash_mismatch"),
-        (F.col("previous_hash") != F.col("__last"), "broken_link"),
+        (~F.col("__ok"), "hash_mismatch"),
+        (F.col("previous_hash") != F.coalesce("__last", F.lit(GENESIS)), "broken_link"),
         (F.col("__number").isNotNull() & (F.col(sequence) != F.col("__number") + 1), "sequence_gap"),
     )
     return rows.select(chain, sequence, text_of(why).alias("faults")).filter("faults <> ''")
@@ -46,11 +50,10 @@ def content_free_records(uses: DataFrame, previous: str = "previous_hash") -> Da
 
 
 def receipt_faults(receipts: DataFrame) -> DataFrame:
-    """``stream, sequence, faults``: anchors must advance, and each receipt must name the one before it."""
-    order = Window.partitionBy("stream").orderBy("receipt_no")
-    rows = receipts.withColumns({"__s": F.lag("sequence").over(order), "__h": F.lag("receipt_hash").over(order)})
+    """``stream, receipt_no, sequence, faults``: anchors must advance, and each receipt must name the one before it. Verified in ranges, as chains are."""
+    rows = ranked(receipts.select("stream", "receipt_no", "sequence", "receipt_hash", "previous_receipt"), ["receipt_no"], ["stream"], rank="__i", previous={"sequence": "__s", "receipt_hash": "__h"})
     why = reasons((F.col("sequence") <= F.col("__s"), "sequence_not_advancing"), (F.col("__h").isNotNull() & ~F.col("previous_receipt").eqNullSafe(F.col("__h")), "broken_receipt_link"))
-    return rows.select("stream", "sequence", text_of(why).alias("faults")).filter("faults <> ''")
+    return rows.select("stream", "receipt_no", "sequence", text_of(why).alias("faults")).filter("faults <> ''")
 
 
 def object_faults(objects: DataFrame, manifest: DataFrame) -> DataFrame:

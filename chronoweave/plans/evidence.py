@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import ranked
 from ..operators import audit as u
 from ..operators import evaluation as q
 from ..operators import priority as e
@@ -226,37 +229,41 @@ def q_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Audits.
-AUDITED = ("event_id", "user_id", "event_type", "value")
-
+AUDITED = ("event_id", "user_id", "event_type", "amount")
+_BODY = "concat_ws('|', cast(event_id as varchar(20)), cast(user_id as varchar(20)), event_type, cast(cast(value as decimal(18, 2)) as varchar(20)))"
 
-def _chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a chain in which each record was hashed with the event before it; every 1000th was altered later."""
-    from pyspark.sql import Window
 
-    ev = view(spark, sf, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("chain_name"), F.col("event_id").alias("event_id"), "user_id", "event_type", "value")
-    order = Window.partitionBy("chain_name").orderBy("event_id")
-    ev = ev.withColumn("sequence", F.row_number().over(order)).withColumn("own", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in AUDITED]), 256))
-    ev = ev.withColumn("previous_hash", F.coalesce(F.lag("own").over(order), F.lit(u.GENESIS)))
-    changed = F.when(F.col("event_id") % 1000 == 999, F.lit("altered")).otherwise(F.col("own"))
-    return ev.withColumn("event_hash", changed).withColumn("verified", F.col("own"))
+def _chained(digest: Callable[[str], str]) -> str:
+    """Events as chains of three, each record hashed with the one before it; then some were altered and some lost."""
+    of = "over (partition by chain_name order by sequence)"
+    h = lambda body, prior: digest(f"{body} || '|' || {prior}")
+    genesis = f"'{u.GENESIS}'"
+    prior = f"case sequence when 0 then {genesis} when 1 then {h(f'lag(body, 1) {of}', genesis)} else {h(f'lag(body, 1) {of}', h(f'lag(body, 2) {of}', genesis))} end"
+    bodies = f"select *, cast(value as decimal(18, 2)) as amount, 'chain-' || cast(cast(floor(event_id / 3) as bigint) as varchar(20)) as chain_name, event_id % 3 as sequence, {_BODY} as body from events"
+    linked = f"select *, {prior} as previous_hash from ({bodies}) x"
+    return f"select event_id, user_id, event_type, amount, chain_name, sequence, body, previous_hash, case when event_id % 100 = 99 then 'altered' else {h('body', 'previous_hash')} end as event_hash from ({linked}) y where event_id % 50 <> 7 and event_id % 80 <> 0"
 
 
-@query("select 'user-' || cast(user_id as varchar) as chain_name, count(*) as altered from events where event_id % 1000 = 999 group by 1")
+@query(
+    f"""select chain_name, sequence, array_to_string(list_filter([case when event_hash <> sha256(body || '|' || previous_hash) then 'hash_mismatch' end, case when previous_hash <> coalesce(lag(event_hash) over w, '{u.GENESIS}') then 'broken_link' end,
+    case when sequence <> lag(sequence) over w + 1 then 'sequence_gap' end], lambda x: x is not null), ',') as faults from ({_chained(lambda text: f'sha256({text})')}) z window w as (partition by chain_name order by sequence) qualify faults <> ''"""
+)
 def u1_audit_chain(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chain(spark, sf).drop("own").withColumnRenamed("verified", "own")
-    found = u.chain_faults(rows.withColumn("event_hash", F.when(F.col("event_hash") == "altered", F.lit("altered")).otherwise(u.chain_hash(AUDITED))), AUDITED)
-    return found.filter("faults like '%hash_mismatch%'").groupBy("chain_name").agg(F.count("*").alias("altered"))
+    """All three faults in chains with real links."""
+    chained = _chained(lambda text: f"sha2({text}, 256)").replace("varchar(20)", "string").replace("from events", "from {events}")
+    return u.chain_faults(spark.sql(chained, events=view(spark, sf, "events")), AUDITED)
 
 
-@query("select 'u-' || cast(user_id as varchar) as stream, count(*) as links from (select user_id, row_number() over (partition by user_id order by event_id) as n from events) y where n % 5 = 0 group by 1")
+@query(
+    """select stream, receipt_no, sequence, array_to_string(list_filter([case when sequence <= lag(sequence) over w then 'sequence_not_advancing' end, case when lag(receipt_no) over w is not null and n % 5 = 0 then 'broken_receipt_link' end], lambda x: x is not null), ',') as faults
+    from (select *, case when n % 7 = 0 then n - 2 else n end as sequence from (select 'u-' || cast(user_id as varchar) as stream, event_id as receipt_no, row_number() over (partition by user_id order by event_id) as n from events) x) y window w as (partition by stream order by receipt_no) qualify faults <> ''"""
+)
 def u2_receipt_chain(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("stream").orderBy("receipt_no")
+    """Receipts whose anchors do not advance, or that do not name the one before."""
     r = view(spark, sf, "events").select(F.expr("'u-' || user_id").alias("stream"), F.col("event_id").alias("receipt_no"), F.sha2(F.col("event_id").cast("string"), 256).alias("receipt_hash"))
-    r = r.withColumns({"sequence": F.row_number().over(order), "previous_receipt": F.lag("receipt_hash").over(order)})
-    broken = r.withColumn("previous_receipt", F.when(F.col("sequence") % 5 == 0, "lost").otherwise(F.col("previous_receipt")))
-    return u.receipt_faults(broken).groupBy("stream").agg(F.count("*").alias("links"))
+    r = ranked(r, ["receipt_no"], ["stream"], rank="n", previous={"receipt_hash": "before"})
+    r = r.withColumn("sequence", F.when(F.col("n") % 7 == 0, F.col("n") - 2).otherwise(F.col("n"))).withColumn("previous_receipt", F.when(F.col("n") % 5 == 0, "lost").otherwise(F.col("before")))
+    return u.receipt_faults(r)
 
 
 _USE = "'conv-' || cast(conv_id as varchar) as actor_id, turn, role, sha256(coalesce(text, '')) as prompt_hash, sha256(coalesce(role, '')) as output_hash"

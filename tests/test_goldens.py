@@ -1,5 +1,6 @@
 """Hand-derived cases and small brute-force models of the engine's rules."""
 
+import hashlib
 import random
 import uuid
 
@@ -395,6 +396,19 @@ def test_calibration_leakage_and_empty(spark):
     assert evaluation.leakage(deps, "soon").filter("field = 'prediction_time'").count() == 1
 
 
+def test_one_long_chain_is_verified_in_pieces(spark):
+    last, rows = audit.GENESIS, []
+    for k in range(600):
+        own = hashlib.sha256(f"body {k}|{last}".encode()).hexdigest()
+        rows.append(("one", k, f"body {k}", last, own))
+        last = own
+    schema = "chain_name string, sequence long, body string, previous_hash string, event_hash string"
+    faults = lambda kept: {r["sequence"]: r["faults"] for r in audit.chain_faults(spark.createDataFrame(kept, schema).repartition(5), ["body"]).collect()}
+    assert faults(rows) == {}
+    changed = [(c, k, "other" if k == 300 else b, p, h) for c, k, b, p, h in rows if k != 450]
+    assert faults(changed) == {300: "hash_mismatch", 451: "broken_link,sequence_gap"}
+
+
 def test_audit_chain_faults(spark):
     import hashlib
 
