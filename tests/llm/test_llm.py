@@ -681,7 +681,7 @@ def test_pipeline_stages(spark, hostile, none):
 
 
 def test_registered(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_minhash_reads_no_column_named_as_its_own(spark):
