@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reasons, seconds, text_of
+from ..functions.staging import staged
 
 # Patterns that explain an account's flows, points and cut-offs of the two scores.
 HARD_NEGATIVES = (
@@ -25,31 +26,63 @@ NO_PASS_THROUGH = 999.0
 
 def sides(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
     """Each transaction seen from both of its accounts: ``account, side`` (in/out), ``other`` and the row's columns."""
-    keep = ["id", "at", "amount", "type", "description", "row_no", *grain]
+    keep = ["id", "at", "amount", "type", "description", *[c for c in ["row_no"] if c in transactions.columns], *grain]
     into = transactions.select(F.col("destination").alias("account"), F.lit("in").alias("side"), F.col("origin").alias("other"), *keep)
     return into.unionByName(transactions.select(F.col("origin").alias("account"), F.lit("out").alias("side"), F.col("destination").alias("other"), *keep))
 
 
-def flows(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
-    """Per account (and ``grain``): counterparties, sums, ratio, round and context rows; only amounts above 0 are money.
+def account_facts(transactions: DataFrame, grain: Sequence[str] = (), hours: bool = True, marks: Sequence[Column] = (), columns: Sequence[str] = ()) -> DataFrame:
+    """Per account (and ``grain``): counterparties, sums, round and context rows, ``fastest_hours`` unless ``hours`` is false, and ``marks``.
 
-    One pass over the union of both sides: sums and counts combine before the shuffle.
+    Bit k of ``marks`` is set if the k-th condition holds for a row that touches the account; conditions read the columns of ``sides`` and further
+    ``columns`` of ``transactions``. Both sides are dealt by account once; the window over times and the counts per counterparty keep that order.
     """
-    money, into = F.col("amount") > 0, F.col("side") == "in"
-    round_ = money & (F.col("amount") % 50 == 0)
-    out = sides(transactions, grain).groupBy("account", *grain).agg(
-        F.countDistinct(F.when(money & into, F.col("other"))).alias("origins"),
-        F.countDistinct(F.when(money & ~into, F.col("other"))).alias("destinations"),
-        F.coalesce(F.sum(F.when(money & into, F.col("amount"))), F.lit(0.0)).alias("inbound"),
-        F.coalesce(F.sum(F.when(money & ~into, F.col("amount"))), F.lit(0.0)).alias("outbound"),
+    keys = ["account", *grain]
+    rows = sides(transactions, [*grain, *columns])
+    held = [F.when(m, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, m in enumerate(marks)]
+    rows = rows.select(*keys, "other", "amount", (F.col("side") == "in").alias("into"), *([seconds("at").alias("s")] if hours else []), *([sum(held[1:], held[0]).alias("marks")] if marks else []))
+    rows = rows.repartition(*keys)
+    money, into = F.col("amount") > 0, F.col("into")
+    more, whole = [], []
+    if hours:
+        order = Window.partitionBy(*keys).orderBy("s", "into").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({"last_in": F.max(F.when(money & into, F.col("s"))).over(order), "last_out": F.max(F.when(money & ~into, F.col("s"))).over(order)})
+        more.append(F.min(F.when(money, F.col("s") - F.when(into, F.col("last_out")).otherwise(F.col("last_in")))).alias("gap"))
+        known = F.lit(True)
+        for key in keys:
+            known &= F.col(key).isNotNull()
+        whole.append(F.when(known, F.min("gap") / 3600.0).alias("fastest_hours"))
+    if marks:
+        more.append(F.bit_or("marks").alias("marks"))
+        whole.append(F.bit_or("marks").alias("marks"))
+    pairs = rows.groupBy(*keys, "other").agg(
+        F.sum(F.when(money & into, F.col("amount"))).alias("inbound"),
+        F.sum(F.when(money & ~into, F.col("amount"))).alias("outbound"),
         F.count_if(money).alias("money_rows"),
-        F.count_if(round_).alias("round_rows"),
+        F.count_if(money & (F.col("amount") % 50 == 0)).alias("round_rows"),
         F.count_if(F.col("amount") == 0).alias("context_rows"),
-        F.countDistinct(F.when(money & (F.col("other") != F.col("account")), F.col("other"))).alias("counterparties"),
+        *more,
+    )
+    named, other = F.col("other").isNotNull(), F.col("other") != F.col("account")
+    out = pairs.groupBy(*keys).agg(
+        F.count_if(named & F.col("inbound").isNotNull()).alias("origins"),
+        F.count_if(named & F.col("outbound").isNotNull()).alias("destinations"),
+        F.coalesce(F.sum("inbound"), F.lit(0.0)).alias("inbound"),
+        F.coalesce(F.sum("outbound"), F.lit(0.0)).alias("outbound"),
+        F.sum("money_rows").alias("money_rows"),
+        F.sum("round_rows").alias("round_rows"),
+        F.sum("context_rows").alias("context_rows"),
+        F.count_if(other & (F.col("money_rows") > 0)).alias("counterparties"),
+        *whole,
     )
     return out.withColumn("ratio", F.when(F.col("inbound") > 0, F.col("outbound") / F.col("inbound")).otherwise(0.0))
 
 
+def flows(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
+    """Per account (and ``grain``): counterparties, sums, ratio, round and context rows; only amounts above 0 are money."""
+    return account_facts(transactions, grain, hours=False)
+
+
 def fastest_pass_through(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
     """Per account: least hours between an inbound and an outbound payment, whichever came first.
 
@@ -63,15 +96,25 @@ def fastest_pass_through(transactions: DataFrame, grain: Sequence[str] = ()) ->
     return rows.withColumn("gap", gap).groupBy("account", *grain).agg((F.min("gap") / 3600.0).alias("fastest_hours"))
 
 
+def _explaining() -> list[Column]:
+    """Marks of the hard negatives: one for each pattern, then rows that are infrastructure only and rows that are not."""
+    t, d = F.lower(F.concat_ws(" ", "type", "description", "account", "other")), F.lower(F.concat_ws(" ", "type", "description"))
+    only = (F.col("amount") == 0) | d.rlike(ONLY_INFRASTRUCTURE)
+    return [*[t.rlike(p) for p, _ in HARD_NEGATIVES], only, ~only]
+
+
+def _contrary() -> Column:
+    """Reasons by ``marks`` of the hard negatives."""
+    bit = lambda k: F.col("marks").bitwiseAND(1 << k) != 0
+    n = len(HARD_NEGATIVES)
+    return reasons(*[(bit(k), m) for k, (_, m) in enumerate(HARD_NEGATIVES)], (bit(n) & ~bit(n + 1), "shared infrastructure without money movement"))
+
+
 def hard_negatives(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
     """Per account: reasons that explain its flows, from the text of all rows that touch it."""
-    rows = sides(transactions, grain).withColumn("t", F.lower(F.concat_ws(" ", "type", "description", "account", "other")))
-    rows = rows.withColumn("d", F.lower(F.concat_ws(" ", "type", "description")))
-    rules = [F.bool_or(F.col("t").rlike(p)).alias(f"r{i}") for i, (p, _) in enumerate(HARD_NEGATIVES)]
-    only = F.bool_and((F.col("amount") == 0) | F.col("d").rlike(ONLY_INFRASTRUCTURE)).alias("only")
-    found = rows.groupBy("account", *grain).agg(*rules, only)
-    why = reasons(*[(F.col(f"r{i}"), m) for i, (_, m) in enumerate(HARD_NEGATIVES)], (F.col("only"), "shared infrastructure without money movement"))
-    return found.select("account", *grain, why.alias("contrary"))
+    held = [F.when(m, F.lit(1 << k)).otherwise(F.lit(0)) for k, m in enumerate(_explaining())]
+    found = sides(transactions, grain).groupBy("account", *grain).agg(F.bit_or(sum(held[1:], held[0])).alias("marks"))
+    return found.select("account", *grain, _contrary().alias("contrary"))
 
 
 def _indicators(free: Column) -> Column:
@@ -89,15 +132,12 @@ def score_accounts(transactions: DataFrame, grain: Sequence[str] = (), points: i
 
     ``bonus``: a boolean column of ``transactions`` that adds ``bonus_points`` to the accounts it marks.
     """
-    keys = ["account", *grain]
-    table = flows(transactions, grain).join(fastest_pass_through(transactions, grain), keys, "left").join(hard_negatives(transactions, grain), keys)
+    keys, marks = ["account", *grain], _explaining()
+    table = account_facts(transactions, grain, marks=[*marks, F.col(bonus)] if bonus else marks, columns=[bonus] if bonus else [])
+    table = table.dropna(subset=keys).withColumn("contrary", _contrary())
     table = table.withColumn("indicators", _indicators(F.size("contrary") == 0))
-    extra = F.lit(0)
-    if bonus:
-        marked = transactions.filter(bonus)
-        marked = marked.select(F.col("origin").alias("account"), *grain).union(marked.select("destination", *grain)).distinct().withColumn("__bonus", F.lit(bonus_points))
-        table, extra = table.join(marked, keys, "left"), F.coalesce("__bonus", F.lit(0))
-    return table.withColumn("score", F.least(F.lit(100), F.size("indicators") * points + extra)).withColumn("status", status("score")).drop("__bonus")
+    extra = F.when(F.col("marks").bitwiseAND(1 << len(marks)) != 0, bonus_points).otherwise(0)
+    return table.withColumn("score", F.least(F.lit(100), F.size("indicators") * points + extra)).withColumn("status", status("score")).drop("marks")
 
 
 def dependencies(transactions: DataFrame) -> DataFrame:
@@ -147,11 +187,14 @@ def event_range(transactions: DataFrame) -> DataFrame:
 
 def features(transactions: DataFrame, grain: Sequence[str] = (), infrastructure: bool = True) -> DataFrame:
     """Seven features per account."""
-    keys = ["account", *grain]
-    table = flows(transactions, grain).join(fastest_pass_through(transactions, grain), keys, "left")
+    return features_of(account_facts(transactions, grain), ["account", *grain], infrastructure)
+
+
+def features_of(facts: DataFrame, keep: Sequence[str], infrastructure: bool = True) -> DataFrame:
+    """Seven features from ``account_facts`` or ``score_accounts``, beside the columns to ``keep``."""
     fast = F.coalesce("fastest_hours", F.lit(NO_PASS_THROUGH))
-    return table.select(
-        *keys,
+    return facts.select(
+        *keep,
         F.col("origins").cast("double").alias("inbound_origins"),
         F.col("destinations").cast("double").alias("outbound_destinations"),
         F.least(F.lit(1.5), "ratio").alias("pass_through_ratio"),
@@ -169,15 +212,16 @@ ANOMALY_POINTS = (18, 18, 18, 18, 10, 10, 8)
 def anomaly_scores(transactions: DataFrame, suppressors: Sequence[tuple[str, str]], grain: Sequence[str] = (), per_account: bool = False) -> DataFrame:
     """Points per feature, less 22 for each suppressor found in the text of all transactions (or of the account's own)."""
     keys = ["account", *grain]
-    f = features(transactions, grain)
+    marks = [F.lower(F.concat_ws(" ", "id", "type", "description")).rlike(p) for p, _ in suppressors]
+    facts = account_facts(transactions, grain, marks=marks)
+    f = features_of(facts, [*keys, F.bit_count("marks").alias("suppressors") if per_account else "marks"] if marks else [*keys, F.lit(0).alias("suppressors")])
     rules = (F.col("inbound_origins") >= 2, F.col("outbound_destinations") >= 2, F.col("pass_through_ratio") >= 0.75, F.col("rapid_pass_through") > 0, F.col("round_amount_share") >= 0.5, F.col("infrastructure_touch") > 0, F.col("bridge_centrality") >= 4)
     raw = sum((F.when(r, p).otherwise(0) for r, p in zip(rules, ANOMALY_POINTS, strict=True)), F.lit(0))
-    hit = [F.bool_or(F.lower(F.concat_ws(" ", "id", "type", "description")).rlike(p)).cast("int") for p, _ in suppressors]
-    total = sum(hit, F.lit(0)).alias("suppressors")
     if per_account:
-        f = f.join(sides(transactions, grain).groupBy(*keys).agg(total), keys)
-    else:
-        f = f.crossJoin(F.broadcast(transactions.agg(total)))  # one row
+        f = f.dropna(subset=keys)
+    elif marks:
+        f = staged(f)  # read twice
+        f = f.drop("marks").crossJoin(F.broadcast(f.agg(F.bit_count(F.bit_or("marks")).alias("suppressors"))))  # one row
     score = F.greatest(F.lit(0), F.least(F.lit(100), raw - F.col("suppressors") * SUPPRESSED))
     return f.withColumn("raw", raw).withColumn("score", score).withColumn("status", status("score", ANOMALY_PRIORITY, ANOMALY_WATCH))
 

@@ -453,3 +453,39 @@ def test_shared_endpoints_are_counted_by_classes(spark):
     assert {r["edge_id"]: r["supports"] for r in priority.shared_endpoint_counts(e).collect()} == {**want, "n3": 0}
     hub = spark.range(200_000).select(F.concat(F.lit("o"), "id").alias("subject"), F.lit("hub").alias("object"))  # 4e10 pairs
     assert priority.shared_endpoint_counts(hub).agg(F.min("supports"), F.max("supports")).first() == (200_000, 200_000)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_account_facts_deal_rows_once(spark):
+    rng = random.Random(7)
+    kinds, texts = ["transfer", "device login"], ["plain", "refund", None]
+    rows = [(f"t{i}", rng.choice(["a", "b", "c", None]), rng.choice(["a", "b", "d"]), rng.choice([0.0, 50.0, 70.0, -5.0, None]), rng.choice(kinds), rng.choice(texts), rng.randrange(9), rng.choice("xy"), rng.random() < 0.1) for i in range(150)]
+    t = spark.createDataFrame(rows, "id string, origin string, destination string, amount double, type string, description string, h int, month string, flagged boolean")
+    t = t.withColumn("at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, h * 7)")).withColumn("row_no", F.col("h"))
+    scored = risk.score_accounts(t, ["month"], bonus="flagged")
+    for df in (scored, risk.flows(t, ["month"]), risk.features(t, ["month"]), risk.anomaly_scores(t, [("refund", "r")], ["month"], per_account=True)):
+        assert _exchanges(df) == 1
+    want = {}
+    for i, o, d, amount, kind, text, h, month, flagged in rows:
+        for account, other, side in ((d, o, "in"), (o, d, "out")):
+            w = want.setdefault((account, month), {"in": set(), "out": set(), "tin": [], "tout": [], "any": set(), "flag": False, "refund": False})
+            w["flag"] |= flagged
+            w["refund"] |= text == "refund"
+            if amount is not None and amount > 0:
+                w[side] |= {other} - {None}
+                w["t" + side].append(h * 7)
+                w["any"] |= {other} - {None, account}
+    got = {(r["account"], r["month"]): r for r in scored.collect()}
+    assert set(got) == {k for k in want if k[0] is not None}
+    for k, r in got.items():
+        w = want[k]
+        hours = min((abs(a - b) for a in w["tin"] for b in w["tout"]), default=None)
+        assert (r["origins"], r["destinations"], r["counterparties"], r["fastest_hours"]) == (len(w["in"]), len(w["out"]), len(w["any"]), hours)
+        assert ("refund or reversal pattern" in r["contrary"]) == w["refund"]
+        assert r["score"] == min(100, len(r["indicators"]) * 18 + 20 * w["flag"])
+    assert {(r["account"], r["month"]): r["contrary"] for r in risk.hard_negatives(t, ["month"]).dropna(subset="account").collect()} == {k: r["contrary"] for k, r in got.items()}
+    every = {(r["account"], r["month"]): r["suppressors"] for r in risk.anomaly_scores(t, [("refund", "r"), ("wage", "w")], ["month"]).collect()}
+    assert set(every) == set(want) and set(every.values()) == {1}
