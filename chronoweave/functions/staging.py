@@ -13,6 +13,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+#: Rows that one task sorts or hashes, at up to a kilobyte each.
+ROWS_A_PART = 500_000
+
+
+def parts_for(rows: DataFrame) -> int | None:
+    """Partitions for tables of about as many rows as ``rows`` (a scan, whose count its files tell); none where the session's own number is enough.
+
+    With them what a task sorts or hashes stays the same however large the table, and nothing is spilled.
+    """
+    n = -(-rows.count() // ROWS_A_PART)
+    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(rows: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """``rows`` dealt by ``keys``, over ``parts`` partitions or as many as the session has."""
+    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only where that is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,6 +49,14 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Written to the shared folder in buckets of ``key``, so that a loop that joins by it in each round moves the table once."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"t_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def numbered(rows: DataFrame, name: str = "row_no") -> DataFrame:
     """``rows`` (a scan, which gives the same rows in the same order again) numbered from 0: rows before its partition, plus its place there."""
     at = rows.withColumn("__at", F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND((1 << 33) - 1)})

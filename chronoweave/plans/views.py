@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.staging import staged
+from ..functions.staging import dealt, parts_for, staged
 
 
 @dataclass(frozen=True)
@@ -193,6 +193,15 @@ def stage(spark: SparkSession, sf_dir: str) -> None:
         STAGED[sf_dir, name] = staged(view(spark, sf_dir, name))
 
 
+#: Keys by which large tables are dealt for their join.
+KEYED = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int | None:
+    """Partitions for tables with a row for each of a driver's table, where there are more than the session's number suits."""
+    return parts_for(view(spark, sf_dir, name))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table, or one of the driver's, as a DataFrame."""
     if (sf_dir, name) in STAGED and STAGED[sf_dir, name].sparkSession is spark:
@@ -202,7 +211,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in PARTS and (sf_dir, PARTS[name][0]) in STAGED:
         return view(spark, sf_dir, PARTS[name][0])
     recipe = (PARTS[name][1] if name in PARTS else RECIPES[name])(SPARK)
-    out = spark.sql(recipe.replace("varchar(20)", "string").replace("varchar(30)", "string"), **{t: view(spark, sf_dir, t) for t in _used(recipe)})
+    tables = {t: view(spark, sf_dir, t) for t in _used(recipe)}
+    if "lineitem" in tables and (n := parts(spark, sf_dir)):
+        tables = {t: dealt(df, KEYED[t], parts=n) for t, df in tables.items()}
+    out = spark.sql(recipe.replace("varchar(20)", "string").replace("varchar(30)", "string"), **tables)
     return out.withColumnRenamed("at_time", "at").withColumnRenamed("asked_at", "at")
 
 

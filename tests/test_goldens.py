@@ -489,3 +489,48 @@ def test_account_facts_deal_rows_once(spark):
     assert {(r["account"], r["month"]): r["contrary"] for r in risk.hard_negatives(t, ["month"]).dropna(subset="account").collect()} == {k: r["contrary"] for k, r in got.items()}
     every = {(r["account"], r["month"]): r["suppressors"] for r in risk.anomaly_scores(t, [("refund", "r"), ("wage", "w")], ["month"]).collect()}
     assert set(every) == set(want) and set(every.values()) == {1}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(staging, "ROWS_A_PART", 100)
+    assert staging.parts_for(spark.range(350)) is None and staging.parts_for(spark.range(1001)) == 11
+    rows = spark.range(60).selectExpr("'i' || id div 60 as item_id", "'r' || id div 2 as record_id", "cast(id % 2 as int) as version", "timestamp_ntz'2024-01-01 00:00:00' as observed_at", "timestamp_ntz'2024-01-01 00:00:00' as recorded_at", "timestamp_ntz'2024-02-01 00:00:00' as as_of")
+    known = priority.known_evidence(rows, parts=11)
+    assert "11), REPARTITION_BY_NUM" in known._jdf.queryExecution().executedPlan().toString() and _exchanges(known) == 1
+    assert known.filter("selected and version = 1").count() == 30
+
+
+def test_missing_links_form_no_list_of_an_item(spark):
+    rows = spark.createDataFrame([("i", "a@v1", True, ["b@v1", "c@v1", "b@v1", "a@v1"]), ("i", "b@v1", True, ["a@v1", None]), ("i", "c@v1", False, ["x"]), ("j", "d@v1", True, ["a@v1"])], "item_id string, dependency_id string, selected boolean, corroborates array<string>")
+    out = priority.missing_links(rows)
+    assert sorted(map(tuple, out.collect())) == [("i", "a@v1", "c@v1"), ("j", "d@v1", "a@v1")]
+    hub = spark.range(100_000).selectExpr("'i' as item_id", "'d' || id as dependency_id", "true as selected", "array('d' || id, 'd' || (id + 1)) as corroborates")
+    assert [r["missing"] for r in priority.missing_links(hub).collect()] == ["d100000"]
+
+
+def test_path_counts_equal_steps_of_paths(spark):
+    rng = random.Random(3)
+    e = edges(spark, [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)] + [("n0", "n0")])
+    seen = e.filter(F.crc32("edge_id") % 3 != 0)
+    paths = graph.shortest_paths(e, "n0", parents=True).cache()
+    want = graph.path_edges(paths.drop("parent"), e, seen).groupBy("node_id").agg(F.count("*").alias("steps"), F.count_if("shown").alias("shown"))
+    counts = graph.path_counts(paths, e, seen)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+    for r in paths.filter("distance > 0").collect():
+        assert r["path"].split(">")[-2:] == [r["parent"], r["node_id"]] and r["path"].count(">") == r["distance"]
+
+
+def test_expansion_counts_distinct_values_in_order(spark):
+    rows = [("e1", "a", "b"), ("e2", "a", "b"), ("e2", "a", "c"), ("e3", "a", None), (None, "a", "d"), ("e4", "c", "d")]
+    e = spark.createDataFrame(rows, "edge_id string, subject string, object string")
+    out = graph.expansion_summary(e, spark.createDataFrame([("e1",), ("e2",), ("e3",)], "edge_id string"), parts=3)
+    assert {r["node_id"]: (r["neighbours"], r["edges"]) for r in out.collect()} == {"a": (2, 3), "b": (1, 2), "c": (1, 1), None: (1, 1)}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_correction_of_many_publications_is_no_group(spark):
+    p = spark.range(1000).selectExpr("'p' || id as publication_id", "cast(null as timestamp_ntz) as stale_at", "cast(null as string) as stale_reason")
+    why = spark.createDataFrame([("fix", "wrong")], "correction_id string, reason string").withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    out = ledger.mark_stale(p, p.select(F.lit("fix").alias("correction_id"), "publication_id"), why)
+    assert "hashpartitioning(correction_id" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("stale_reason = 'wrong'").count() == 1000

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from chronoweave.functions import staging
 from chronoweave.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -54,3 +55,9 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["e3_contributions", "e5_corroboration_check", "f5_flagged_scores", "f13_anomaly_scores", "g8_expansion_summary", "k4_stale_marks"])
+def test_same_rows_in_more_partitions(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(staging, "ROWS_A_PART", 250)
+    test_same_rows(spark, duck, name)
