@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import staged
+from ..functions.staging import dealt, small, staged
 
 PUBLICATION = "publication"
 
@@ -21,7 +21,7 @@ def correction_impacts(dependencies: DataFrame, corrections: DataFrame, hops: in
     anti-join with what is known, so cycles end; rounds are written to the shared folder.
     """
     deps = staged(dependencies.select("publication_id", "kind", "target_id", "target_version").distinct())
-    first = deps.join(corrections, ["kind", "target_id", "target_version"]).select("correction_id", "publication_id").distinct()
+    first = deps.join(small(corrections), ["kind", "target_id", "target_version"]).select("correction_id", "publication_id").distinct()
     front = staged(first.withColumn("depth", F.lit(0)))
     seen = front
     links = deps.filter(F.col("kind") == PUBLICATION).select(F.col("target_id").alias("up"), "publication_id")
@@ -47,9 +47,15 @@ def new_impacts(impacts: DataFrame, stored: DataFrame) -> DataFrame:
     return least_depth(impacts).join(stored.select(*keys), keys, "left_anti")
 
 
-def mark_stale(publications: DataFrame, impacts: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Publications with ``stale_at`` and ``stale_reason``; the first mark stays. ``reasons``: ``correction_id, at, reason``."""
-    first = impacts.join(reasons, "correction_id").groupBy("publication_id").agg(F.min(F.struct("at", "correction_id", "reason")).alias("m"))
+def mark_stale(publications: DataFrame, impacts: DataFrame, reasons: DataFrame, parts: int | None = None) -> DataFrame:
+    """Publications with ``stale_at`` and ``stale_reason``; the first mark stays. ``reasons``: ``correction_id, at, reason``.
+
+    Few reasons are broadcast, as all that one correction impacts would else meet in one task; ``parts``: partitions to deal publications over.
+    """
+    told = impacts.join(small(reasons), "correction_id")
+    if parts:
+        publications, told = (dealt(df, "publication_id", parts=parts) for df in (publications, told))
+    first = told.groupBy("publication_id").agg(F.min(F.struct("at", "correction_id", "reason")).alias("m"))
     new = first.select("publication_id", F.col("m.at").alias("__at"), F.col("m.reason").alias("__r"))
     out = publications.join(new, "publication_id", "left")
     kept = F.col("stale_at").isNotNull()
