@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reasons, seconds, text_of
-from ..functions.staging import staged
+from ..functions.staging import dealt, staged
 
 # Patterns that explain an account's flows, points and cut-offs of the two scores.
 HARD_NEGATIVES = (
@@ -31,17 +31,18 @@ def sides(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
     return into.unionByName(transactions.select(F.col("origin").alias("account"), F.lit("out").alias("side"), F.col("destination").alias("other"), *keep))
 
 
-def account_facts(transactions: DataFrame, grain: Sequence[str] = (), hours: bool = True, marks: Sequence[Column] = (), columns: Sequence[str] = ()) -> DataFrame:
+def account_facts(transactions: DataFrame, grain: Sequence[str] = (), hours: bool = True, marks: Sequence[Column] = (), columns: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Per account (and ``grain``): counterparties, sums, round and context rows, ``fastest_hours`` unless ``hours`` is false, and ``marks``.
 
     Bit k of ``marks`` is set if the k-th condition holds for a row that touches the account; conditions read the columns of ``sides`` and further
     ``columns`` of ``transactions``. Both sides are dealt by account once; the window over times and the counts per counterparty keep that order.
+    ``parts``: partitions to deal them over.
     """
     keys = ["account", *grain]
     rows = sides(transactions, [*grain, *columns])
     held = [F.when(m, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, m in enumerate(marks)]
     rows = rows.select(*keys, "other", "amount", (F.col("side") == "in").alias("into"), *([seconds("at").alias("s")] if hours else []), *([sum(held[1:], held[0]).alias("marks")] if marks else []))
-    rows = rows.repartition(*keys)
+    rows = dealt(rows, *keys, parts=parts)
     money, into = F.col("amount") > 0, F.col("into")
     more, whole = [], []
     if hours:
@@ -78,9 +79,9 @@ def account_facts(transactions: DataFrame, grain: Sequence[str] = (), hours: boo
     return out.withColumn("ratio", F.when(F.col("inbound") > 0, F.col("outbound") / F.col("inbound")).otherwise(0.0))
 
 
-def flows(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
+def flows(transactions: DataFrame, grain: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Per account (and ``grain``): counterparties, sums, ratio, round and context rows; only amounts above 0 are money."""
-    return account_facts(transactions, grain, hours=False)
+    return account_facts(transactions, grain, hours=False, parts=parts)
 
 
 def fastest_pass_through(transactions: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
@@ -127,13 +128,13 @@ def status(score: str | Column, priority: int = PRIORITY, watch: int = WATCH) ->
     return F.when(score >= priority, "review-priority").when(score >= watch, "watch").otherwise("background")
 
 
-def score_accounts(transactions: DataFrame, grain: Sequence[str] = (), points: int = POINTS, bonus: str | None = None, bonus_points: int = 20) -> DataFrame:
+def score_accounts(transactions: DataFrame, grain: Sequence[str] = (), points: int = POINTS, bonus: str | None = None, bonus_points: int = 20, parts: int | None = None) -> DataFrame:
     """Indicators, score (``points`` each, at most 100) and status per account; a hard negative silences all indicators.
 
     ``bonus``: a boolean column of ``transactions`` that adds ``bonus_points`` to the accounts it marks.
     """
     keys, marks = ["account", *grain], _explaining()
-    table = account_facts(transactions, grain, marks=[*marks, F.col(bonus)] if bonus else marks, columns=[bonus] if bonus else [])
+    table = account_facts(transactions, grain, marks=[*marks, F.col(bonus)] if bonus else marks, columns=[bonus] if bonus else [], parts=parts)
     table = table.dropna(subset=keys).withColumn("contrary", _contrary())
     table = table.withColumn("indicators", _indicators(F.size("contrary") == 0))
     extra = F.when(F.col("marks").bitwiseAND(1 << len(marks)) != 0, bonus_points).otherwise(0)
@@ -185,9 +186,9 @@ def event_range(transactions: DataFrame) -> DataFrame:
     return transactions.agg(F.max("at").alias("known_at"), F.min_by("at", "row_no").alias("first_row_at"), F.count("*").alias("rows"))
 
 
-def features(transactions: DataFrame, grain: Sequence[str] = (), infrastructure: bool = True) -> DataFrame:
+def features(transactions: DataFrame, grain: Sequence[str] = (), infrastructure: bool = True, parts: int | None = None) -> DataFrame:
     """Seven features per account."""
-    return features_of(account_facts(transactions, grain), ["account", *grain], infrastructure)
+    return features_of(account_facts(transactions, grain, parts=parts), ["account", *grain], infrastructure)
 
 
 def features_of(facts: DataFrame, keep: Sequence[str], infrastructure: bool = True) -> DataFrame:
@@ -209,11 +210,11 @@ FEATURES = ("inbound_origins", "outbound_destinations", "pass_through_ratio", "r
 ANOMALY_POINTS = (18, 18, 18, 18, 10, 10, 8)
 
 
-def anomaly_scores(transactions: DataFrame, suppressors: Sequence[tuple[str, str]], grain: Sequence[str] = (), per_account: bool = False) -> DataFrame:
+def anomaly_scores(transactions: DataFrame, suppressors: Sequence[tuple[str, str]], grain: Sequence[str] = (), per_account: bool = False, parts: int | None = None) -> DataFrame:
     """Points per feature, less 22 for each suppressor found in the text of all transactions (or of the account's own)."""
     keys = ["account", *grain]
     marks = [F.lower(F.concat_ws(" ", "id", "type", "description")).rlike(p) for p, _ in suppressors]
-    facts = account_facts(transactions, grain, marks=marks)
+    facts = account_facts(transactions, grain, marks=marks, parts=parts)
     f = features_of(facts, [*keys, F.bit_count("marks").alias("suppressors") if per_account else "marks"] if marks else [*keys, F.lit(0).alias("suppressors")])
     rules = (F.col("inbound_origins") >= 2, F.col("outbound_destinations") >= 2, F.col("pass_through_ratio") >= 0.75, F.col("rapid_pass_through") > 0, F.col("round_amount_share") >= 0.5, F.col("infrastructure_touch") > 0, F.col("bridge_centrality") >= 4)
     raw = sum((F.when(r, p).otherwise(0) for r, p in zip(rules, ANOMALY_POINTS, strict=True)), F.lit(0))
