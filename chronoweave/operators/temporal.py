@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import contains, overlaps, reasons, seconds, text_of
-from ..functions.staging import staged
+from ..functions.staging import small, staged
 
 EVENT = "observed_event"
 #: Days in a bucket of the batch as-of join, about the usual length of a valid interval.
@@ -48,24 +48,39 @@ def batch_asof(revisions: DataFrame, queries: DataFrame, bucket_days: int = BUCK
 
     An observed event meets the questions at its very time. Any other revision is spread over the buckets of days that its valid
     interval touches, or, where that is open, its recorded interval (an interval open in both ends at the last
-    question), and joined on (case, bucket), so that no pair outside a bucket is formed. The exact predicate decides in all.
+    question), and joined on (case, bucket), so that no pair outside a bucket is formed. The exact predicate decides in all. Few questions are
+    broadcast, so that revisions stay where they are.
     """
     width = bucket_days * 86400
     bucket = lambda c: F.floor(seconds(c) / width)
     asked = queries.select("query_id", "case_id", F.col("valid_at").alias("__v"), F.col("known_at").alias("__k"))
     last = asked.agg(F.max(bucket("__v"))).first()[0]
     exact = valid(F.col("__v")) & known(F.col("__k"))
-    events = revisions.filter(F.col("assertion_class") == EVENT).withColumn("__v", F.col("event_at")).join(asked, ["case_id", "__v"]).filter(exact)
+    events = revisions.filter(F.col("assertion_class") == EVENT).withColumn("__v", F.col("event_at")).join(small(asked), ["case_id", "__v"]).filter(exact)
     by_known = F.col("valid_end").isNull() & F.col("recorded_end").isNotNull()
     lo = F.when(by_known, bucket("recorded_start")).otherwise(bucket("valid_start"))
     hi = F.when(by_known, bucket("recorded_end")).otherwise(F.coalesce(F.least(bucket("valid_end"), F.lit(last)), F.lit(last)))
     spread = revisions.filter(F.col("assertion_class") != EVENT).withColumns({"__by": by_known, "__lo": lo, "__hi": hi}).filter("__lo <= __hi").withColumn("__b", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
     dealt = asked.withColumn("__each", F.explode(F.array(F.struct(F.lit(False).alias("by"), bucket("__v").alias("b")), F.struct(F.lit(True).alias("by"), bucket("__k").alias("b")))))
     dealt = dealt.select("*", F.col("__each.by").alias("__by"), F.col("__each.b").alias("__b")).drop("__each")
-    met = spread.join(dealt, ["case_id", "__by", "__b"]).filter(exact).drop("__by", "__b")
+    met = spread.join(small(dealt), ["case_id", "__by", "__b"]).filter(exact).drop("__by", "__b")
     return met.unionByName(events).drop("__v", "__k")
 
 
+def batch_counts(revisions: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, n, least``: how many revisions answer each question of ``batch_asof``, and the least of their ids.
+
+    A least text would sort all answers, so the least start of an id (7 bytes as a number) is found first, in a hash table of
+    questions, and texts are compared among answers that begin with it.
+    """
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode("revision_id", "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = staged(revisions.select("revision_id", "case_id", "assertion_class", "event_at", "valid_start", "valid_end", "recorded_start", "recorded_end", head.alias("head")))
+    found = batch_asof(rows, queries)
+    sums = staged(found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("head").alias("__head")))
+    first = found.join(small(sums.select("query_id", F.col("__head").alias("head"))), ["query_id", "head"]).groupBy("query_id").agg(F.min("revision_id").alias("least"))
+    return sums.drop("__head").join(first, "query_id", "left")
+
+
 def drop_superseded(revisions: DataFrame, known_at) -> DataFrame:
     """Revisions that no revision recorded by ``known_at`` supersedes."""
     later = revisions.filter(F.col("supersedes").isNotNull() & (F.col("recorded_start") <= _at(known_at))).select(F.col("supersedes").alias("revision_id"))

@@ -54,8 +54,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     "revisions",
 )
 def t3_batch_asof(spark: SparkSession, sf: str) -> DataFrame:
-    found = t.batch_asof(view(spark, sf, "revisions"), _asked(spark, sf))
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("revision_id").alias("least"))
+    return t.batch_counts(view(spark, sf, "revisions"), _asked(spark, sf))
 
 
 @query(f"select revision_id from revisions r where not exists (select 1 from revisions s where s.supersedes = r.revision_id and s.recorded_start <= timestamp '{KNOWN}')", "revisions")

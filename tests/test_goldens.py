@@ -534,3 +534,18 @@ def test_one_correction_of_many_publications_is_no_group(spark):
     out = ledger.mark_stale(p, p.select(F.lit("fix").alias("correction_id"), "publication_id"), why)
     assert "hashpartitioning(correction_id" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.filter("stale_reason = 'wrong'").count() == 1000
+
+
+def test_batch_counts_find_the_least_id_without_sorting_answers(spark):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    ids = ["r-1234567", "r-12345", "r-123456", "r-123456789", "r-9", "é", "", "r-12345\u0001"]
+    rows = [(i, "c", "state", None, day(1 + n % 3), None if n % 2 else day(20), day(1), None) for n, i in enumerate(ids)]
+    r = spark.createDataFrame(rows, "revision_id string, case_id string, assertion_class string, event_at string, valid_start string, valid_end string, recorded_start string, recorded_end string")
+    r = r.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_at", "valid_start", "valid_end", "recorded_start", "recorded_end")})
+    q = spark.createDataFrame([(f"q{d}", "c", day(d), day(d)) for d in (1, 2, 10, 25)], "query_id string, case_id string, valid_at string, known_at string")
+    q = q.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_at", "known_at")})
+    for kept in (r, r.filter("revision_id <> ''"), r.filter("length(revision_id) > 6")):
+        want = temporal.batch_asof(kept, q).groupBy("query_id").agg(F.count("*").alias("n"), F.min("revision_id").alias("least"))
+        got = temporal.batch_counts(kept, q)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) != []
+    assert "SortMergeJoin" not in temporal.batch_asof(r, q)._jdf.queryExecution().executedPlan().toString()
