@@ -51,21 +51,23 @@ def validated_ingest(raw: DataFrame, mapping: Mapping[str, str], path: str) -> N
 
     Each micro-batch is written under its own number, so one that is repeated after a failure replaces itself. Its ids go to
     ``path/ids`` under that number, in ranges; an id that a batch of a lower number has (accepted there or not) is a repeat. A batch reads of
-    that index only what lies between its own least and greatest id, and only the id.
+    that index only what lies between its own least and greatest id, and only the id, and once. A batch's rows are dealt over
+    all cores first, as its files may be few and large.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        rows = validated(rows, mapping).persist()
+        rows = validated(rows.repartition(spark.sparkContext.defaultParallelism), mapping).persist()
         ids = rows.select("id").filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
         ids.write.mode("overwrite").parquet(f"{path}/ids/batch={batch}")
         ends = spark.read.schema("id string").parquet(f"{path}/ids/batch={batch}").agg(F.min("id"), F.max("id")).first()
         before = spark.read.schema("id string, batch long").parquet(f"{path}/ids").filter((F.col("batch") < batch) & F.col("id").between(*ends))
         known = before.select("id").distinct().withColumn("__known", F.lit(True))
         why = F.when(F.col("__known") & ~F.array_contains("reasons", REPEATED), F.array_append("reasons", F.lit(REPEATED))).otherwise(F.col("reasons"))
-        judged = rows.join(known, "id", "left").withColumn("reasons", why).select(rows.columns)
+        judged = rows.join(known, "id", "left").withColumn("reasons", why).select(rows.columns).persist()
         accepted(judged).write.mode("overwrite").parquet(f"{path}/accepted/batch={batch}")
         rejected(judged).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch}")
+        judged.unpersist()
         rows.unpersist()
 
     run_batches(raw, write, path)
