@@ -23,6 +23,8 @@ from .components import components
 WIDTH = 35
 #: Words whose hash may be an anchor: long enough that chance seldom shares one, short enough that a run holds several windows.
 ANCHOR = 12
+#: Rows (a long each) up to which the rows that are wanted are sent to the documents, so that no other text moves.
+SENT_ROWS = 1 << 22
 #: Words hashed at a time.
 _AT_ONCE = 1 << 18
 _B, _C = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -32,15 +34,6 @@ def _digest(words: bytes, size: int = 12) -> bytes:
     return hashlib.blake2b(words, digest_size=size).digest()
 
 
-def _packed(words: bytes) -> bytes:
-    """Words compressed with their size before them: texts move twice."""
-    return len(words).to_bytes(8, "little") + pa.compress(words, "zstd", asbytes=True)
-
-
-def _unpacked(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
-
-
 def _places(words: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First bytes and ends of words that one space separates."""
     if not words:
@@ -110,13 +103,23 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, width: int, anchor:
         for batch in slices(batches, 64):
             words = [b" ".join((t.as_py() or "").encode().split()) for t in batch.column(1)]
             got = [window_runs(w, width, anchor) for w in words]
-            columns = [batch.column(0), pa.array([_packed(w) for w in words], pa.binary()), pa.array([g[0] for g in got], pa.int64())]
+            names = [np.frombuffer(b"".join(g[3]), ">i8").reshape(-1, 2).astype(np.int64) for g in got]
+            columns = [batch.column(0), pa.array(words, pa.binary()), pa.array([g[0] for g in got], pa.int64())]
             columns += [list_array([g[c].astype(np.int32) for g in got], pa.int32()) for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([g[3] for g in got], pa.list_(pa.binary()))], names=["doc_id", "words", "n_words", "first", "size", "run"])
+            columns += [list_array([x[:, c] for x in names], pa.int64()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "n_words", "first", "size", "anchor", "digest"])
 
-    shape = f"doc_id {kind}, words binary, n_words long, first array<int>, size array<int>, run array<binary>"
+    shape = f"doc_id {kind}, words binary, n_words long, first array<int>, size array<int>, anchor array<long>, digest array<long>"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, shape)
-    return staged(rows.withColumn("row", F.monotonically_increasing_id()), "windows")
+    return staged(rows.withColumn("row", F.monotonically_increasing_id()), "windows", "zstd")
+
+
+def _split(rows: DataFrame, wanted: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` whose ``row`` is one of the ``n`` in ``wanted``, and the others, both where they stand; beyond a bound all, and nothing, and the join that follows sorts them out."""
+    if n > SENT_ROWS:
+        return rows, None
+    wanted = F.broadcast(wanted.select("row"))
+    return rows.join(wanted, "row", "left_semi"), rows.join(wanted, "row", "left_anti")
 
 
 def _read_windows(runs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -125,7 +128,7 @@ def _read_windows(runs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
             for row, words, which in zip(*(batch.column(c) for c in range(3)), strict=True):
-                words = _unpacked(words.as_py())
+                words = words.as_py()
                 begin, end = _places(words)
                 which = which.values.flatten()
                 first, size, n = (x.to_numpy(zero_copy_only=False) for x in which)
@@ -136,23 +139,33 @@ def _read_windows(runs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(place), pa.int64()), pa.array(place, pa.int32()), pa.array(np.repeat(n[lo : lo + 4096], s), pa.int64()), pa.array(edge, pa.binary())], names=["row", "place", "n", "edge"])
 
     held = runs.groupBy("row").agg(F.collect_list(F.struct("first", "size", "n")).alias("which"))
-    return rows.select("row", "words").join(held, "row").mapInArrow(run, "row long, place int, n long, edge binary")
+    near, _ = _split(rows.select("row", "words"), held, held.count())
+    return near.join(held, "row").mapInArrow(run, "row long, place int, n long, edge binary")
 
 
 def _repeated_edges(rows: DataFrame, width: int) -> DataFrame:
-    """``row, place, size, edge`` of every repeated edge where it stands: a run that stands elsewhere too, or one such window of another run."""
-    runs = rows.select("row", F.explode(F.arrays_zip("first", "size", "run")).alias("r")).select("row", "r.*")
-    kinds = staged(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "size")).alias("at")).withColumn("anchor", F.substring("run", 1, 8)), "runs")
-    anchors = staged(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "anchors")
-    several = join_counted(kinds, anchors, "anchor", "kinds", kinds.count())
-    windows = staged(_read_windows(several.select("at.*", "n"), rows, width), "edges")
+    """``row, place, size, edge`` of every repeated edge where it stands: a run that stands elsewhere too, or one such window of another run.
+
+    Runs whose anchor stands nowhere else move once and go. If all runs of an anchor are equal they are repeated as they are; only those of
+    other anchors are grouped by what they are.
+    """
+    runs = rows.select("row", F.explode(F.arrays_zip("first", "size", "anchor", "digest")).alias("r")).select("row", "r.*")
+    total = int(rows.agg(F.sum(F.size("first"))).first()[0] or 0)
+    counted = runs.groupBy("anchor").agg(F.count("*").alias("held"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("held > 1")
+    anchors = staged(counted.select("anchor", "held", (F.col("lo") != F.col("hi")).alias("several")), "anchors", "zstd")
+    met = staged(join_counted(runs, anchors, "anchor", "held", total).select("row", "first", "size", F.struct("anchor", "digest").alias("run"), "several"), "met", "zstd")
+    name = F.xxhash64("edge")
+    place = [F.col("first").alias("place"), "size", F.xxhash64("run.anchor", "run.digest").alias("edge")]
+    mixed = met.filter("several").drop("several")
+    kinds = staged(mixed.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "size")).alias("at")), "runs", "zstd")
+    windows = staged(_read_windows(kinds.select("at.*", "n"), rows, width), "edges", "zstd")
     counts = windows.groupBy("edge").agg(F.sum("n").alias("n"), F.count("*").alias("held"), F.max((F.col("n") == 1).cast("int")).alias("single"))
-    shared = staged(counts.filter("n > 1 and single = 1").select("edge", "held"), "shared")
+    shared = staged(counts.filter("n > 1 and single = 1").select("edge", "held"), "shared", "zstd")
     alone = windows.filter("n = 1").select("row", "place", "edge")
-    one = join_counted(alone, shared, "edge", "held", windows.count()).select("row", "place", F.lit(1).alias("size"), "edge")
-    again = staged(kinds.filter("n > 1").select("run", F.col("n").alias("held")), "again")
-    whole = join_counted(runs, again, "run", "held", int(kinds.agg(F.sum("n")).first()[0] or 0)).select("row", F.col("first").alias("place"), "size", F.col("run").alias("edge"))
-    return whole.unionByName(one)
+    one = join_counted(alone, shared, "edge", "held", windows.count()).select("row", "place", F.lit(1).alias("size"), name.alias("edge"))
+    again = kinds.filter("n > 1").select("run", F.col("n").alias("held"))
+    whole = join_counted(mixed, again, "run", "held", mixed.count()).select("row", *place)
+    return met.filter("not several").select("row", *place).unionByName(whole).unionByName(one)
 
 
 def _ranked(chain: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -161,15 +174,18 @@ def _ranked(chain: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     ``chain`` holds one pointer an edge; an end is what has none itself. Rounds of joins double the pointers.
     """
     ends = chain.join(chain.select(F.col("edge").alias("to")), "to", "left_anti").select("edge", F.lit(True).alias("ended"))
-    now = staged(chain.join(ends, "edge", "left").select("edge", "to", "offset", F.coalesce("ended", F.lit(False)).alias("ended")), "jumps")
-    total, steps = now.count(), 0
-    while not now.filter("not ended").isEmpty():
-        if 2**steps > total:
-            return now.filter("ended").drop("ended"), now.filter("not ended").select("edge")
-        there = now.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("offset").alias("offset2"), F.col("ended").alias("ended2"))
-        moved = now.filter("not ended").join(there, "to").select("edge", F.col("to2").alias("to"), (F.col("offset") + F.col("offset2")).alias("offset"), F.col("ended2").alias("ended"))
-        now, steps = staged(moved.unionByName(now.filter("ended")), "jumps"), steps + 1
-    return now.drop("ended"), None
+    now = staged(chain.join(ends, "edge", "left").select("edge", "to", "offset", F.coalesce("ended", F.lit(False)).alias("ended")), "jumps", "zstd")
+    done, going = now.filter("ended"), now.filter("not ended")  # what has ended is written once
+    left, before = going.count(), None
+    while left:
+        if left == before:  # a doubling ends some pointers of every path, so only rings are left
+            return done.drop("ended"), going.select("edge")
+        there = done.unionByName(going).select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("offset").alias("offset2"), F.col("ended").alias("ended2"))
+        moved = going.join(there, "to").select("edge", F.col("to2").alias("to"), (F.col("offset") + F.col("offset2")).alias("offset"), F.col("ended2").alias("ended"))
+        now = staged(moved, "jumps", "zstd")
+        done, going = done.unionByName(now.filter("ended")), now.filter("not ended")
+        left, before = going.count(), left
+    return done.drop("ended"), None
 
 
 def _cut(chain: DataFrame, rings: DataFrame) -> DataFrame:
@@ -190,7 +206,7 @@ def compact(links: DataFrame, every: int = 8) -> DataFrame:
     """
     after = links.groupBy("a").agg(F.count("*").alias("n_after"), F.min("b").alias("b"), F.min("size").alias("size")).filter("n_after = 1")
     before = links.groupBy("b").agg(F.count("*").alias("n_before")).filter("n_before = 1")
-    chain = staged(after.join(before, "b").select(F.col("b").alias("edge"), F.col("a").alias("to"), F.col("size").cast("long").alias("offset")), "chain")
+    chain = staged(after.join(before, "b").select(F.col("b").alias("edge"), F.col("a").alias("to"), F.col("size").cast("long").alias("offset")), "chain", "zstd")
     heads = chain.select(F.col("to").alias("edge")).join(chain.select("edge"), "edge", "left_anti")
     first = heads.select("edge", F.col("edge").alias("path"), F.lit(0).cast("long").alias("offset"))
     if chain.isEmpty():
@@ -200,39 +216,42 @@ def compact(links: DataFrame, every: int = 8) -> DataFrame:
     lone = None if rings is None else _cut(chain, rings)  # rings without a stop
     # A stop points to the stop or first edge that the edge before it reached.
     via = short.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("offset").alias("offset2"))
-    stops = staged(chain.filter(stop).join(via, "to", "left").select("edge", F.coalesce("to2", "to").alias("to"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset")), "stops")
+    stops = staged(chain.filter(stop).join(via, "to", "left").select("edge", F.coalesce("to2", "to").alias("to"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset")), "stops", "zstd")
     far, rings = _ranked(stops)
     if rings is not None:
         far = far.unionByName(_cut(stops, rings))
-    far = staged(far.select("edge", F.col("to").alias("path"), "offset"), "stops")
+    far = staged(far.select("edge", F.col("to").alias("path"), "offset"), "stops", "zstd")
     up = far.select(F.col("edge").alias("to"), F.col("path").alias("path"), F.col("offset").alias("offset2"))
     rest = short.join(up, "to", "left").select("edge", F.coalesce("path", "to").alias("path"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"))
     out = first.unionByName(far).unionByName(rest)
     return out if lone is None else out.unionByName(lone.withColumnRenamed("to", "path"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """Documents as read (``row, doc_id, words, n_words``, ``words`` compressed) and their repeated edges (``row, edges``: ``place, size, path, offset`` in order of place).
-
-    ``place`` is the edge's first word, ``size`` its windows, ``path`` the compacted path it lies on and ``offset`` its first window there. Edges that
-    are alone on their path are its first. Names of paths are a 64-bit hash of their first edge's digest; they decide nothing about what is repeated.
-    """
+def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``repeated_spans`` returns, and the rows (``row``) that have edges, which are written."""
     if not 0 < anchor <= width:
         raise ValueError("an anchor has at least one word and no more than a window")
     rows = _documents(docs, id_col, text_col, width, anchor)
-    name = F.xxhash64("edge")
-    flat = _repeated_edges(rows, width).select("row", "place", "size", name.alias("edge"))
-    seen = staged(flat.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "size", "edge"))).alias("edges")), "seen")
+    seen = staged(_repeated_edges(rows, width).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "size", "edge"))).alias("edges")), "seen", "zstd")
     pairs = F.expr("filter(transform(sequence(1, size(edges) - 1), i -> struct(edges[i - 1].edge as a, edges[i].edge as b, edges[i - 1].size as size, edges[i - 1].place + edges[i - 1].size = edges[i].place as beside)), x -> x.beside)")
-    links = staged(seen.filter("size(edges) > 1").select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.min("p.size").alias("size")), "links")
-    paths = staged(compact(links).withColumnRenamed("edge", "__edge"), "paths")
+    links = staged(seen.filter("size(edges) > 1").select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.min("p.size").alias("size")), "links", "zstd")
+    paths = staged(compact(links).withColumnRenamed("edge", "__edge"), "paths", "zstd")
     times = seen.select(F.explode("edges").alias("e")).groupBy(F.col("e.edge").alias("edge")).agg(F.count("*").alias("held"))
-    named = staged(times.join(paths, F.col("edge") == F.col("__edge"), "left").select("edge", "held", F.coalesce("path", "edge").alias("path"), F.coalesce("offset", F.lit(0)).alias("offset")), "named")
+    named = staged(times.join(paths, F.col("edge") == F.col("__edge"), "left").select("edge", "held", F.coalesce("path", "edge").alias("path"), F.coalesce("offset", F.lit(0)).alias("offset")), "named", "zstd")
     each = seen.select("row", F.explode("edges").alias("e")).select("row", "e.*")
     total = int(named.agg(F.sum("held")).first()[0] or 0)
     placed = join_counted(each, named, "edge", "held", total)
     spans = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "size", "path", "offset"))).alias("edges"))
-    return rows.select("row", "doc_id", "words", "n_words"), spans
+    return rows.select("row", "doc_id", "words", "n_words"), spans, seen.select("row")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """Documents as read (``row, doc_id, words, n_words``, words with one space between) and their repeated edges (``row, edges``: ``place, size, path, offset`` in order of place).
+
+    ``place`` is the edge's first word, ``size`` its windows, ``path`` the compacted path it lies on and ``offset`` its first window there. Edges that
+    are alone on their path are its first. Names of paths are a 64-bit hash of their first edge's digest; they decide nothing about what is repeated.
+    """
+    return _spans(docs, id_col, text_col, width, anchor)[:2]
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -244,14 +263,14 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Words are what the six ASCII white-space characters leave; null and empty texts have none and keep the empty text. Texts under ``width`` words stay.
     Repeated rows and ids each have a row and count as copies of each other; null ids stay. Other columns are not read. An empty table gives no rows.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col, width, anchor)
+    rows, spans, spanned = _spans(docs, id_col, text_col, width, anchor)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             gone, digest, paths, texts = [], [], [], []
             for words, n, edges in zip(batch.column("words"), batch.column("n_words").to_pylist(), batch.column("edges"), strict=True):
-                words = _unpacked(words.as_py())
+                words = words.as_py()
                 if not edges.is_valid:
                     gone.append(0)
                     paths.append(0)
@@ -271,4 +290,9 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 texts.append(kept)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(paths, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_paths", "text"])
 
-    return rows.join(spans, "row", "left").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_paths long, text string")
+    moved, apart = _split(rows, spanned, spanned.count())
+    if apart is None:
+        each = rows.join(spans, "row", "left")
+    else:
+        each = moved.join(spans, "row").unionByName(apart.withColumn("edges", F.lit(None).cast(spans.schema["edges"].dataType)))
+    return each.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_paths long, text string")

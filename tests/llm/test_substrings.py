@@ -116,3 +116,39 @@ def test_empty_table_and_clashing_columns(spark):
 def test_anchor_must_fit(spark):
     with pytest.raises(ValueError):
         substrings.remove_repeated_spans(spark.createDataFrame([], "doc_id long, text string"), width=3, anchor=4)
+
+
+def written(monkeypatch):
+    """Rows that each kind of staged table gets from now on."""
+    rows, staged = Counter(), substrings.staged
+
+    def counted(df, kind="stage", *rest):
+        out = staged(df, kind, *rest)
+        rows[kind] += out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "staged", counted)
+    return rows
+
+
+def test_runs_with_an_anchor_of_their_own_are_not_written_again(spark, monkeypatch):
+    rows = written(monkeypatch)
+    docs = [(k, " ".join(f"w{k}x{i}" for i in range(200))) for k in range(20)]
+    got = substrings.remove_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 20 and not any(r.n_removed for r in got)
+    assert rows["windows"] == 20 and sum(rows.values()) == 20
+
+
+def test_pointers_that_have_ended_are_written_once_and_rings_are_soon_found(spark, monkeypatch):
+    rows = written(monkeypatch)
+    line = [(i, i + 1, 1) for i in range(600)]
+    ring = [(10_000 + i, 10_000 + (i + 1) % 3, 1) for i in range(3)]
+    got = {r.edge: (r.path, r.offset) for r in substrings.compact(spark.createDataFrame(line + ring, "a long, b long, size int")).collect()}
+    assert {k: got[k] for k in range(601)} == {k: (0, k) for k in range(601)} and len(got) == 604
+    assert rows["jumps"] < 6 * 603
+
+
+def test_more_rows_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SENT_ROWS", 1)
+    shared = [f"s{i}" for i in range(40)]
+    check(spark, [(k, " ".join([f"a{k}", *shared[k:], f"b{k}"])) for k in range(6)] + [(9, "alone " * 3), (None, None)], 7, 3)
