@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, ship, slices, staged
+from .common import maybe_broadcast, mix64, ship, slices, staged
 
 #: A word is in the vocabulary if it is at least one in so many words (and occurs twice); so are at most so many words.
 VOCABULARY = 1 << 18
@@ -21,17 +21,8 @@ HOT_PAIRS = 200_000
 BACKED = 8.0
 #: Words counted at a time in a task.
 AT_ONCE = 500_000
-KEPT_WORDS = 200_000
-
-
-class _WordHash(dict):
-    """A word's 64-bit hash."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = i = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
-        return i
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 256
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,6 +30,47 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and a 64-bit hash of each of all their words' UTF-8 bytes.
+
+    Eight bytes at a time are mixed in, for all words at once, after the length; so words of up to eight bytes and one length never share a hash.
+    """
+    each = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in each], np.int64)
+    joined = " ".join(" ".join(w) for w in each if w).encode("utf-8", "surrogatepass")
+    if not joined:
+        return sizes, np.zeros(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
+    size = end - begin
+    eight = np.ndarray(len(joined) + 1, "<u8", joined + bytes(8), strides=(1,))  # the eight bytes from each byte on
+    out = mix64(size)
+    which = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        which = which[size[which] > at]
+        if not len(which):
+            break
+        left = np.minimum(size[which] - at, 8)
+        chunk = eight[begin[which] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - left)).astype(np.uint64))
+        out[which] = mix64(out[which] ^ chunk) + np.uint64(at + 1)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : end[i]])
+    return sizes, out.view(np.int64)
+
+
+def portions(texts: list[str | None], most: int = 1 << 22) -> Iterator[list[str | None]]:
+    """Neighbouring texts of at most so many characters together, or one text."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield held
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Hashes in order, and both models' counts, by word number; number 0 is every other word."""
@@ -52,6 +84,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
         return np.where(self.names[at] == hashes, at + 1, 0)
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """``ids`` where words repeat: each distinct one is looked up once."""
+        distinct, which = np.unique(hashes, return_inverse=True)
+        return self.ids(distinct)[which]
+
     def pair(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
         return before * (len(self.names) + 1) + words
 
@@ -87,15 +124,17 @@ def _counted(keys: list[np.ndarray], sides: list[bool]) -> pa.RecordBatch:
 
 
 def _counts(docs: DataFrame, keys_of) -> DataFrame:
-    """``key, target, background``: how often each key of ``keys_of()(text)`` occurs over all rows of ``docs`` (``text, is_target``)."""
+    """``key, target, background``: how often each key of ``keys_of()(texts)``, an array a text, occurs over all rows of ``docs`` (``text, is_target``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, keys, sides, held = keys_of(), [], [], 0
         for batch in slices(batches):
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(of(text))
-                sides.append(bool(target))
-                held += len(keys[-1])
+            sided = iter(batch.column(1).to_pylist())
+            for texts in portions(batch.column(0).to_pylist()):
+                got = of(texts)
+                keys += got
+                sides += [bool(next(sided)) for _ in texts]
+                held += sum(map(len, got))
                 if held >= AT_ONCE:
                     yield _counted(keys, sides)
                     keys, sides, held = [], [], 0
@@ -110,8 +149,11 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
     """The words of ``docs`` (``text, is_target``) that are at least one in ``most`` and occur twice, with exact counts."""
 
     def hashes():
-        known = _WordHash()
-        return lambda text: np.array([known[w] for w in words_of(text)], np.int64)
+        def of(texts: list[str | None]) -> list[np.ndarray]:
+            sizes, words = word_hashes(texts)
+            return np.split(words, np.cumsum(sizes)[:-1])
+
+        return of
 
     counted = staged(_counts(docs, hashes), "words")
     total = np.array([int(x or 0) for x in counted.agg(F.sum("target"), F.sum("background")).first()], float)
@@ -126,11 +168,12 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
     """``key, target, background``: how often each pair of words in a row occurs (the vocabulary is broadcast in ``shared``)."""
 
     def pairs():
-        words, known = shared.value, _WordHash()
+        words = shared.value
 
-        def of(text: str | None) -> np.ndarray:
-            w = words.ids(np.array([known[x] for x in words_of(text)], np.int64))
-            return words.pair(w[:-1], w[1:])
+        def of(texts: list[str | None]) -> list[np.ndarray]:
+            sizes, hashes = word_hashes(texts)
+            each = np.split(words.numbers(hashes), np.cumsum(sizes)[:-1])
+            return [words.pair(w[:-1], w[1:]) for w in each]
 
         return of
 
@@ -139,13 +182,11 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
 
 def _own(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the distinct (group, key), which of them each entry is, and their counts."""
-    order = np.lexsort((keys, groups))
-    g, k = groups[order], keys[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which, np.bincount(which, minlength=int(new.sum()))
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = keys.min()
+    _, place, which, n = np.unique(groups * (keys.max() - least + 1) + (keys - least), return_index=True, return_inverse=True, return_counts=True)
+    return place, which, n
 
 
 _ROWS = "doc_id long, th long, key long, side int, n int, own long, own_word int, own_before int, losses_t double, losses_b double"
@@ -158,14 +199,14 @@ def _text_rows(docs: DataFrame, shared, hot) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (hot_keys, hot_counts), known = shared.value, hot.value, _WordHash()
+        words, (hot_keys, hot_counts) = shared.value, hot.value
         for batch in slices(batches):
             ids, th = batch.column(0), batch.column(1)
             sides = np.array([0 if x else 1 for x in batch.column(3).to_pylist()], np.int64)
-            each = [np.array([known[x] for x in words_of(t)], np.int64) for t in batch.column(2).to_pylist()]
-            sizes = np.array([len(w) for w in each], np.int64)
+            sizes, hashes = word_hashes(batch.column(2).to_pylist())
+            each = range(len(sizes))
             doc = np.repeat(np.arange(len(each)), sizes)
-            w = words.ids(np.concatenate([np.zeros(0, np.int64), *each]))
+            w = words.numbers(hashes)
             before = np.concatenate([[-1], w[:-1]])[: len(w)]
             starts = (np.cumsum(sizes) - sizes)[sizes > 0]
             before[starts] = -1

@@ -635,6 +635,19 @@ def test_lm_hostile(spark, hostile, none):
     assert lm_score.cross_entropy_difference(none, hostile.select("doc_id")).count() == 0
 
 
+def test_words_are_hashed_in_bulk(monkeypatch):
+    alone = []
+    real = lm_score.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(lm_score.xxhash, "xxh3_64_intdigest", lambda w: alone.append(w) or real(w))
+    words = ["a" * k for k in range(1, 300)] + ["é" * k for k in range(1, 200)] + ["a\0", "a\0\0", "\0", "漢字", "abcdefgh\0", "abcdefghi"]
+    texts = [" ".join(words), None, "", " \n ", "\u2003".join(w.upper() for w in reversed(words[:200]))]
+    sizes, hashes = lm_score.word_hashes(texts)
+    every = [w for t in texts for w in lm_score.words_of(t)]
+    assert sizes.tolist() == [len(words), 0, 0, 0, 200] and len(hashes) == len(every)
+    assert len(set(hashes.tolist())) == len(set(every)) == len(set(zip(hashes.tolist(), every, strict=True)))
+    assert min(map(len, alone)) > lm_score.LONG_WORD  # no other word is met by itself
+
+
 # Fingerprints.
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 12))
